@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions.text import set_similarity, trigrams
-from larder.operators.batches import score
+from larder.functions.text import set_similarity, trigram_codes
+from larder.operators.batches import score, where_after_join
 
 # The order status path.
 STATUS_PATH = [("pending", "confirmed"), ("confirmed", "shipped"), ("shipped", "delivered")]
@@ -105,7 +105,7 @@ def similar_texts(products: DataFrame, threshold: float) -> DataFrame:
     Both sides are reduced to their rarest trigrams first: two texts above the threshold must share
     one of them. Copies of a text were folded before, so they make no pairs.
     """
-    texts = products.select("description").distinct().withColumn("grams", trigrams(F.col("description")))
+    texts = products.select("description").distinct().withColumn("grams", trigram_codes(F.col("description")))
     texts = texts.where(F.size("grams") > 0)
     df = texts.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     weighed = (
@@ -123,10 +123,9 @@ def similar_texts(products: DataFrame, threshold: float) -> DataFrame:
     na, nb = F.size("ordered_a"), F.size("ordered_b")
     first = F.get(F.filter("lead_a", lambda g: F.array_contains(F.col("lead_b"), g)), F.lit(0))
     near = score(set_similarity(F.col("ordered_a"), F.col("ordered_b")))
+    met = a.join(b, "gram").where((na >= threshold * nb - 1e-9) & (nb >= threshold * na - 1e-9))
     return (
-        a.join(b, "gram")
-        .where((na >= threshold * nb - 1e-9) & (nb >= threshold * na - 1e-9))
-        .where(F.col("gram") == first)
+        where_after_join(met, F.col("gram") == first)
         .select(F.col("description_a").alias("text_a"), F.col("description_b").alias("text_b"), near.alias("similarity"))
         .where(F.col("similarity") > threshold)
     )

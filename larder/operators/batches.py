@@ -76,6 +76,16 @@ def top_k(hits: DataFrame, order: list[Column], size: BatchSize, default_limit:
     return ranked
 
 
+def where_after_join(joined: DataFrame, condition: Column) -> DataFrame:
+    """Filter rows above a join instead of inside it.
+
+    A condition with lambdas in a join takes the join, and the explode below it, out of generated
+    code, and every exploded row is then copied whole before the key is even looked up. As a
+    generator of zero or one rows the condition stays above and sees only rows that met.
+    """
+    return joined.select("*", F.explode(F.when(condition, F.array(F.lit(True)))).alias("_kept")).drop("_kept")
+
+
 def query_filter() -> Column:
     """Supplier and price filters of a query row; NULL parameter means no filter."""
     return (

@@ -76,18 +76,26 @@ def match_column(query: WebQuery, toks: Column | str = "tokens") -> Column:
     return found
 
 
-def with_rank(hits: DataFrame, lexemes: Column, together: Column, name: str) -> DataFrame:
-    """Add the relevance rank of ``tokens``; positions become a column first, as the rank reuses them."""
+def with_rank(
+    hits: DataFrame, lexemes: Column, together: Column, name: str, long_texts: bool = False
+) -> DataFrame:
+    """Add the relevance rank of ``tokens``; positions become a column first, as the rank reuses them.
+
+    Short texts are ranked by expressions in the JVM. Set ``long_texts`` where a lexeme occurs hundreds
+    of times per text: the pairs of positions are then counted on Arrow batches.
+    """
     located = hits.withColumn("_spots", F.transform(lexemes, lambda w: tx.positions(F.col("tokens"), w)))
-    rank = tx.rank_from_positions(F.col("_spots"), F.size(lexemes), together)
+    rank = tx.rank_long_texts if long_texts else tx.rank_from_positions
+    # the count reads the new column too: used twice, it stays a column and is not inlined
+    rank = rank(F.col("_spots"), F.size("_spots"), together)
     return located.withColumn(name, bt.score(rank)).drop("_spots")
 
 
-def ranked_matches(products: DataFrame, query: WebQuery, name: str = "rank") -> DataFrame:
+def ranked_matches(products: DataFrame, query: WebQuery, name: str = "rank", long_texts: bool = False) -> DataFrame:
     """Products matching one query, ranked row by row: no join and no shuffle."""
     hits = products.where(match_column(query))
     lexemes = F.array(*[F.lit(w) for w in query.lexemes]) if query.lexemes else F.array(F.lit(""))
-    return with_rank(hits, lexemes, F.lit(query.together), name)
+    return with_rank(hits, lexemes, F.lit(query.together), name, long_texts)
 
 
 def search_fts(
@@ -99,11 +107,12 @@ def search_fts(
     price_max=None,
     result_limit: int = 50,
     config: str = "simple",
+    long_texts: bool = False,
 ) -> DataFrame:
     """Full-text search for one query, best rank first, ties by id."""
     query = parse(products.sparkSession, search_query, config)
     rows = optional_filters(products, supplier_filter, price_min, price_max)
-    hits = ranked_matches(with_tokens(rows, config), query).select(
+    hits = ranked_matches(with_tokens(rows, config), query, "rank", long_texts).select(
         "id", "supplier_id", *bt.PRODUCT_COLUMNS, "rank"
     )
     names = suppliers.select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier_name"))
@@ -115,7 +124,9 @@ def search_fts(
     )
 
 
-def text_hits(products: DataFrame, queries: DataFrame, size: bt.BatchSize, config: str) -> DataFrame:
+def text_hits(
+    products: DataFrame, queries: DataFrame, size: bt.BatchSize, config: str, long_texts: bool = False
+) -> DataFrame:
     """(query_id, id, fts_rank) of every match of every query.
 
     Each clause is looked up by one anchor lexeme only; the rest of the clause, the filters and the
@@ -138,8 +149,8 @@ def text_hits(products: DataFrame, queries: DataFrame, size: bt.BatchSize, confi
     matched = F.transform("parsed.clauses", lambda c: tx.clause_match(F.col("tokens"), c))
     # several clauses of one query may match a row: keep it at the first only
     first = F.array_position(matched, F.lit(True)) == F.col("clause_no") + 1
-    hits = met.where(bt.query_filter()).where(first)
-    ranked = with_rank(hits, F.col("parsed.lexemes"), F.col("parsed.together"), "fts_rank")
+    hits = bt.where_after_join(met.where(bt.query_filter()), first)
+    ranked = with_rank(hits, F.col("parsed.lexemes"), F.col("parsed.together"), "fts_rank", long_texts)
     return ranked.select("query_id", "id", "fts_rank", "result_limit")
 
 
@@ -149,11 +160,12 @@ def search_fts_batch(
     queries: DataFrame,
     result_limit: int = 50,
     config: str = "simple",
+    long_texts: bool = False,
 ) -> DataFrame:
     """Full-text search for a table of queries (query_id, search_text and optional filters, limits)."""
     queries = bt.complete(queries, bt.id_type(suppliers).simpleString())
     size = bt.measure(queries, result_limit)
     best = bt.top_k(
-        text_hits(products, queries, size, config), [F.desc("fts_rank"), F.asc("id")], size, result_limit
+        text_hits(products, queries, size, config, long_texts), [F.desc("fts_rank"), F.asc("id")], size, result_limit
     ).select("query_id", "id", "rank_no", F.col("fts_rank").alias("rank"))
     return bt.attach(best, products, suppliers, bt.PRODUCT_COLUMNS, size.small_hits(size.max_limit))

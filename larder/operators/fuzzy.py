@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.text import set_similarity, trigrams
+from larder.functions.text import letters_in, set_similarity, trigram_codes
 from larder.operators import batches as bt
 
 THRESHOLD = 0.2
@@ -19,7 +19,7 @@ def search_fuzzy(
     result_limit: int = 50,
 ) -> DataFrame:
     """Products whose whole description is more similar than the threshold, for one query."""
-    near = bt.score(set_similarity(trigrams(F.col("description")), trigrams(F.lit(search_query))))
+    near = bt.score(set_similarity(trigram_codes(F.col("description")), trigram_codes(F.lit(search_query))))
     names = suppliers.select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier_name"))
     return (
         products.withColumn("similarity", near)
@@ -33,7 +33,7 @@ def search_fuzzy(
 
 def trigram_frequencies(products: DataFrame, text: str = "description") -> DataFrame:
     """Texts per trigram, counted on the map side first; optional input of the batch search."""
-    return products.select(F.explode(trigrams(F.col(text))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return products.select(F.explode(trigram_codes(F.col(text))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
 def lookup_grams(queries: DataFrame, threshold: float, frequencies: DataFrame | None) -> DataFrame:
@@ -43,10 +43,10 @@ def lookup_grams(queries: DataFrame, threshold: float, frequencies: DataFrame |
     at least one of any n - floor(t * n) of them. Looking up only the rarest ones is exact and skips
     the commonest. Without ``frequencies``, word starts and ends count as the commoner trigrams.
     """
-    asks = queries.withColumn("grams", trigrams(F.col("search_text"))).where(F.size("grams") > 0)
+    asks = queries.withColumn("grams", trigram_codes(F.col("search_text"))).where(F.size("grams") > 0)
     if frequencies is None:
         order = F.transform(
-            "grams", lambda g: F.struct(F.length(F.translate(g, " ", "")).alias("w"), g.alias("gram"))
+            "grams", lambda g: F.struct(letters_in(g).alias("w"), g.alias("gram"))
         )
         rare = F.transform(F.reverse(F.array_sort(order)), lambda s: s["gram"])
         asks = asks.withColumn("ordered", rare)
@@ -72,7 +72,7 @@ def fuzzy_hits(
     asks = lookup_grams(queries, threshold, frequencies).select(
         "query_id", "result_limit", F.col("grams").alias("q_grams"), "probe", F.explode("probe").alias("gram")
     )
-    rows = products.select("id", trigrams(F.col("description")).alias("p_grams"))
+    rows = products.select("id", trigram_codes(F.col("description")).alias("p_grams"))
     opened = rows.select("*", F.explode("p_grams").alias("gram"))
     n_p, n_q = F.size("p_grams"), F.size("q_grams")
     # sizes too far apart cannot reach the threshold
@@ -85,11 +85,9 @@ def fuzzy_hits(
         met = rows.join(pairs, "id").join(asks, ["query_id", "gram"]).where(fits)
     # a pair meets at every shared lookup trigram: keep it at the first only
     first = F.get(F.filter("probe", lambda g: F.array_contains(F.col("p_grams"), g)), F.lit(0))
-    return (
-        met.where(F.col("gram") == first)
-        .select("query_id", "id", "result_limit", bt.score(set_similarity(F.col("p_grams"), F.col("q_grams"))).alias("similarity"))
-        .where(F.col("similarity") > threshold)
-    )
+    near = bt.score(set_similarity(F.col("p_grams"), F.col("q_grams")))
+    met = bt.where_after_join(met, F.col("gram") == first)
+    return met.select("query_id", "id", "result_limit", near.alias("similarity")).where(F.col("similarity") > threshold)
 
 
 def search_fuzzy_batch(

@@ -56,6 +56,7 @@ def search_hybrid_batch(
     similarity_threshold: float = THRESHOLD,
     config: str = "simple",
     variant: str = "current",
+    long_texts: bool = False,
 ) -> DataFrame:
     """Hybrid search for a table of queries.
 
@@ -67,18 +68,18 @@ def search_hybrid_batch(
     queries = bt.complete(queries, bt.id_type(suppliers).simpleString())
     size = bt.measure(queries, result_limit)
     if variant == "single_scan":
-        return _single_scan(products, suppliers, queries, size, result_limit, config)
+        return _single_scan(products, suppliers, queries, size, result_limit, config, long_texts)
     if variant not in ("current", "unscaled"):
         raise ValueError(f"unknown variant {variant!r}")
     scaled = variant == "current"
     text = bt.top_k(
-        text_hits(products, queries, size, config), [F.desc("fts_rank"), F.asc("id")], size, result_limit
+        text_hits(products, queries, size, config, long_texts), [F.desc("fts_rank"), F.asc("id")], size, result_limit
     )
     vector = semantic_top(products, queries, size, similarity_threshold if scaled else None, result_limit)
     return _finish(fuse(text, vector, queries, scaled), products, suppliers, size, result_limit)
 
 
-def _single_scan(products, suppliers, queries, size, result_limit, config):
+def _single_scan(products, suppliers, queries, size, result_limit, config, long_texts):
     """Text matches ignore the filters; vector matches above 0.5 obey them; nothing is normalised.
 
     Both row sets are kept whole until the final top-k, as either score can lift a row.
@@ -90,7 +91,7 @@ def _single_scan(products, suppliers, queries, size, result_limit, config):
     either = text.unionByName(near).distinct()
     asks = parse_queries(queries, config).select("query_id", "query_embedding", "parsed")
     met = with_tokens(products, config).select("id", "embedding", "tokens").join(either, "id").join(asks, "query_id")
-    ranked = with_rank(met, F.col("parsed.lexemes"), F.col("parsed.together"), "fts_rank")
+    ranked = with_rank(met, F.col("parsed.lexemes"), F.col("parsed.together"), "fts_rank", long_texts)
     sim = F.coalesce(cosine_similarity(F.col("embedding"), F.col("query_embedding")), F.lit(0.0))
     scored = ranked.select("query_id", "id", "fts_rank", bt.score(sim).alias("semantic_similarity"))
     fused = scored.join(_weights(queries), "query_id").withColumn(
@@ -123,6 +124,7 @@ def search_hybrid(
     result_limit: int = 50,
     similarity_threshold: float = THRESHOLD,
     config: str = "simple",
+    long_texts: bool = False,
 ) -> DataFrame:
     """Hybrid search for one query. Filters push to the scan; each branch ends in a k-row top list."""
     rows = optional_filters(products, supplier_filter, price_min, price_max)
@@ -132,7 +134,7 @@ def search_hybrid(
     size = bt.BatchSize(1, 0, result_limit)
     query = parse(products.sparkSession, search_text, config)
     text = (
-        ranked_matches(with_tokens(rows, config), query, "fts_rank")
+        ranked_matches(with_tokens(rows, config), query, "fts_rank", long_texts)
         .select(F.lit(0).cast("long").alias("query_id"), "id", "fts_rank")
         .orderBy(F.desc("fts_rank"), F.asc("id"))
         .limit(result_limit)

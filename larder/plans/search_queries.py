@@ -123,7 +123,7 @@ best AS (SELECT h.rank, d.* FROM hit h JOIN phrase USING (id) JOIN v_docs d USIN
 SELECT b.id, s.name AS supplier_name, supplier_code, selling_uom, rank
 FROM best b JOIN v_doc_suppliers s ON s.id = b.supplier_id""")
 def fts_phrase(v: Views) -> DataFrame:
-    out = search_fts(v.docs(), v.doc_suppliers(), '"of the"')
+    out = search_fts(v.docs(), v.doc_suppliers(), '"of the"', long_texts=True)
     return out.select("id", "supplier_name", "supplier_code", "selling_uom", "rank")
 
 
@@ -171,7 +171,7 @@ best AS (SELECT query_id, id, rank, row_number() OVER (PARTITION BY query_id ORD
 SELECT query_id, b.id, rank_no, rank, d.supplier_code FROM best b JOIN v_docs d ON d.id = b.id""")
 def fts_docs_batch(v: Views) -> DataFrame:
     asks = v.spark.createDataFrame(DOC_QUERIES, "query_id int, search_text string")
-    out = search_fts_batch(v.docs(), v.doc_suppliers(), asks, result_limit=100)
+    out = search_fts_batch(v.docs(), v.doc_suppliers(), asks, result_limit=100, long_texts=True)
     return out.select("query_id", "id", "rank_no", "rank", "supplier_code")
 
 
@@ -386,7 +386,7 @@ def hybrid_docs(v: Views) -> DataFrame:
     asks = v.spark.createDataFrame(
         [(q, t, vector) for q, t in DOC_QUERIES], "query_id int, search_text string, query_embedding array<double>"
     )
-    out = search_hybrid_batch(v.docs(True), v.doc_suppliers(), asks, 30, 0.1)
+    out = search_hybrid_batch(v.docs(True), v.doc_suppliers(), asks, 30, 0.1, long_texts=True)
     return out.select("query_id", "id", "rank_no", "supplier_name", "fts_rank", "semantic_similarity", "combined_score")
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larder.session import spread
+
 RULES = [
     (1, "fasteners", "bolt|rod"),
     (2, "tools", "gear|widget|gizmo"),
@@ -32,7 +34,7 @@ class Views:
 
     def products(self, embedding: bool = False) -> DataFrame:
         n = self.table("supplier").agg(F.count("*")).scalar()
-        rows = self.table("part").select(
+        rows = spread(self.table("part")).select(
             F.col("p_partkey").alias("id"),
             F.col("p_type").alias("price_list_id"),
             F.pmod("p_partkey", n).alias("supplier_id"),
@@ -52,7 +54,7 @@ class Views:
         return self.table("documents").select(F.col("source").alias("id"), F.upper("source").alias("name")).distinct()
 
     def docs(self, embedding: bool = False) -> DataFrame:
-        rows = self.table("documents").select(
+        rows = spread(self.table("documents")).select(
             F.col("doc_id").alias("id"),
             F.col("source").alias("supplier_id"),
             F.concat_ws("-", "source", F.col("doc_id").cast("string")).alias("supplier_code"),

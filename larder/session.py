@@ -44,3 +44,12 @@ def cut_lineage(df):
     if spark.sparkContext.getCheckpointDir() is None and configured:
         spark.sparkContext.setCheckpointDir(configured)
     return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+
+
+def spread(df):
+    """Deal rows out evenly when a scan has fewer splits than the cluster has cores.
+
+    Meant for small inputs ahead of costly row work; a table of many files is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
