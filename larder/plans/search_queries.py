@@ -101,9 +101,9 @@ def fts_search(v: Views) -> DataFrame:
     return search_fts(v.products(), v.suppliers(), "red ring")
 
 
-@query("fts_filtered", single_fts_sql(RED_RING, "price >= 950 AND price <= 1050 AND supplier_id = 7"))
+@query("fts_filtered", single_fts_sql(RED_RING, "price >= 905 AND price <= 960 AND supplier_id = 60"))
 def fts_filtered(v: Views) -> DataFrame:
-    return search_fts(v.products(), v.suppliers(), "red ring", supplier_filter=7, price_min=950, price_max=1050)
+    return search_fts(v.products(), v.suppliers(), "red ring", supplier_filter=60, price_min=905, price_max=960)
 
 
 @query("fts_or_search", single_fts_sql(HOT_PLATE))

@@ -155,7 +155,7 @@ class Views:
             F.when(F.col("turn") <= 3, r'{\"turn\":1}').otherwise(r"{broken"),
             F.lit('"}}]'),
         )
-        asks = (F.col("role") == "assistant") & (F.length("text") < 200)
+        asks = (F.col("role") == "assistant") & (F.length("text") < 600)
         return c.select(
             F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"),
             F.col("conv_id").alias("customer_id"),
@@ -264,14 +264,14 @@ v_priced AS (
     FROM v_checked GROUP BY request_id) t ON t.request_id = h.request_id),
 v_chat AS (
   SELECT conv_id || '-' || turn AS id, conv_id AS customer_id, 's' || conv_id AS session_id, role,
-    CASE WHEN role = 'assistant' AND length(text) < 200 THEN '' ELSE text END AS content,
-    CASE WHEN role = 'assistant' AND length(text) < 200 THEN
+    CASE WHEN role = 'assistant' AND length(text) < 600 THEN '' ELSE text END AS content,
+    CASE WHEN role = 'assistant' AND length(text) < 600 THEN
       '[{"id":"call-' || conv_id || '-' || turn || '","type":"function","function":{"name":"' ||
       CASE WHEN turn = 1 THEN 'search_products' ELSE 'make_coffee' END || '","arguments":"' ||
       CASE WHEN turn <= 3 THEN '{\\"turn\\":1}' ELSE '{broken' END || '"}}]' END AS tool_calls,
     CASE WHEN role = 'assistant' THEN CASE WHEN turn < 4 THEN 'm1' ELSE 'm2' END END AS model,
     CASE WHEN role = 'assistant' THEN length(text) END AS tokens_prompt,
-    CASE WHEN role = 'assistant' AND length(text) < 200 THEN turn END AS tokens_completion,
+    CASE WHEN role = 'assistant' AND length(text) < 600 THEN turn END AS tokens_completion,
     turn AS created_at
   FROM conversations WHERE role <> 'system'),
 v_cart_log AS (
