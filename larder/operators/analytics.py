@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.text import set_similarity, trigram_codes
-from larder.operators.batches import score, where_after_join
+from larder.operators.batches import keep_above, keep_rows, score
 
 # The order status path.
 STATUS_PATH = [("pending", "confirmed"), ("confirmed", "shipped"), ("shipped", "delivered")]
@@ -124,11 +124,8 @@ def similar_texts(products: DataFrame, threshold: float) -> DataFrame:
     first = F.get(F.filter("lead_a", lambda g: F.array_contains(F.col("lead_b"), g)), F.lit(0))
     near = score(set_similarity(F.col("ordered_a"), F.col("ordered_b")))
     met = a.join(b, "gram").where((na >= threshold * nb - 1e-9) & (nb >= threshold * na - 1e-9))
-    return (
-        where_after_join(met, F.col("gram") == first)
-        .select(F.col("description_a").alias("text_a"), F.col("description_b").alias("text_b"), near.alias("similarity"))
-        .where(F.col("similarity") > threshold)
-    )
+    kept = keep_above(keep_rows(met, F.col("gram") == first), near, "similarity", threshold)
+    return kept.select(F.col("description_a").alias("text_a"), F.col("description_b").alias("text_b"), "similarity")
 
 
 def compare_suppliers(products: DataFrame, k: int = 3, threshold: float = 0.5) -> DataFrame:

@@ -76,14 +76,19 @@ def top_k(hits: DataFrame, order: list[Column], size: BatchSize, default_limit:
     return ranked
 
 
-def where_after_join(joined: DataFrame, condition: Column) -> DataFrame:
-    """Filter rows above a join instead of inside it.
+def keep_rows(rows: DataFrame, condition: Column) -> DataFrame:
+    """Filter by a condition with lambdas, kept above the step that made its columns.
 
-    A condition with lambdas in a join takes the join, and the explode below it, out of generated
-    code, and every exploded row is then copied whole before the key is even looked up. As a
-    generator of zero or one rows the condition stays above and sees only rows that met.
+    The optimizer would push such a condition into a join, which takes the join and the explode below
+    it out of generated code, or through a projection, which repeats the projected expression inside
+    the lambdas. As a generator of zero or one rows it stays where it is.
     """
-    return joined.select("*", F.explode(F.when(condition, F.array(F.lit(True)))).alias("_kept")).drop("_kept")
+    return rows.select("*", F.explode(F.when(condition, F.array(F.lit(True)))).alias("_kept")).drop("_kept")
+
+
+def keep_above(rows: DataFrame, value: Column, name: str, threshold: float) -> DataFrame:
+    """Add a costly score once and keep the rows where it is above the threshold."""
+    return rows.select("*", F.explode(F.filter(F.array(value), lambda s: s > threshold)).alias(name))
 
 
 def query_filter() -> Column:

@@ -93,4 +93,4 @@ def decimal_comma(text: Column) -> Column:
 def unit_price(price: Column, uom: Column) -> Column:
     """Price of one piece of a pack, to the cent; NULL for a pack of zero."""
     n = pack_count(uom)
-    return F.when(n > 0, F.round(price.cast("double") / n, 2))
+    return F.when(n > 0, F.round(price.cast("decimal(10,2)") / n, 2).cast("decimal(10,2)"))

@@ -37,10 +37,16 @@ def postings(products: DataFrame, config: str = "simple") -> DataFrame:
 
 
 def lexeme_stats(products: DataFrame, config: str = "simple") -> DataFrame:
-    """Texts and occurrences per lexeme, counted on the map side first."""
-    words = with_tokens(products, config).select(F.explode("tokens").alias("lexeme"), "id")
-    in_text = words.where(F.col("lexeme") != "").groupBy("lexeme", "id").agg(F.count("*").alias("n"))
-    return in_text.groupBy("lexeme").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_occurrences"))
+    """Texts and occurrences per lexeme.
+
+    Every text opens its tokens and then once more its distinct ones, so both counts come from one
+    aggregate whose map side shrinks the rows to the vocabulary of a partition.
+    """
+    n = F.size("tokens").alias("n")
+    both = F.posexplode(F.concat(F.col("tokens"), F.array_distinct("tokens"))).alias("i", "lexeme")
+    opened = with_tokens(products, config).select(n, both).where(F.col("lexeme") != "")
+    again = (F.col("i") >= F.col("n")).cast("long")
+    return opened.groupBy("lexeme").agg(F.sum(again).alias("n_texts"), F.sum(1 - again).alias("n_occurrences"))
 
 
 def parse(spark: SparkSession, text: str | None, config: str = "simple") -> WebQuery:
@@ -93,7 +99,7 @@ def with_rank(
 
 def ranked_matches(products: DataFrame, query: WebQuery, name: str = "rank", long_texts: bool = False) -> DataFrame:
     """Products matching one query, ranked row by row: no join and no shuffle."""
-    hits = products.where(match_column(query))
+    hits = bt.keep_rows(products, match_column(query))
     lexemes = F.array(*[F.lit(w) for w in query.lexemes]) if query.lexemes else F.array(F.lit(""))
     return with_rank(hits, lexemes, F.lit(query.together), name, long_texts)
 
@@ -149,7 +155,7 @@ def text_hits(
     matched = F.transform("parsed.clauses", lambda c: tx.clause_match(F.col("tokens"), c))
     # several clauses of one query may match a row: keep it at the first only
     first = F.array_position(matched, F.lit(True)) == F.col("clause_no") + 1
-    hits = bt.where_after_join(met.where(bt.query_filter()), first)
+    hits = bt.keep_rows(met.where(bt.query_filter()), first)
     ranked = with_rank(hits, F.col("parsed.lexemes"), F.col("parsed.together"), "fts_rank", long_texts)
     return ranked.select("query_id", "id", "fts_rank", "result_limit")
 

@@ -19,11 +19,11 @@ def search_fuzzy(
     result_limit: int = 50,
 ) -> DataFrame:
     """Products whose whole description is more similar than the threshold, for one query."""
-    near = bt.score(set_similarity(trigram_codes(F.col("description")), trigram_codes(F.lit(search_query))))
+    near = bt.score(set_similarity(F.col("_grams"), trigram_codes(F.lit(search_query))))
     names = suppliers.select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier_name"))
+    rows = products.withColumn("_grams", trigram_codes(F.col("description")))
     return (
-        products.withColumn("similarity", near)
-        .where(F.col("similarity") > similarity_threshold)
+        bt.keep_above(rows, near, "similarity", similarity_threshold)
         .join(names, "supplier_id")
         .select("id", "supplier_name", *bt.PRODUCT_COLUMNS, "similarity")
         .orderBy(F.desc("similarity"), F.asc("id"))
@@ -86,8 +86,8 @@ def fuzzy_hits(
     # a pair meets at every shared lookup trigram: keep it at the first only
     first = F.get(F.filter("probe", lambda g: F.array_contains(F.col("p_grams"), g)), F.lit(0))
     near = bt.score(set_similarity(F.col("p_grams"), F.col("q_grams")))
-    met = bt.where_after_join(met, F.col("gram") == first)
-    return met.select("query_id", "id", "result_limit", near.alias("similarity")).where(F.col("similarity") > threshold)
+    met = bt.keep_above(bt.keep_rows(met, F.col("gram") == first), near, "similarity", threshold)
+    return met.select("query_id", "id", "result_limit", "similarity")
 
 
 def search_fuzzy_batch(

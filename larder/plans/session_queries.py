@@ -154,6 +154,7 @@ def rate_limiter(v: Views) -> DataFrame:
 
 
 @query("unit_prices", """
-SELECT id, round(CAST(price AS DOUBLE) / CAST(regexp_extract(selling_uom, '^(\\d+)X', 1) AS INTEGER), 2) AS unit_price FROM v_products""")
+n AS (SELECT id, CAST(price * 100 AS BIGINT) AS cents, CAST(regexp_extract(selling_uom, '^(\\d+)X', 1) AS INTEGER) AS pieces FROM v_products)
+SELECT id, (2 * cents + pieces) // (2 * pieces) / 100 AS unit_price FROM n""")
 def unit_prices(v: Views) -> DataFrame:
     return v.products().select("id", unit_price(F.col("price"), F.col("selling_uom")).alias("unit_price"))
