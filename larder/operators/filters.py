@@ -38,14 +38,12 @@ _GRAM = 3
 def _grams(text: Column) -> Column:
     """Distinct substrings of one to three characters."""
     low = F.lower(text)
-    runs = [
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))),
-            lambda i, n=n: F.substring(low, i, F.lit(n)),
-        )
-        for n in range(1, _GRAM + 1)
-    ]
-    return F.array_distinct(F.concat(*runs))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
+
+    def runs(n):
+        return F.transform(starts, lambda i: F.substring(low, i, F.lit(n)))
+
+    return F.array_distinct(F.concat(*[runs(n) for n in range(1, _GRAM + 1)]))
 
 
 def resolve_supplier(queries: DataFrame, suppliers: DataFrame, strict: bool = False) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,6 @@ class SearchRun:
 
 def embed_queries(queries: DataFrame, embedder: Embedder) -> DataFrame:
     """Fill missing query vectors from the text."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
         return pd.Series(list(embedder(texts.fillna("").tolist())))
