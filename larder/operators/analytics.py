@@ -117,13 +117,17 @@ def similar_texts(products: DataFrame, threshold: float) -> DataFrame:
     )
     n = F.size("ordered")
     lead = weighed.withColumn("lead", F.slice("ordered", F.lit(1), n - F.floor(F.lit(threshold) * n + 1e-9).cast("int")))
-    opened = lead.select("description", "ordered", "lead", F.explode("lead").alias("gram"))
-    a = opened.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("description", "ordered", "lead")])
-    b = opened.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("description", "ordered", "lead")])
-    na, nb = F.size("ordered_a"), F.size("ordered_b")
+    opened = lead.select("description", "ordered", "lead", n.alias("n"), F.posexplode("lead").alias("i", "gram"))
+    columns = ("description", "ordered", "lead", "n", "i")
+    a = opened.select("gram", *[F.col(c).alias(f"{c}_a") for c in columns])
+    b = opened.select("gram", *[F.col(c).alias(f"{c}_b") for c in columns])
+    na, nb = F.col("n_a"), F.col("n_b")
+    # from the first shared trigram on, no more can be shared than what is left of the shorter rest
+    left = F.least(na - F.col("i_a"), nb - F.col("i_b"))
+    enough = left >= (na + nb) * (threshold / (1 + threshold)) - 1e-9
     first = F.get(F.filter("lead_a", lambda g: F.array_contains(F.col("lead_b"), g)), F.lit(0))
     near = score(set_similarity(F.col("ordered_a"), F.col("ordered_b")))
-    met = a.join(b, "gram").where((na >= threshold * nb - 1e-9) & (nb >= threshold * na - 1e-9))
+    met = a.join(b, "gram").where((na >= threshold * nb - 1e-9) & (nb >= threshold * na - 1e-9)).where(enough)
     kept = keep_above(keep_rows(met, F.col("gram") == first), near, "similarity", threshold)
     return kept.select(F.col("description_a").alias("text_a"), F.col("description_b").alias("text_b"), "similarity")
 

@@ -10,6 +10,7 @@ from larder.operators import maintenance as mt
 from larder.operators.analytics import change_status, compare_suppliers, export_csv
 from larder.operators.cart import decimal_comma, pack_count, unit_price
 from larder.operators.orders import price_orders
+from larder.plans.importing import import_products
 from larder.sources import price_lists as pl
 
 
@@ -232,3 +233,19 @@ def test_compare_suppliers_brute_force(spark):
     for r in compare_suppliers(goods, k=4, threshold=0.4).orderBy("id", "place").collect():
         got.setdefault(r["id"], []).append((-round(r["similarity"], 6), r["other_id"]))
     assert got == {i: sorted(v)[:4] for i, v in want.items()}
+
+
+def test_import_run(spark, tmp_path):
+    raw = spark.createDataFrame(RAW + [("MARR SPA", 14, "123", "again", None, None, "9")], "sheet string, line_no long, c0 string, c1 string, c2 string, c3 string, c4 string")
+    load = pl.clean_rows(raw, suppliers(spark), "L1")
+    have = spark.createDataFrame([("L1", "s1", "126")], "price_list_id string, supplier_id string, supplier_code string")
+    dry = import_products(load, have, suppliers(spark))
+    assert {r["supplier_code"] for r in dry.accepted.collect()} == {"123", "125", "127"}
+    assert {(r["line_no"], r["status"]) for r in dry.rejected.collect()} == {(14, "duplicate_in_load"), (12, "exists_in_target")}
+    assert [tuple(r) for r in dry.summary.collect()] == [("MARR SPA", 5)]
+    import_products(load, have, suppliers(spark), str(tmp_path / "p"))
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 3
+    whole = import_products(load.withColumn("line_no", F.col("line_no") - 8), have, suppliers(spark), batch_atomic=True)
+    assert whole.accepted.count() == 0
+    meta = pl.register_price_list(spark, "L1", "Hotel", None, None, "file.xlsx").first()
+    assert meta["hotel_name"] == "Hotel" and meta["notes"] is None
