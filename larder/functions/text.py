@@ -162,16 +162,15 @@ def rank_long_texts(spots: pd.Series, n_lexemes: pd.Series, together: pd.Series)
     return pd.Series([one(f, n, b) for f, n, b in zip(spots, n_lexemes, together)], dtype=float)
 
 
+# Three characters of padded words: two blanks and a letter, or anything around a letter.
+TRIGRAM = "(?=(  [^ ]|.[^ ].))"
+
+
 def trigrams(text: Column) -> Column:
     """Distinct trigrams over all words, each padded with two leading and one trailing blank."""
-    grams = F.transform(
-        split_words(text),
-        lambda w: F.transform(
-            F.sequence(F.lit(1), F.length(w) + 1),
-            lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)),
-        ),
-    )
-    return F.array_distinct(F.flatten(grams))
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+    padded = F.concat(F.lit("  "), F.replace(words, F.lit(" "), F.lit("   ")), F.lit(" "))
+    return F.array_distinct(F.regexp_extract_all(padded, F.lit(TRIGRAM), F.lit(1)))
 
 
 CODE_SHIFT = 1 << 21

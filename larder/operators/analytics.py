@@ -106,10 +106,10 @@ def similar_texts(products: DataFrame, threshold: float) -> DataFrame:
     one of them. Copies of a text were folded before, so they make no pairs.
     """
     texts = products.select("description").distinct().withColumn("grams", trigram_codes(F.col("description")))
-    texts = texts.where(F.size("grams") > 0)
-    df = texts.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    # outer explodes, as plain ones make Spark infer filters that compute the trigrams again
+    df = texts.select(F.explode_outer("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     weighed = (
-        texts.select("description", F.explode("grams").alias("gram"))
+        texts.select("description", F.explode_outer("grams").alias("gram"))
         .join(df, "gram")
         .groupBy("description")
         .agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("w"))

@@ -73,7 +73,8 @@ def fuzzy_hits(
         "query_id", "result_limit", F.col("grams").alias("q_grams"), "probe", F.explode("probe").alias("gram")
     )
     rows = products.select("id", trigram_codes(F.col("description")).alias("p_grams"))
-    opened = rows.select("*", F.explode("p_grams").alias("gram"))
+    # the outer form: for a plain explode Spark infers a filter that computes the trigrams again
+    opened = rows.select("*", F.explode_outer("p_grams").alias("gram"))
     n_p, n_q = F.size("p_grams"), F.size("q_grams")
     # sizes too far apart cannot reach the threshold
     fits = (n_p >= threshold * n_q - 1e-9) & (n_q >= threshold * n_p - 1e-9)
@@ -83,8 +84,8 @@ def fuzzy_hits(
         keys = asks.select("query_id", "gram")
         pairs = opened.select("id", "gram").join(keys, "gram")
         met = rows.join(pairs, "id").join(asks, ["query_id", "gram"]).where(fits)
-    # a pair meets at every shared lookup trigram: keep it at the first only
-    first = F.get(F.filter("probe", lambda g: F.array_contains(F.col("p_grams"), g)), F.lit(0))
+    # a pair meets at every shared lookup trigram: keep it at one of them, the smallest
+    first = F.array_min(F.array_intersect("probe", "p_grams"))
     near = bt.score(set_similarity(F.col("p_grams"), F.col("q_grams")))
     met = bt.keep_above(bt.keep_rows(met, F.col("gram") == first), near, "similarity", threshold)
     return met.select("query_id", "id", "result_limit", "similarity")
