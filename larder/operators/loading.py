@@ -38,7 +38,7 @@ def split_new_batches(
     all first held by itself or by an accepted batch; the earliest open batch always settles.
     """
     rows = load.withColumn("batch_no", F.floor(F.col(order) / batch).cast("long"))
-    held = rows.groupBy(*key, "batch_no").agg(F.count("*").alias("n"))
+    held = cut_lineage(rows.groupBy(*key, "batch_no").agg(F.count("*").alias("n")))
     in_target = target.select(*key).distinct().withColumn("_taken", F.lit(True))
     flagged = held.join(in_target, key, "left")
     bad = F.max((F.coalesce("_taken", F.lit(False)) | (F.col("n") > 1)).cast("int"))

@@ -70,5 +70,6 @@ def search_messages(queries: DataFrame, results: DataFrame) -> DataFrame:
     """Number of hits per query and a message where there are none."""
     n = results.groupBy("query_id").agg(F.count("*").alias("count"))
     out = queries.select("query_id", "search_text").join(n, "query_id", "left").na.fill(0, ["count"])
+    # fixed value: the text shown for an empty result
     none = F.concat(F.lit('Nessun risultato per: "'), F.col("search_text"), F.lit('"'))
     return out.withColumn("message", F.when(F.col("count") == 0, none))

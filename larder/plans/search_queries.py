@@ -175,6 +175,14 @@ def fts_docs_batch(v: Views) -> DataFrame:
     return out.select("query_id", "id", "rank_no", "rank", "supplier_code")
 
 
+@query("fts_italian")
+def fts_italian(v: Views) -> DataFrame:
+    """Stemmed search; SQL has no stemmer for it, so tests check it on fixtures."""
+    asks = v.spark.createDataFrame(DOC_QUERIES, "query_id int, search_text string")
+    out = search_fts_batch(v.docs(), v.doc_suppliers(), asks, result_limit=100, config="italian", long_texts=True)
+    return out.select("query_id", "id", "rank_no", "rank", "supplier_code")
+
+
 # ---------------------------------------------------------------- fuzzy
 
 

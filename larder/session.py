@@ -28,15 +28,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Use the cluster's shared checkpoint folder; set ``fallback`` only where none is configured."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(configured or fallback)
-    return sc.getCheckpointDir()
-
-
 def cut_lineage(df):
     """Checkpoint an iterative frame to the shared folder; keep it cached where none is configured."""
     spark = df.sparkSession
@@ -49,7 +40,7 @@ def cut_lineage(df):
 def spread(df):
     """Deal rows out evenly when a scan has fewer splits than the cluster has cores.
 
-    Meant for small inputs ahead of costly row work; a table of many files is returned as it is.
+    Only the planned number of splits is read. Meant for small inputs ahead of costly row work; a table of many files is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -2,7 +2,7 @@
 
 from decimal import Decimal
 
-SUPPLIERS = [("s1", "MARR SPA"), ("s2", "DAC SPA"), ("s3", "50% OFF_SHOP")]
+SUPPLIERS = [("s1", "NORD SPA"), ("s2", "ALPI SPA"), ("s3", "50% OFF_SHOP")]
 
 # id, supplier, code, description, selling_uom, pricing_uom, price, category, embedding
 PRODUCTS = [

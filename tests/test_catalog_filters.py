@@ -23,7 +23,7 @@ def test_filters(spark):
 
 def test_escape_like(spark):
     cases = [("50%off", r"50\%off"), ("product_name", r"product\_name"), (r"path\to\file", r"path\\to\\file"),
-             (r"50%_\test", r"50\%\_\\test"), ("MARR SPA", "MARR SPA"), ("", "")]
+             (r"50%_\test", r"50\%\_\\test"), ("NORD SPA", "NORD SPA"), ("", "")]
     df = spark.createDataFrame(cases, "a string, want string")
     assert all(r["got"] == r["want"] for r in df.select("want", escape_like(F.col("a")).alias("got")).collect())
 
@@ -51,9 +51,9 @@ def test_chat_request_limits(spark):
 
 
 def test_resolve_supplier(spark):
-    asks = spark.createDataFrame([(1, "spa"), (2, "dac"), (3, "_off"), (4, "%"), (5, None), (6, ""), (7, "f_s"), (8, "a s")], "query_id int, supplier string")
+    asks = spark.createDataFrame([(1, "spa"), (2, "alpi"), (3, "_off"), (4, "%"), (5, None), (6, ""), (7, "f_s"), (8, "a s")], "query_id int, supplier string")
     got = {r["query_id"]: r["supplier_filter"] for r in resolve_supplier(asks, suppliers(spark)).collect()}
-    # DAC SPA comes before MARR SPA; '_' and '%' are plain characters
+    # ALPI SPA comes before NORD SPA; '_' and '%' are plain characters
     assert got == {1: "s2", 2: "s2", 3: None, 4: "s3", 5: None, 6: None, 7: "s3", 8: None}
 
 
@@ -75,7 +75,7 @@ def test_catalog_text(spark):
     assert len(ids(page(spark, search_text="%"))) == 6
     assert ids(page(spark, search_text="s_le")) == ["p3"]
     row = page(spark, search_text="sale").first()
-    assert row["category_name"] is None and row["supplier_name"] == "MARR SPA"
+    assert row["category_name"] is None and row["supplier_name"] == "NORD SPA"
     assert "rank" not in row and "pricing_uom" not in row
 
 

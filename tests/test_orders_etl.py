@@ -60,7 +60,7 @@ def test_order_pricing(spark):
     assert ok["total"] == Decimal("32.60") and ok["status"] == "pending"
     assert ok["delivery_address"] == "" and ok["contact_phone"] == "" and ok["billing_company"] == "ACME"
     items = [r for r in out.order_items.collect() if r["order_id"] == "same_twice"]
-    assert len(items) == 2 and {r["supplier_name"] for r in items} == {"MARR SPA"}
+    assert len(items) == 2 and {r["supplier_name"] for r in items} == {"NORD SPA"}
     assert {r["order_id"] for r in out.order_items.collect()} == set(orders)
 
 
@@ -74,13 +74,13 @@ def test_hot_product_is_priced_whole(spark):
 
 
 RAW = [
-    ("MARR SPA", 8, " 123 ", " Vino ", "PZ", None, "4.5"),
-    ("MARR SPA", 9, "  ", "no code", None, None, "1"),
-    ("MARR SPA", 10, "124", None, None, None, "1"),
-    ("MARR SPA", 11, "125", "price text", "", "KG", "abc"),
-    ("MARR SPA", 12, "126", "no price", None, None, None),
+    ("NORD SPA", 8, " 123 ", " Vino ", "PZ", None, "4.5"),
+    ("NORD SPA", 9, "  ", "no code", None, None, "1"),
+    ("NORD SPA", 10, "124", None, None, None, "1"),
+    ("NORD SPA", 11, "125", "price text", "", "KG", "abc"),
+    ("NORD SPA", 12, "126", "no price", None, None, None),
     ("nobody", 8, "1", "x", None, None, "1"),
-    ("MARR SPA", 13, "127", "nan price", None, None, "NaN"),
+    ("NORD SPA", 13, "127", "nan price", None, None, "NaN"),
 ]
 
 
@@ -92,17 +92,17 @@ def test_clean_rows(spark):
     assert got["125"]["price"] is None and got["125"]["selling_uom"] is None and got["127"]["price"] is None
     assert got["123"]["currency"] == "EUR" and got["123"]["price_list_id"] == "L1"
     problems = {(r["sheet"], r["problem"]) for r in pl.unknown_sheets(raw, suppliers(spark)).collect()}
-    assert problems == {("DAC SPA", "missing"), ("50% OFF_SHOP", "missing"), ("nobody", "unknown")}
+    assert problems == {("ALPI SPA", "missing"), ("50% OFF_SHOP", "missing"), ("nobody", "unknown")}
 
 
 def test_read_sheets_and_json(spark, tmp_path):
-    folder = tmp_path / "sheets" / "MARR SPA"
+    folder = tmp_path / "sheets" / "NORD SPA"
     folder.mkdir(parents=True)
     head = "title,,,,\n" * 7
     (folder / "list.csv").write_text(head + '0123,"Vino ""rosso""\nriserva",PZ,PZ,"4.5"\n,,,,\n7,Acqua,,,\n', encoding="utf-8")
     rows = pl.read_sheets(spark, str(tmp_path / "sheets")).orderBy("line_no").collect()
     assert [(r["sheet"], r["c0"], r["c1"], r["c4"]) for r in rows] == [
-        ("MARR SPA", "0123", 'Vino "rosso"\nriserva', "4.5"), ("MARR SPA", None, None, None), ("MARR SPA", "7", "Acqua", None)
+        ("NORD SPA", "0123", 'Vino "rosso"\nriserva', "4.5"), ("NORD SPA", None, None, None), ("NORD SPA", "7", "Acqua", None)
     ]
     records = [{"price_list_id": "L", "supplier_id": "s1", "supplier_code": "1", "description": "d", "price": 4.5}]
     (tmp_path / "all.json").write_text(json.dumps(records), encoding="utf-8")
@@ -112,7 +112,7 @@ def test_read_sheets_and_json(spark, tmp_path):
 
 def test_import_summary_and_write(spark, tmp_path):
     got = pl.import_summary(products(spark).withColumn("supplier_id", F.when(F.col("id") == "p6", "zz").otherwise(F.col("supplier_id"))), suppliers(spark))
-    assert [(r["supplier"], r["n_products"]) for r in got.collect()] == [("MARR SPA", 3), ("DAC SPA", 2), ("zz", 1)]
+    assert [(r["supplier"], r["n_products"]) for r in got.collect()] == [("NORD SPA", 3), ("ALPI SPA", 2), ("zz", 1)]
     pl.write_products(products(spark).withColumn("price_list_id", F.lit("L1")), str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).where("price_list_id = 'L1'").count() == 6
 
@@ -236,13 +236,13 @@ def test_compare_suppliers_brute_force(spark):
 
 
 def test_import_run(spark, tmp_path):
-    raw = spark.createDataFrame(RAW + [("MARR SPA", 14, "123", "again", None, None, "9")], "sheet string, line_no long, c0 string, c1 string, c2 string, c3 string, c4 string")
+    raw = spark.createDataFrame(RAW + [("NORD SPA", 14, "123", "again", None, None, "9")], "sheet string, line_no long, c0 string, c1 string, c2 string, c3 string, c4 string")
     load = pl.clean_rows(raw, suppliers(spark), "L1")
     have = spark.createDataFrame([("L1", "s1", "126")], "price_list_id string, supplier_id string, supplier_code string")
     dry = import_products(load, have, suppliers(spark))
     assert {r["supplier_code"] for r in dry.accepted.collect()} == {"123", "125", "127"}
     assert {(r["line_no"], r["status"]) for r in dry.rejected.collect()} == {(14, "duplicate_in_load"), (12, "exists_in_target")}
-    assert [tuple(r) for r in dry.summary.collect()] == [("MARR SPA", 5)]
+    assert [tuple(r) for r in dry.summary.collect()] == [("NORD SPA", 5)]
     import_products(load, have, suppliers(spark), str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).count() == 3
     whole = import_products(load.withColumn("line_no", F.col("line_no") - 8), have, suppliers(spark), batch_atomic=True)

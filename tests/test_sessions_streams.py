@@ -49,7 +49,7 @@ def test_shapes_and_tool_calls(spark):
 
 
 def test_cart_actions_and_state(spark):
-    text = ('ok <!--CART_ACTION[{"action":"add","id":"a","description":"VINO","supplier_name":"DAC","price":4.30,"selling_uom":"PZ","qty":2},'
+    text = ('ok <!--CART_ACTION[{"action":"add","id":"a","description":"VINO","supplier_name":"ALPI","price":4.30,"selling_uom":"PZ","qty":2},'
             '{"action":"add","id":"b","qty":1}]--> e <!--CART_ACTION[{"action":"remove","id":"b"}]-->')
     df = spark.createDataFrame([("m1", text), ("m2", "nothing"), ("m3", "<!--CART_ACTION[oops]-->")], "id string, content string")
     got = [(r["message_id"], r["block_no"], r["action_no"], r["action"], r["id"], r["qty"]) for r in cart_actions(df).orderBy("block_no", "action_no").collect() if r["action"]]

@@ -115,7 +115,7 @@ def test_hybrid_batch_equals_single(spark):
 
 def raw(spark):
     rows = [
-        (1, "prosecco", "marr", None, None, "20", "0.4", "0.6"),
+        (1, "prosecco", "nord", None, None, "20", "0.4", "0.6"),
         (2, "", None, None, None, None, None, None),
         (3, "x" * 501, None, None, None, None, None, None),
         (4, "prosecco", "nobody", "cheap", None, None, None, None),
