@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontaminate, licences, neardup, pii, pii_sql
+from larder.llm import decontaminate, embeddings, licences, neardup, pii, pii_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,8 @@ def op6_near_duplicates(spark, folder):
 @_query("op9_personal_data", pii_sql.oracle())
 def op9_personal_data(spark, folder):
     return pii.digest(pii.find_personal(_table(spark, folder, "documents")))
+
+
+@_query("op10_embedding_duplicates", embeddings.oracle())
+def op10_embedding_duplicates(spark, folder):
+    return embeddings.near_vectors(_table(spark, folder, "embeddings"))
