@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontaminate, embeddings, licences, neardup, pii, pii_sql
+from larder.llm import decontaminate, embeddings, html, langid, licences, neardup, pii, pii_sql, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +51,18 @@ def op9_personal_data(spark, folder):
 @_query("op10_embedding_duplicates", embeddings.oracle())
 def op10_embedding_duplicates(spark, folder):
     return embeddings.near_vectors(_table(spark, folder, "embeddings"))
+
+
+@_query("op1_main_text")
+def op1_main_text(spark, folder):
+    return html.extract(_table(spark, folder, "pages"))
+
+
+@_query("op2_language")
+def op2_language(spark, folder):
+    return langid.identify(_table(spark, folder, "documents"))
+
+
+@_query("op7_quality")
+def op7_quality(spark, folder):
+    return quality.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
