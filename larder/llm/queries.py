@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontaminate, embeddings, html, langid, licences, neardup, pii, pii_sql, quality
+from larder.llm import decontaminate, embeddings, html, langid, licences, neardup, packing, pii, pii_sql, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,14 @@ def op2_language(spark, folder):
 @_query("op7_quality")
 def op7_quality(spark, folder):
     return quality.score(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+@_query("op5_packing")
+def op5_packing(spark, folder):
+    return packing.pack_documents(_table(spark, folder, "documents"))
+
+
+@_query("op8_secrets")
+def op8_secrets(spark, folder):
+    found = secrets.scan(_table(spark, folder, "documents"))
+    return found.selectExpr("id AS doc_id", "start", "`end`", "kind", "sha2(value, 256) AS value_sha256", "score")
