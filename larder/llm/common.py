@@ -43,3 +43,13 @@ def unit_hash(*columns) -> Column:
 def share(held: Column, buckets: int, which: int) -> Column:
     """True where crc32 of the id as text, modulo buckets, is which; false for a null id."""
     return F.coalesce(F.crc32(held.cast("string").cast("binary")) % buckets == which, F.lit(False))
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that are columns of the frame."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out

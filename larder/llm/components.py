@@ -24,7 +24,7 @@ def _jump(lows: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """links (a, b), null-free, in any order, repeats allowed -> node, component (smallest node reachable).
 
-    Only nodes with a link to another one are given; no links give no rows.
+    Smallest nodes themselves, and nodes without a link to another one, are not listed; no links give no rows.
     """
     edges = durable(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("low")).distinct())
     while True:

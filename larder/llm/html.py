@@ -246,8 +246,8 @@ def main_text(html: str | None) -> str:
 
     for x in nodes:
         above = x.parent
-        x.menu = x is not best and x.blocks >= 3 and x.tag != "p" and _density(x) > 0.8 or above is not None and above.menu
         x.kept = x is best or above is not None and (above.kept or above is best.parent and sibling(x))
+        x.menu = above is not None and above.menu or x.kept and x is not best and x.blocks >= 3 and x.tag != "p" and _density(x) > 0.8
     return "\n".join(text for holder, text, _ in blocks if holder.kept and not holder.menu)
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import share, unit_hash
+from larder.llm.common import share, spare, unit_hash
 
 #: Features (a power of two), longest n-gram, labelled rows per language that are trained on.
 FEATURE_BITS, LONGEST, ROWS_PER_LANGUAGE = 15, 3, 300
@@ -155,5 +155,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the rows whose language is undetermined or less likely than least; columns as they are."""
     model = train(docs.where(F.col(id_col).isNotNull() & ~share(F.col(id_col), 3, 1)), id_col, text_col, lang_col)
-    marked = docs.withColumn("_language", predicted(docs.sparkSession, model, F.col(text_col)))
-    return marked.where((F.col("_language.lang_pred") != UNDETERMINED) & (F.col("_language.score") >= least)).drop("_language")
+    (own,) = spare(docs, "_language")
+    marked = docs.withColumn(own, predicted(docs.sparkSession, model, F.col(text_col)))
+    return marked.where((F.col(own)["lang_pred"] != UNDETERMINED) & (F.col(own)["score"] >= least)).drop(own)

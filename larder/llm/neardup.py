@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.llm.common import array_of, durable, small_or_shuffled
+from larder.llm.common import array_of, durable, small_or_shuffled, spare
 from larder.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
@@ -128,16 +128,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
     A group of null ids alone keeps one row. Of several texts with the smallest id, and of repeated rows, one stays.
     """
+    own_id, own_key = spare(docs, "_id", "_key")
     rows = durable(_grouped(docs, id_col, text_col, radius).select("id", "text_key", "component"))
     keys = rows.groupBy("component", "id", "text_key").agg(F.count("*").alias("n"))
     first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key")).alias("first"))
     chosen = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key").eqNullSafe(F.col("first"))
-    marked = durable(keys.join(durable(first), "component").select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), chosen.alias("stays"), "n"))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_key"))
-    kept = docs.join(small_or_shuffled(marked.where("not stays").select("_id", "_key")), same, "left_anti")
-    repeated = small_or_shuffled(marked.where("stays and n > 1").select("_id", "_key"))
+    marked = durable(keys.join(durable(first), "component").select(F.col("id").alias(own_id), F.col("text_key").alias(own_key), chosen.alias("stays"), "n"))
+    same = docs[id_col].cast("long").eqNullSafe(F.col(own_id)) & (F.xxhash64(docs[text_col]) == F.col(own_key))
+    kept = docs.join(small_or_shuffled(marked.where("not stays").select(own_id, own_key)), same, "left_anti")
+    repeated = small_or_shuffled(marked.where("stays and n > 1").select(own_id, own_key))
     if repeated.isEmpty():
         return kept
     again = kept.join(repeated, same, "left_semi")
-    once = again.withColumn("_key", F.xxhash64(text_col)).dropDuplicates([id_col, "_key"]).drop("_key")
+    once = again.withColumn(own_key, F.xxhash64(text_col)).dropDuplicates([id_col, own_key]).drop(own_key)
     return kept.join(repeated, same, "left_anti").unionByName(once)

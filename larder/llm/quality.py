@@ -71,10 +71,12 @@ class Model:
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pools neighbours until the means rise: the middle and the mean of every step."""
+    """Pools equal outputs, then neighbours until the means rise: the middle and the mean of every step."""
     steps: list[list[float]] = []
-    for a, b in sorted(zip(x.tolist(), y.tolist(), strict=True)):
-        steps.append([b, 1.0, a, a])
+    values, place = np.unique(x, return_inverse=True)
+    counts = np.bincount(place)
+    for a, n, total in zip(values.tolist(), counts.tolist(), np.bincount(place, y).tolist(), strict=True):
+        steps.append([total / n, n, a, a])
         while len(steps) > 1 and steps[-2][0] >= steps[-1][0]:
             mean, n, _, high = steps.pop()
             below = steps[-1]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larder.llm.common import durable, small_or_shuffled, unit_hash
+from larder.llm.common import durable, small_or_shuffled, spare, unit_hash
 
 # Kind and pattern of proposals; the group `secret` is the candidate. Earlier kinds win over later ones.
 PATTERNS = [
@@ -178,12 +178,13 @@ def _blanked(texts: pd.Series, spans: pd.Series) -> pd.Series:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", length_col: str | None = "n_chars") -> DataFrame:
     """docs with every kept finding replaced by its kind in brackets; length_col, if given, follows. Columns and rows as they are."""
+    own_id, own_key, own_spans = spare(docs, "_id", "_key", "_spans")
     kept = scan(docs, None, id_col, text_col, path_col).select("id", "text_key", "start", "end", "kind").distinct()
-    spans = kept.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list(F.struct("start", "end", "kind")).alias("_spans"))
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_key"))
+    spans = kept.groupBy(F.col("id").alias(own_id), F.col("text_key").alias(own_key)).agg(F.collect_list(F.struct("start", "end", "kind")).alias(own_spans))
+    same = docs[id_col].eqNullSafe(F.col(own_id)) & (F.xxhash64(docs[text_col]) == F.col(own_key))
     joined = docs.join(small_or_shuffled(spans, 100_000), same, "left")
-    hit = F.col("_spans").isNotNull()
-    text: Column = F.when(hit, _blanked(F.when(hit, F.col(text_col)), F.col("_spans"))).otherwise(F.col(text_col))
+    hit = F.col(own_spans).isNotNull()
+    text: Column = F.when(hit, _blanked(F.when(hit, F.col(text_col)), F.col(own_spans))).otherwise(F.col(text_col))
     changed = joined.withColumn(text_col, text)
     if length_col:
         changed = changed.withColumn(length_col, F.when(hit, F.length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
