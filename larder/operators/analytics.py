@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larder.functions.text import set_similarity, trigram_codes
-from larder.operators.batches import keep_above, keep_rows, score
+from larder.operators.batches import keep_above, keep_rows
 
 # The order status path.
 STATUS_PATH = [("pending", "confirmed"), ("confirmed", "shipped"), ("shipped", "delivered")]
@@ -126,7 +126,7 @@ def similar_texts(products: DataFrame, threshold: float) -> DataFrame:
     left = F.least(na - F.col("i_a"), nb - F.col("i_b"))
     enough = left >= (na + nb) * (threshold / (1 + threshold)) - 1e-9
     first = F.get(F.filter("lead_a", lambda g: F.array_contains(F.col("lead_b"), g)), F.lit(0))
-    near = score(set_similarity(F.col("ordered_a"), F.col("ordered_b")))
+    near = set_similarity(F.col("ordered_a"), F.col("ordered_b"))
     met = a.join(b, "gram").where((na >= threshold * nb - 1e-9) & (nb >= threshold * na - 1e-9)).where(enough)
     kept = keep_above(keep_rows(met, F.col("gram") == first), near, "similarity", threshold)
     return kept.select(F.col("description_a").alias("text_a"), F.col("description_b").alias("text_b"), "similarity")

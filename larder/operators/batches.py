@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCALE = 1e6
+DIGITS, COSINE_SCALE = 10, 1e10
 MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_BYTES = 16 << 20
 MAX_BROADCAST_HITS = 1_000_000
@@ -59,8 +59,22 @@ def measure(queries: DataFrame, default_limit: int) -> BatchSize:
 
 
 def score(c: Column) -> Column:
-    """Scores compare and print at six digits, so equal scores tie and the id decides."""
-    return F.floor(c.cast("double") * SCALE + 0.5) / SCALE
+    """A rank or fused score at ten significant digits, however small it is.
+
+    Sums in another order differ in the last bits; at ten digits such scores still tie and the id decides, while a rank
+    of 1e-20 stays what it is. The lambda computes ``c`` once.
+    """
+
+    def digits(x):
+        power = F.pow(F.lit(10.0), DIGITS - 1 - F.floor(F.log10(F.abs(x))))
+        return F.when(x == 0, x).otherwise(F.floor(x * power + 0.5) / power)
+
+    return F.transform(F.array(c.cast("double")), digits)[0]
+
+
+def cosine_score(c: Column) -> Column:
+    """A cosine at ten decimals: its error does not shrink with its size."""
+    return F.floor(c * COSINE_SCALE + 0.5) / COSINE_SCALE
 
 
 def top_k(hits: DataFrame, order: list[Column], size: BatchSize, default_limit: int) -> DataFrame:

@@ -19,7 +19,7 @@ def search_fuzzy(
     result_limit: int = 50,
 ) -> DataFrame:
     """Products whose whole description is more similar than the threshold, for one query."""
-    near = bt.score(set_similarity(F.col("_grams"), trigram_codes(F.lit(search_query))))
+    near = set_similarity(F.col("_grams"), trigram_codes(F.lit(search_query)))
     names = suppliers.select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier_name"))
     rows = products.withColumn("_grams", trigram_codes(F.col("description")))
     return (
@@ -86,7 +86,7 @@ def fuzzy_hits(
         met = rows.join(pairs, "id").join(asks, ["query_id", "gram"]).where(fits)
     # a pair meets at every shared lookup trigram: keep it at one of them, the smallest
     first = F.array_min(F.array_intersect("probe", "p_grams"))
-    near = bt.score(set_similarity(F.col("p_grams"), F.col("q_grams")))
+    near = set_similarity(F.col("p_grams"), F.col("q_grams"))
     met = bt.keep_above(bt.keep_rows(met, F.col("gram") == first), near, "similarity", threshold)
     return met.select("query_id", "id", "result_limit", "similarity")
 

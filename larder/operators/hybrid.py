@@ -93,7 +93,7 @@ def _single_scan(products, suppliers, queries, size, result_limit, config, long_
     met = with_tokens(products, config).select("id", "embedding", "tokens").join(either, "id").join(asks, "query_id")
     ranked = with_rank(met, F.col("parsed.lexemes"), F.col("parsed.together"), "fts_rank", long_texts)
     sim = F.coalesce(cosine_similarity(F.col("embedding"), F.col("query_embedding")), F.lit(0.0))
-    scored = ranked.select("query_id", "id", "fts_rank", bt.score(sim).alias("semantic_similarity"))
+    scored = ranked.select("query_id", "id", "fts_rank", bt.cosine_score(sim).alias("semantic_similarity"))
     fused = scored.join(_weights(queries), "query_id").withColumn(
         "combined_score", weighted_sum(F.col("fts_rank"), F.col("semantic_similarity"))
     )

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,19 +24,19 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norms > 0, norms, 1.0)
 
 
-def _scorer(block: pd.DataFrame, default_limit: int, threshold: float | None, prune: bool):
+def _scorer(block: list[dict], query_type: pa.DataType, default_limit: int, threshold: float | None, prune: bool):
     """Arrow task that keeps the best rows of its partition for every query of one block.
 
     Without ``prune`` it passes on every row above the threshold, chunk by chunk.
     """
-    unit = _unit(np.array(block["query_embedding"].tolist(), dtype=np.float64)).T
+    unit = _unit(np.array([r["query_embedding"] for r in block], dtype=np.float64)).T
     dim = unit.shape[0]
-    query_ids = block["query_id"].to_numpy()
-    keep = block["result_limit"].fillna(default_limit).astype(int).to_numpy()
+    query_ids = pa.array([r["query_id"] for r in block], query_type)
+    keep = np.array([default_limit if r["result_limit"] is None else r["result_limit"] for r in block], dtype=int)
     filtered = [
-        (q, r.supplier_filter, r.price_min, r.price_max)
-        for q, r in enumerate(block.itertuples(index=False))
-        if not (pd.isna(r.supplier_filter) and pd.isna(r.price_min) and pd.isna(r.price_max))
+        (q, r["supplier_filter"], r["price_min"], r["price_max"])
+        for q, r in enumerate(block)
+        if not (r["supplier_filter"] is None and r["price_min"] is None and r["price_max"] is None)
     ]
     any_filter = bool(filtered)
 
@@ -44,8 +45,8 @@ def _scorer(block: pd.DataFrame, default_limit: int, threshold: float | None, pr
         return rows[rows.groupby("q").cumcount().to_numpy() < keep[rows["q"].to_numpy()]]
 
     def as_batch(found: pd.DataFrame) -> pa.RecordBatch:
-        out = {"query_id": query_ids[found["q"].to_numpy()], "id": found["id"], "similarity": found["similarity"]}
-        return pa.RecordBatch.from_pandas(pd.DataFrame(out), preserve_index=False)
+        ids = query_ids.take(pa.array(found["q"].to_numpy()))
+        return pa.RecordBatch.from_arrays([ids, pa.array(found["id"]), pa.array(found["similarity"])], names=["query_id", "id", "similarity"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, floor = None, np.full(len(keep), -np.inf)
@@ -55,20 +56,21 @@ def _scorer(block: pd.DataFrame, default_limit: int, threshold: float | None, pr
                 ids = part.column("id").to_pandas()
                 flat = part.column("embedding").flatten().to_numpy(zero_copy_only=False)
                 cosines = _unit(flat.astype(np.float64).reshape(-1, dim)) @ unit
-                sims = np.floor(cosines * bt.SCALE + 0.5) / bt.SCALE
+                sims = np.floor(cosines * bt.COSINE_SCALE + 0.5) / bt.COSINE_SCALE
                 # a row tied with the current last place may still win on its id
                 ok = sims >= floor
                 if threshold is not None:
                     ok &= sims > threshold
                 if any_filter:
-                    supplier = part.column("supplier_id").to_pandas()
-                    price = part.column("price").to_pandas().to_numpy(dtype=np.float64, na_value=np.nan)
+                    # identifiers stay whole numbers beside NULL
+                    supplier = part.column("supplier_id")
+                    price = part.column("price").to_numpy(zero_copy_only=False).astype(np.float64)
                     for q, wanted, low, high in filtered:
-                        if not pd.isna(wanted):
-                            ok[:, q] &= (supplier == wanted).to_numpy()
-                        if not pd.isna(low):
+                        if wanted is not None:
+                            ok[:, q] &= pc.fill_null(pc.equal(supplier, pa.scalar(wanted, supplier.type)), False).to_numpy(zero_copy_only=False)
+                        if low is not None:
                             ok[:, q] &= price >= low
-                        if not pd.isna(high):
+                        if high is not None:
                             ok[:, q] &= price <= high
                 r, q = np.nonzero(ok)
                 if not len(r):
@@ -122,8 +124,10 @@ def vector_hits(
     out = None
     for b in range(n_blocks):
         block = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        for dim, same in block.toPandas().groupby("dim"):
-            task = _scorer(same.drop(columns="dim").reset_index(drop=True), default_limit, threshold, prune)
+        table = block.toArrow()
+        vectors, query_type = table.to_pylist(), table.schema.field("query_id").type
+        for dim in sorted({r["dim"] for r in vectors}):
+            task = _scorer([r for r in vectors if r["dim"] == dim], query_type, default_limit, threshold, prune)
             found = rows.where(F.col("dim") == int(dim)).drop("dim").mapInArrow(task, schema)
             out = found if out is None else out.unionByName(found)
     if out is None:
@@ -205,7 +209,7 @@ def search_approximate(
         F.col("datasetB.query_id").alias("query_id"),
         F.col("datasetA.id").alias("id"),
         F.col("datasetB.result_limit").alias("result_limit"),
-        bt.score(1 - F.col("distance") * F.col("distance") / 2).alias("similarity"),
+        bt.cosine_score(1 - F.col("distance") * F.col("distance") / 2).alias("similarity"),
     ).where(F.col("similarity") > similarity_threshold)
     best = bt.top_k(hits, [F.desc("similarity"), F.asc("id")], size, result_limit)
     return best.select("query_id", "id", "rank_no", "similarity")

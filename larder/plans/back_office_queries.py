@@ -83,8 +83,8 @@ t AS (SELECT DISTINCT description, {grams_sql('description')} AS g FROM p),
 sims AS (SELECT a.description AS da, b.description AS db, len(list_intersect(a.g, b.g)) / (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g))) AS s
   FROM t a, t b),
 few AS (SELECT *, row_number() OVER (PARTITION BY description, supplier_id ORDER BY id) AS k FROM p QUALIFY k <= 3),
-best AS (SELECT p.id, o.id AS other_id, floor(s * 1e6 + 0.5) / 1e6 AS similarity,
-    row_number() OVER (PARTITION BY p.id ORDER BY floor(s * 1e6 + 0.5) / 1e6 DESC, o.id) AS place
+best AS (SELECT p.id, o.id AS other_id, s AS similarity,
+    row_number() OVER (PARTITION BY p.id ORDER BY s DESC, o.id) AS place
   FROM p JOIN sims ON da = p.description AND s > 0.5 JOIN few o ON o.description = db AND o.supplier_id <> p.supplier_id QUALIFY place <= 3)
 SELECT id, place, other_id, similarity FROM best""")
 def supplier_comparison(v: Views) -> DataFrame:

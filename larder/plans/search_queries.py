@@ -24,6 +24,12 @@ def words(text: str) -> str:
     return f"[x FOR x IN regexp_split_to_array(lower({text}), '[^\\p{{L}}\\p{{N}}]+') IF x <> '']"
 
 
+def digits(x: str) -> str:
+    """Ten significant digits, as the searches compare ranks and fused scores."""
+    power = "pow(10, 9 - floor(log10(abs(v))))"
+    return f"list_transform([({x})::DOUBLE], lambda v: CASE WHEN v = 0 THEN v ELSE floor(v * {power} + 0.5) / {power} END)[1]"
+
+
 def positions_sql(view: str) -> str:
     return f"""
 tok AS (SELECT id, unnest(t) AS lexeme, generate_subscripts(t, 1) AS pos
@@ -51,8 +57,7 @@ gap AS (SELECT a.query_id, a.id, abs(a.pos - b.pos) AS d FROM found a JOIN found
     WHERE a.query_id IN (SELECT query_id FROM lex WHERE together AND n > 1)),
 and_rank AS (SELECT query_id, id, 1 - exp(sum(ln(1 - 0.1 * sqrt(CASE WHEN d > 100 THEN 1e-30
     ELSE 1.0 / (1.005 + 0.05 * exp(d / 1.5 - 2.0)) END)))) AS r FROM gap GROUP BY ALL),
-hit AS (SELECT m.query_id, m.id, floor((CASE WHEN together AND n > 1 THEN coalesce(r, 1e-20)
-    ELSE coalesce(s, 0) / 1.64493406685 / n END) * 1e6 + 0.5) / 1e6 AS rank
+hit AS (SELECT m.query_id, m.id, {digits("CASE WHEN together AND n > 1 THEN coalesce(r, 1e-20) ELSE coalesce(s, 0) / 1.64493406685 / n END")} AS rank
   FROM matched m JOIN lex USING (query_id) LEFT JOIN or_rank USING (query_id, id) LEFT JOIN and_rank USING (query_id, id)),"""
 
 
@@ -199,7 +204,7 @@ SIMILARITY = "len(list_intersect(p.g, q.g)) / (len(p.g) + len(q.g) - len(list_in
 @query("fuzzy_search", f"""
 p AS (SELECT *, {grams_sql('description')} AS g FROM v_products),
 q AS (SELECT {grams_sql("'smal rnig econmy'")} AS g),
-best AS (SELECT p.*, floor(({SIMILARITY}) * 1e6 + 0.5) / 1e6 AS similarity FROM p, q WHERE {SIMILARITY} > 0.2 ORDER BY similarity DESC, p.id LIMIT 50)
+best AS (SELECT p.*, {SIMILARITY} AS similarity FROM p, q WHERE {SIMILARITY} > 0.2 ORDER BY similarity DESC, p.id LIMIT 50)
 SELECT b.id, s.name AS supplier_name, {PRODUCT}, similarity FROM best b JOIN v_suppliers s ON s.id = b.supplier_id""")
 def fuzzy_search(v: Views) -> DataFrame:
     return search_fuzzy(v.products(), v.suppliers(), "smal rnig econmy")
@@ -208,8 +213,8 @@ def fuzzy_search(v: Views) -> DataFrame:
 FUZZY_BATCH = f"""
 p AS (SELECT *, {grams_sql('description')} AS g FROM v_products),
 q AS (SELECT p_name AS query_id, {grams_sql("replace(p_name, 'l', '')")} AS g FROM (SELECT DISTINCT p_name FROM part)),
-best AS (SELECT q.query_id, p.*, floor(({SIMILARITY}) * 1e6 + 0.5) / 1e6 AS similarity,
-    row_number() OVER (PARTITION BY q.query_id ORDER BY floor(({SIMILARITY}) * 1e6 + 0.5) / 1e6 DESC, p.id) AS rank_no
+best AS (SELECT q.query_id, p.*, {SIMILARITY} AS similarity,
+    row_number() OVER (PARTITION BY q.query_id ORDER BY {SIMILARITY} DESC, p.id) AS rank_no
   FROM p, q WHERE {SIMILARITY} > 0.2 QUALIFY rank_no <= 10)
 SELECT query_id, b.id, rank_no, s.name AS supplier_name, {PRODUCT}, similarity
 FROM best b JOIN v_suppliers s ON s.id = b.supplier_id"""
@@ -255,9 +260,9 @@ def mean_vector(v: Views) -> list[float]:
 
 def near_sql(threshold: float, limit: int, where: str = "true", view: str = "v_products") -> str:
     return f"""
-near AS (SELECT query_id, p.id, floor((list_cosine_similarity(p.embedding, vec)) * 1e6 + 0.5) / 1e6 AS sim,
-    row_number() OVER (PARTITION BY query_id ORDER BY floor((list_cosine_similarity(p.embedding, vec)) * 1e6 + 0.5) / 1e6 DESC, p.id) AS rank_no
-  FROM {view} p, ask WHERE p.embedding IS NOT NULL AND floor((list_cosine_similarity(p.embedding, vec)) * 1e6 + 0.5) / 1e6 > {threshold} AND {where}
+near AS (SELECT query_id, p.id, floor((list_cosine_similarity(p.embedding, vec)) * 1e10 + 0.5) / 1e10 AS sim,
+    row_number() OVER (PARTITION BY query_id ORDER BY floor((list_cosine_similarity(p.embedding, vec)) * 1e10 + 0.5) / 1e10 DESC, p.id) AS rank_no
+  FROM {view} p, ask WHERE p.embedding IS NOT NULL AND floor((list_cosine_similarity(p.embedding, vec)) * 1e10 + 0.5) / 1e10 > {threshold} AND {where}
   QUALIFY rank_no <= {limit})"""
 
 
@@ -331,8 +336,8 @@ both_top AS (SELECT coalesce(t.query_id, n.query_id) AS query_id, coalesce(t.id,
     coalesce(t.rank, 0) AS f, coalesce(n.sim, 0) AS s
   FROM text_top t FULL JOIN near n ON t.query_id = n.query_id AND t.id = n.id),
 scaled AS (SELECT query_id, id, f, s, {norm} AS fn FROM both_top WINDOW w AS (PARTITION BY query_id)),
-fused AS (SELECT query_id, id, f AS fts_rank, s AS semantic_similarity, floor((fn * {w1}e0 + s * {w2}e0) * 1e6 + 0.5) / 1e6 AS combined_score,
-    row_number() OVER (PARTITION BY query_id ORDER BY floor((fn * {w1}e0 + s * {w2}e0) * 1e6 + 0.5) / 1e6 DESC, id) AS rank_no
+fused AS (SELECT query_id, id, f AS fts_rank, s AS semantic_similarity, {digits(f"fn * {w1}e0 + s * {w2}e0")} AS combined_score,
+    row_number() OVER (PARTITION BY query_id ORDER BY {digits(f"fn * {w1}e0 + s * {w2}e0")} DESC, id) AS rank_no
   FROM scaled QUALIFY rank_no <= {k})"""
 
 
@@ -347,6 +352,14 @@ def hybrid_search(v: Views) -> DataFrame:
     )
 
 
+@query("hybrid_negation", ALL_VECTOR + positions_sql("v_products") + rank_sql(LARGE_NO_ROD) + near_sql(0.1, 40) + fuse_sql(40) + """
+SELECT f.id, fts_rank, semantic_similarity, combined_score FROM fused f""")
+def hybrid_negation(v: Views) -> DataFrame:
+    """Every text hit has the rank of texts without a pair, 1e-20, and counts as the best one."""
+    found = search_hybrid(v.products(True), v.suppliers(), "large -rod", mean_vector(v), result_limit=40, similarity_threshold=0.1)
+    return found.select("id", "fts_rank", "semantic_similarity", "combined_score")
+
+
 HYBRID_BATCH_SQL = NAME_VECTORS + positions_sql("v_products") + rank_sql(NAME_TERMS)
 
 
@@ -364,14 +377,14 @@ def hybrid_unscaled(v: Views) -> DataFrame:
     return out.select("query_id", "id", "rank_no", "fts_rank", "semantic_similarity", "combined_score")
 
 
-@query("hybrid_single_scan", NAME_VECTORS + positions_sql("v_products") + rank_sql(NAME_TERMS) + """
-sims AS (SELECT query_id, p.id, coalesce(floor((list_cosine_similarity(p.embedding, vec)) * 1e6 + 0.5) / 1e6, 0) AS sim,
-    p.embedding IS NOT NULL AND floor((list_cosine_similarity(p.embedding, vec)) * 1e6 + 0.5) / 1e6 > 0.5 AND price <= 1000 AS close
+@query("hybrid_single_scan", NAME_VECTORS + positions_sql("v_products") + rank_sql(NAME_TERMS) + f"""
+sims AS (SELECT query_id, p.id, coalesce(floor((list_cosine_similarity(p.embedding, vec)) * 1e10 + 0.5) / 1e10, 0) AS sim,
+    p.embedding IS NOT NULL AND floor((list_cosine_similarity(p.embedding, vec)) * 1e10 + 0.5) / 1e10 > 0.5 AND price <= 1000 AS close
   FROM v_products p, ask),
 chosen AS (SELECT s.query_id, s.id, coalesce(h.rank, 0) AS fts_rank, s.sim AS semantic_similarity
   FROM sims s LEFT JOIN hit h ON h.query_id = s.query_id AND h.id = s.id WHERE h.id IS NOT NULL OR s.close),
-best AS (SELECT *, floor((fts_rank * 0.4e0 + semantic_similarity * 0.6e0) * 1e6 + 0.5) / 1e6 AS combined_score,
-    row_number() OVER (PARTITION BY query_id ORDER BY floor((fts_rank * 0.4e0 + semantic_similarity * 0.6e0) * 1e6 + 0.5) / 1e6 DESC, id) AS rank_no
+best AS (SELECT *, {digits("fts_rank * 0.4e0 + semantic_similarity * 0.6e0")} AS combined_score,
+    row_number() OVER (PARTITION BY query_id ORDER BY {digits("fts_rank * 0.4e0 + semantic_similarity * 0.6e0")} DESC, id) AS rank_no
   FROM chosen QUALIFY rank_no <= 20)
 SELECT query_id, id, rank_no, fts_rank, semantic_similarity, combined_score FROM best""")
 def hybrid_single_scan(v: Views) -> DataFrame:
@@ -419,11 +432,11 @@ first_supplier AS (SELECT min_by(id, (name, id)) AS sid FROM v_suppliers WHERE c
 par AS (SELECT query_id, CASE WHEN query_id LIKE '%ring%' THEN (SELECT sid FROM first_supplier) END AS sf,
     CASE WHEN query_id LIKE '%bolt%' THEN 100 WHEN query_id LIKE '%gear%' THEN 20 ELSE 10 END AS k,
     CASE WHEN query_id LIKE '%gizmo%' THEN 1e0 ELSE 0.25e0 END AS w2 FROM ask),"""
-       + positions_sql("v_products") + rank_sql(NAME_TERMS) + """
-near AS (SELECT query_id, p.id, floor((list_cosine_similarity(p.embedding, vec)) * 1e6 + 0.5) / 1e6 AS sim,
-    row_number() OVER (PARTITION BY query_id ORDER BY floor((list_cosine_similarity(p.embedding, vec)) * 1e6 + 0.5) / 1e6 DESC, p.id) AS n
+       + positions_sql("v_products") + rank_sql(NAME_TERMS) + f"""
+near AS (SELECT query_id, p.id, floor((list_cosine_similarity(p.embedding, vec)) * 1e10 + 0.5) / 1e10 AS sim,
+    row_number() OVER (PARTITION BY query_id ORDER BY floor((list_cosine_similarity(p.embedding, vec)) * 1e10 + 0.5) / 1e10 DESC, p.id) AS n
   FROM ask JOIN par USING (query_id), v_products p WHERE p.embedding IS NOT NULL AND price >= 905
-    AND (sf IS NULL OR p.supplier_id = sf) AND floor((list_cosine_similarity(p.embedding, vec)) * 1e6 + 0.5) / 1e6 > 0.1 QUALIFY n <= k),
+    AND (sf IS NULL OR p.supplier_id = sf) AND floor((list_cosine_similarity(p.embedding, vec)) * 1e10 + 0.5) / 1e10 > 0.1 QUALIFY n <= k),
 text_top AS (SELECT h.query_id, h.id, h.rank, row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank DESC, h.id) AS n
   FROM hit h JOIN par USING (query_id) JOIN v_products p USING (id) WHERE price >= 905 AND (sf IS NULL OR p.supplier_id = sf)
   QUALIFY n <= k),
@@ -431,8 +444,8 @@ both_top AS (SELECT coalesce(t.query_id, n.query_id) AS query_id, coalesce(t.id,
     coalesce(n.sim, 0) AS s FROM text_top t FULL JOIN near n ON t.query_id = n.query_id AND t.id = n.id),
 scaled AS (SELECT query_id, id, s, CASE WHEN max(f) OVER w > 0 THEN f / max(f) OVER w ELSE 0 END AS fn FROM both_top
   WINDOW w AS (PARTITION BY query_id)),
-fused AS (SELECT query_id, id, floor((fn * 0.5e0 + s * w2) * 1e6 + 0.5) / 1e6 AS combined_score, k,
-    row_number() OVER (PARTITION BY query_id ORDER BY floor((fn * 0.5e0 + s * w2) * 1e6 + 0.5) / 1e6 DESC, id) AS rank_no
+fused AS (SELECT query_id, id, {digits("fn * 0.5e0 + s * w2")} AS combined_score, k,
+    row_number() OVER (PARTITION BY query_id ORDER BY {digits("fn * 0.5e0 + s * w2")} DESC, id) AS rank_no
   FROM scaled JOIN par USING (query_id))
 SELECT query_id, id, rank_no, combined_score FROM fused WHERE rank_no <= k""")
 def search_entry(v: Views) -> DataFrame:

@@ -53,7 +53,7 @@ def test_semantic_batch_equals_brute_force(spark, block, monkeypatch):
             e32 = np.array(e, dtype=np.float32).astype(float)
             if (supplier and s != supplier) or (low and price < low) or not e32.any():
                 continue
-            sim = float(np.floor(e32 @ np.array(vec) / np.linalg.norm(e32) / np.linalg.norm(vec) * 1e6 + 0.5) / 1e6)
+            sim = float(np.floor(e32 @ np.array(vec) / np.linalg.norm(e32) / np.linalg.norm(vec) * 1e10 + 0.5) / 1e10)
             if sim > 0:
                 want.append((i, sim))
         want = sorted(want, key=lambda t: (-t[1], t[0]))[:k]
