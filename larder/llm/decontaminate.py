@@ -21,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import array_of, durable, small_or_shuffled
+from larder.llm.common import array_of, durable, small_or_shuffled, spare
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Differing bits of fingerprints that are still compared: two sets of similarity 0.8 differ in 10 of 64 on average, and
@@ -67,9 +67,20 @@ def _variants(df: DataFrame, radius: int, name: str) -> DataFrame:
 
 
 def _overlap(a: Column, b: Column) -> Column:
-    """Sum of the smaller counts of what two arrays share."""
+    """Sum of the smaller counts of what two arrays share; the size of the intersection where nothing repeats."""
     n = lambda values, x: F.size(F.filter(values, lambda y: y == x))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda total, x: total + F.least(n(a, x), n(b, x)))
+    once = lambda values: F.size(F.array_distinct(values)) == F.size(values)
+    counted = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda total, x: total + F.least(n(a, x), n(b, x)))
+    return F.when(once(a) & once(b), F.size(F.array_intersect(a, b))).otherwise(counted)
+
+
+def _first_near_block(differing: Column, most: int) -> Column:
+    """The first block with at most so many differing bits."""
+    found = F.lit(None).cast("int")
+    for b in reversed(range(BLOCKS)):
+        bits = F.shiftrightunsigned(differing, b * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
+        found = F.when(F.bit_count(bits) <= most, b).otherwise(found)
+    return found
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -118,20 +129,19 @@ def _leaks_of_size(docs: DataFrame, items: DataFrame, size: int, similarity: flo
         .withColumn("fingerprint", F.expr(FINGERPRINT))
     )
     wanted = items.select("item", "item_key", "n_words", shingles_of("words", size).alias("bag")).withColumn("fingerprint", F.expr(FINGERPRINT))
-    # first difference of a pair's block: its two lowest bits are flipped on the item's side, the others on the window's
     known = small_or_shuffled(_variants(wanted, min(2, per_block), "item_flip").select(
         "item", "item_key", "n_words", "block", "variant", "item_flip", F.col("bag").alias("item_bag"), F.col("fingerprint").alias("item_print")
     ))
-    both = F.col("fingerprint").bitwiseXOR(F.col("item_print"))
+    # A pair meets once: in its first near block, whose two lowest differing bits the item flips and the window the others.
+    both, window_flip = F.col("fingerprint").bitwiseXOR(F.col("item_print")), F.col("window_flip")
     pairs = (
         _variants(prints, max(0, per_block - 2), "window_flip").join(known, ["n_words", "block", "variant"])
-        .where(F.col("item_flip").bitwiseAND(F.col("window_flip")) == 0)
-        .where((F.col("window_flip") == 0) | (F.col("item_flip") < F.col("window_flip")) & (F.bit_count("item_flip") == 2))
-        .where(F.bit_count(both) <= radius)
+        .where((window_flip == 0) | (F.col("item_flip") < window_flip.bitwiseAND(-window_flip)) & (F.bit_count("item_flip") == 2))
+        .where((F.bit_count(both) <= radius) & (_first_near_block(both, per_block) == F.col("block")))
     )
-    shared = _overlap(F.col("bag"), F.col("item_bag"))
+    # as a generator the overlap is computed once, above the join
     return (
-        pairs.withColumn("shared", shared)
+        pairs.select("*", F.explode(F.array(_overlap(F.col("bag"), F.col("item_bag")))).alias("shared"))
         .withColumn("similarity", F.col("shared") / (F.size("bag") + F.size("item_bag") - F.col("shared")))
         .where(F.col("similarity") >= similarity - 1e-12)
         .groupBy("id", "text_key", "item", "item_key", "n_words")
@@ -167,5 +177,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """docs without the rows whose text leaks an item; columns as they are, null ids kept unless their text leaks."""
-    leaks = durable(find_leaks(docs, benchmark, id_col, text_col, **settings).select(F.col("id").alias("_leak_id"), F.col("text_key").alias("_leak_key")).distinct())
-    return docs.join(leaks, docs[id_col].eqNullSafe(F.col("_leak_id")) & (F.xxhash64(docs[text_col]) == F.col("_leak_key")), "left_anti")
+    own_id, own_key = spare(docs, "_leak_id", "_leak_key")
+    leaks = find_leaks(docs, benchmark, id_col, text_col, **settings).select(F.col("id").alias(own_id), F.col("text_key").alias(own_key)).distinct()
+    return docs.join(small_or_shuffled(leaks), docs[id_col].eqNullSafe(F.col(own_id)) & (F.xxhash64(docs[text_col]) == F.col(own_key)), "left_anti")
