@@ -212,3 +212,23 @@ def contains_ignore_case(text: Column, part: Column) -> Column:
 def escape_like(text: Column) -> Column:
     """Escape the LIKE wildcards and the escape character itself."""
     return F.regexp_replace(text, r"([\\%_])", r"\\$1")
+
+
+_BLANK = r"[\s\p{Z}\x1C-\x1F\x85\x{FEFF}]+"
+_DIGITS = "[0-9]+(?:_[0-9]+)*"
+_NUMBER = rf"^[+-]?(?:(?:{_DIGITS}(?:\.(?:{_DIGITS})?)?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?|(?i:inf|infinity|nan))$"
+
+
+def strip(c: Column | str) -> Column:
+    """Without white space of any kind at either end; ``trim`` alone takes blanks."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.regexp_replace(c, f"^{_BLANK}|{_BLANK}$", "")
+
+
+def number(c: Column | str) -> Column:
+    """The number a text spells in decimal, NULL for any other text.
+
+    A cast alone would also read type suffixes and hexadecimal floats such as ``12d`` and ``0x1p3``.
+    """
+    text = strip(c)
+    return F.when(text.rlike(_NUMBER), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))

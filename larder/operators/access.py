@@ -79,39 +79,61 @@ def visible_to(table: str, tables: dict[str, DataFrame], principal, role: str |
 def visible_rows(table: str, tables: dict[str, DataFrame], principals: DataFrame) -> DataFrame:
     """Own rows of all non-admin principals at once: the table's columns plus ``principal``.
 
-    Admins see the whole table, so listing it once per admin would only multiply it; use
-    ``visible_to`` or ``visible_counts`` for them.
+    Who sees a whole table is in ``sees_all``; listing the table once per such principal would only
+    multiply it. A table that everyone may read has no own rows and is refused rather than answered empty.
     """
+    policy = POLICIES[table]
+    if policy.read_all:
+        raise ValueError(f"everyone may read all rows of {table}: use sees_all, visible_to or visible_counts")
     users = principals.where(~F.col("role").eqNullSafe(ADMIN)).select(F.col("auth_user_id").alias("owner"))
-    owned = with_owner(tables[table], POLICIES[table], tables)
+    owned = with_owner(tables[table], policy, tables)
     return owned.join(users, "owner").withColumnRenamed("owner", "principal")
 
 
+def sees_all(table: str, principals: DataFrame) -> DataFrame:
+    """Add ``sees_all``: whether a principal may read every row of the table."""
+    return principals.withColumn("sees_all", F.lit(POLICIES[table].read_all) | F.col("role").eqNullSafe(ADMIN))
+
+
 def visible_counts(table: str, tables: dict[str, DataFrame], principals: DataFrame) -> DataFrame:
     """How many rows of a table each principal may read."""
-    rows, policy = tables[table], POLICIES[table]
-    everything = rows.agg(F.count("*"))
+    counted = sees_all(table, principals).withColumn("n_all", tables[table].agg(F.count("*")).scalar())
+    if POLICIES[table].read_all:
+        return counted.select("auth_user_id", "role", F.col("n_all").alias("n_visible"))
     own = visible_rows(table, tables, principals).groupBy("principal").agg(F.count("*").alias("n_own"))
-    counted = principals.join(own.withColumnRenamed("principal", "auth_user_id"), "auth_user_id", "left")
-    sees_all = F.lit(policy.read_all) | F.col("role").eqNullSafe(ADMIN)
-    return counted.withColumn("n_all", everything.scalar()).select(
+    return counted.join(own.withColumnRenamed("principal", "auth_user_id"), "auth_user_id", "left").select(
         "auth_user_id",
         "role",
-        F.when(sees_all, F.col("n_all")).otherwise(F.coalesce("n_own", F.lit(0))).alias("n_visible"),
+        F.when(F.col("sees_all"), F.col("n_all")).otherwise(F.coalesce("n_own", F.lit(0))).alias("n_visible"),
     )
 
 
 def write_check(
-    table: str, proposed: DataFrame, tables: dict[str, DataFrame], principals: DataFrame, action: str = "insert"
+    table: str,
+    proposed: DataFrame,
+    tables: dict[str, DataFrame],
+    principals: DataFrame,
+    action: str = "insert",
+    key: str = "id",
 ) -> DataFrame:
-    """Add ``allowed`` to proposed rows, each carrying the ``principal`` who wants to write it."""
+    """Add ``allowed`` to proposed rows, each carrying the ``principal`` who wants to write it.
+
+    An insert must belong to its writer. An update must belong to the writer before and after, a delete before: the stored
+    row is found by ``key``. A row that is not stored cannot be updated or deleted by its owner.
+    """
     policy = POLICIES[table]
     roles = principals.select(F.col("auth_user_id").alias("principal"), "role")
     owned = with_owner(proposed, policy, tables)
     may_own = {"insert": policy.own_insert, "update": policy.own_update, "delete": policy.own_delete}[action]
-    own = F.lit(may_own) & F.coalesce(F.col("owner") == F.col("principal"), F.lit(False))
+    own = F.lit(may_own)
+    if action != "delete":
+        own = own & F.coalesce(F.col("owner") == F.col("principal"), F.lit(False))
+    if action != "insert" and may_own:
+        stored = with_owner(tables[table], policy, tables).select(key, F.col("owner").alias("stored_owner"))
+        owned = owned.join(stored, key, "left")
+        own = own & F.coalesce(F.col("stored_owner") == F.col("principal"), F.lit(False))
     joined = owned.join(roles, "principal", "left")
-    return joined.withColumn("allowed", F.col("role").eqNullSafe(ADMIN) | own).drop("owner", "role")
+    return joined.withColumn("allowed", F.col("role").eqNullSafe(ADMIN) | own).drop("owner", "stored_owner", "role")
 
 
 def contracted_products(products: DataFrame, hotel_suppliers: DataFrame, hotels: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.operators.filters import filters_of_row
+
 DIGITS, COSINE_SCALE = 10, 1e10
 MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_BYTES = 16 << 20
@@ -107,11 +109,7 @@ def keep_above(rows: DataFrame, value: Column, name: str, threshold: float) -> D
 
 def query_filter() -> Column:
     """Supplier and price filters of a query row; NULL parameter means no filter."""
-    return (
-        (F.col("supplier_filter").isNull() | (F.col("supplier_id") == F.col("supplier_filter")))
-        & (F.col("price_min").isNull() | (F.col("price") >= F.col("price_min")))
-        & (F.col("price_max").isNull() | (F.col("price") <= F.col("price_max")))
-    )
+    return filters_of_row(["supplier_filter", "price_min", "price_max"])
 
 
 def attach(hits: DataFrame, products: DataFrame, suppliers: DataFrame, columns: list[str], bounded: bool):

@@ -5,22 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.functions.text import number, strip
 
-def optional_filters(
-    products: DataFrame, supplier=None, price_min=None, price_max=None, category=None
-) -> DataFrame:
+
+# Parameter, product column and comparison of every optional filter.
+FILTERS = [
+    ("supplier_filter", "supplier_id", "="),
+    ("category_filter", "category_id", "="),
+    ("price_min", "price", ">="),
+    ("price_max", "price", "<="),
+]
+
+
+def compared(column: Column, sign: str, value: Column) -> Column:
+    return {"=": column == value, ">=": column >= value, "<=": column <= value}[sign]
+
+
+def optional_filters(products: DataFrame, supplier=None, price_min=None, price_max=None, category=None) -> DataFrame:
     """Equality and inclusive price filters; only the given ones enter the plan, so they push down."""
-    if supplier is not None:
-        products = products.where(F.col("supplier_id") == F.lit(supplier))
-    if category is not None:
-        products = products.where(F.col("category_id") == F.lit(category))
-    if price_min is not None:
-        products = products.where(F.col("price") >= F.lit(price_min))
-    if price_max is not None:
-        products = products.where(F.col("price") <= F.lit(price_max))
+    given = {"supplier_filter": supplier, "category_filter": category, "price_min": price_min, "price_max": price_max}
+    for name, column, sign in FILTERS:
+        if given[name] is not None:
+            products = products.where(compared(F.col(column), sign, F.lit(given[name])))
     return products
 
 
+def filters_of_row(names: list[str]) -> Column:
+    """The named filters as a condition on rows that carry their parameters; a NULL parameter filters nothing."""
+    kept = F.lit(True)
+    for name, column, sign in FILTERS:
+        if name in names:
+            kept = kept & (F.col(name).isNull() | compared(F.col(column), sign, F.col(name)))
+    return kept
+
+
+def filters_as_sql(table: str) -> str:
+    """All filters as a SQL condition on a table's alias."""
+    return " AND ".join(f"({name} IS NULL OR {table}.{column} {sign} {name})" for name, column, sign in FILTERS)
+
+
 def with_embedding(products: DataFrame) -> DataFrame:
     return products.where(F.col("embedding").isNotNull())
 
@@ -89,7 +112,7 @@ def clamp(value: Column, low, high) -> Column:
 
 def _number(c: Column) -> Column:
     """A finite or infinite number, else NULL (text and NaN)."""
-    d = F.trim(c.cast("string")).try_cast("double")
+    d = number(c.cast("string"))
     return F.when(~F.isnan(d), d)
 
 
@@ -112,7 +135,7 @@ def normalise_queries(raw: DataFrame) -> DataFrame:
 
     def not_number(name):
         text = F.col(name).cast("string")
-        return text.isNotNull() & (F.lower(F.trim(text)) != "nan") & _number(F.col(name)).isNull()
+        return text.isNotNull() & (F.lower(strip(text)) != "nan") & _number(F.col(name)).isNull()
 
     reject = (
         F.when(F.coalesce(F.length("query"), F.lit(0)) == 0, "query_missing")

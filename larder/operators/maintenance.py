@@ -42,7 +42,7 @@ def embed_missing(products: DataFrame, embedder: Embedder, batch: int = 100) ->
                 try:
                     vectors, error = list(embedder(part["description"].tolist())), None
                 except Exception as e:  # a failing call is reported per row, the job goes on
-                    vectors, error = [None] * len(part), str(e)[:300]
+                    vectors, error = [None] * len(part), str(e)
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "_new": vectors, "embed_error": error})
 
     id_type = products.schema["id"].dataType.simpleString()

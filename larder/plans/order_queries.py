@@ -99,6 +99,44 @@ def check_updates(v: Views) -> DataFrame:
     return out.select("id", "allowed")
 
 
+@query("visible_catalogue", """
+SELECT auth_user_id, role, (SELECT count(*) FROM v_products) AS n_visible FROM v_principals""")
+def catalogue_counts(v: Views) -> DataFrame:
+    """Everyone sees every product."""
+    return visible_counts("products", {"products": v.products()}, v.principals())
+
+
+TAKEOVER = """
+asks AS (SELECT id, auth_user_id AS old, CASE WHEN id % 3 = 0 THEN auth_user_id ELSE auth_user_id + 1 END AS new,
+    CASE WHEN id % 2 = 0 THEN auth_user_id ELSE auth_user_id + 1 END AS principal FROM v_customers)"""
+
+
+def takeovers(v: Views) -> DataFrame:
+    """Customers whose user is changed, by the user before or by the one after."""
+    user = F.col("auth_user_id")
+    return v.customers().withColumns({
+        "auth_user_id": F.when(F.col("id") % 3 == 0, user).otherwise(user + 1),
+        "principal": F.when(F.col("id") % 2 == 0, user).otherwise(user + 1),
+    })
+
+
+@query("write_check_takeover", TAKEOVER + """
+SELECT a.id, coalesce(p.role = 'admin', false) OR (a.old = a.principal AND a.new = a.principal) AS allowed
+FROM asks a LEFT JOIN v_principals p ON p.auth_user_id = a.principal""")
+def check_takeovers(v: Views) -> DataFrame:
+    return write_check("customers", takeovers(v), tables(v), v.principals(), "update").select("id", "allowed")
+
+
+@query("write_check_delete", TAKEOVER + """
+SELECT a.id, coalesce(p.role = 'admin', false) OR a.old = a.principal AS allowed
+FROM asks a LEFT JOIN v_principals p ON p.auth_user_id = a.principal""")
+def check_deletes(v: Views) -> DataFrame:
+    """Carts, one per customer, deleted by their owner or by somebody else."""
+    carts = v.customers().select(F.col("id"), F.col("id").alias("customer_id"))
+    asked = takeovers(v).select("id", F.col("id").alias("customer_id"), "principal")
+    return write_check("cart_sessions", asked, {**tables(v), "cart_sessions": carts}, v.principals(), "delete").select("id", "allowed")
+
+
 @query("contracted_products", """
 deal AS (SELECT DISTINCT c_nationkey AS hotel_id, s_suppkey AS supplier_id FROM customer JOIN supplier ON s_nationkey = c_nationkey)
 SELECT hotel_id, p.id FROM v_products p JOIN deal USING (supplier_id)""")

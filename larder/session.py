@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -29,12 +31,11 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
 
 
 def cut_lineage(df):
-    """Checkpoint an iterative frame to the shared folder; keep it cached where none is configured."""
-    spark = df.sparkSession
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None and configured:
-        spark.sparkContext.setCheckpointDir(configured)
-    return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist()
+    """Checkpoint an iterative frame to the shared folder of spark.checkpoint.dir; to an own one only where none is set."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
 
 
 def spread(df):

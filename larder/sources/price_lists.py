@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder import schemas
+from larder.functions.text import number, strip
 
 # The layout of a supplier's sheet and its default currency.
 SHEET_SKIP_ROWS = 7
@@ -67,7 +68,7 @@ def clean_rows(raw: DataFrame, suppliers: DataFrame, price_list_id) -> DataFrame
     """
 
     def text(name):
-        return F.nullif(F.trim(name), F.lit(""))
+        return F.nullif(strip(name), F.lit(""))
 
     names = suppliers.select(F.col("name").alias("sheet"), F.col("id").alias("supplier_id"))
     typed = raw.select(
@@ -77,7 +78,7 @@ def clean_rows(raw: DataFrame, suppliers: DataFrame, price_list_id) -> DataFrame
         text("c1").alias("description"),
         text("c2").alias("selling_uom"),
         text("c3").alias("pricing_uom"),
-        F.trim("c4").try_cast("double").try_cast("decimal(10,2)").alias("price"),
+        number("c4").try_cast("decimal(10,2)").alias("price"),
     )
     kept = typed.where(F.col("supplier_code").isNotNull() & F.col("description").isNotNull())
     return kept.join(names, "sheet").select(

@@ -126,3 +126,24 @@ def test_rules_file(spark, tmp_path):
 
 def test_categories(spark):
     assert seed_categories(spark).count() == 16 and CATEGORIES[-1][1] == "altro"
+
+
+def test_backslash_in_catalogue_text(spark):
+    from larder.operators.catalog import live_pattern
+
+    rows = spark.createDataFrame([(1, "ab"), (2, "a\\b"), (3, "a%b"), (4, "a_b"), (5, "axb")], "id int, description string")
+    found = lambda text: [r["id"] for r in rows.where(F.col("description").ilike(live_pattern(text))).orderBy("id").collect()]
+    assert found(r"a\b") == [1] and found(r"a\\b") == [2] and found(r"a\%b") == [3] and found(r"a\_b") == [4]
+    assert found("a_b") == [2, 3, 4, 5] and found("a%b") == [1, 2, 3, 4, 5]
+
+
+def test_cells_and_numbers(spark):
+    from larder.functions.text import number, strip
+
+    texts = ["12d", "0x1p3", " 1_000.5 ", "\t7\u00a0", "1e2", "-.5", "5.", "1__0", "_1", "", "NaN", "inf", "12f", None, "1,5"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in rows.orderBy("i").select(number("t")).collect()]
+    assert got[:9] == [None, None, 1000.5, 7.0, 100.0, -0.5, 5.0, None, None]
+    assert got[9] is None and got[10] != got[10] and got[11] == float("inf") and got[12:] == [None, None, None]
+    blanks = spark.createDataFrame([("\t \u2003A b\u00a0\n",), ("\t",)], "t string")
+    assert [r[0] for r in blanks.select(strip("t")).collect()] == ["A b", ""]

@@ -208,6 +208,11 @@ def test_visibility(spark):
     assert seen("order_items", "boss", "admin") == ["i1", "i2", "i3"]
     counts = {r["auth_user_id"]: r["n_visible"] for r in access.visible_counts("orders", tables, people).collect()}
     assert counts == {"u1": 2, "u2": 1, "u3": 0, "boss": 3}
+    whole = {r["auth_user_id"]: r["n_visible"] for r in access.visible_counts("products", tables, people).collect()}
+    assert set(whole.values()) == {tables["products"].count()} and len(whole) == 4
+    with pytest.raises(ValueError):
+        access.visible_rows("products", tables, people)
+    assert {r["auth_user_id"] for r in access.sees_all("orders", people).where("sees_all").collect()} == {"boss"}
     for table in ("orders", "order_items", "customers"):
         rows = access.visible_rows(table, tables, people).collect()
         for who, role in PEOPLE[:3]:
@@ -224,7 +229,13 @@ def test_write_checks(spark):
 
     assert allowed("orders", new, "insert") == {"n1", "n3"}
     assert allowed("orders", new, "update") == {"n3"}
-    assert allowed("cart_sessions", new, "delete") == {"n1", "n3"}
+    carts = spark.createDataFrame([("n1", "c1"), ("n2", "c1"), ("n4", "c2")], "id string, customer_id string")
+    tables["cart_sessions"] = carts
+    assert allowed("cart_sessions", new, "delete") == {"n1", "n2", "n3"}  # the stored owner counts
+    assert allowed("cart_sessions", new, "update") == {"n1", "n3"}
+    taken = spark.createDataFrame([("c1", "u2", "u2"), ("c2", "u2", "u2"), ("c2", "u1", "u2"), ("c7", "u2", "u2")], "id string, auth_user_id string, principal string")
+    checked = access.write_check("customers", taken, tables, people, "update").where("allowed").collect()
+    assert [(r["id"], r["auth_user_id"]) for r in checked] == [("c2", "u2")]
     assert allowed("products", new.drop("customer_id"), "insert") == {"n3"}
     items = spark.createDataFrame([("x1", "o1", "u1"), ("x2", "o2", "u1")], "id string, order_id string, principal string")
     assert allowed("order_items", items, "insert") == {"x1"}
