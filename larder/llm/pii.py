@@ -28,26 +28,43 @@ NEARBY, LEAST = 40, 0.5
 _BLOCK = 64
 
 
-def _running_totals(numbers: Column) -> Column:
-    """For each place the sum of the numbers before it: sums of blocks first, then within the block."""
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
-    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / _BLOCK).cast("int")), lambda b: total(F.slice(numbers, b * _BLOCK + 1, F.lit(_BLOCK))))
-    before = F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b)))
-    return F.transform(numbers, lambda _, i: F.get(before, F.floor(i / _BLOCK).cast("int")) + total(
-        F.slice(numbers, (i - i % _BLOCK) + 1, i % _BLOCK)
-    ))
+def _total(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
+
+def _propose(texts: DataFrame) -> DataFrame:
+    """texts with a column for each kind: an array of start, end, match of every leftmost match.
+
+    Each step is columns of its own that the next one reads more than once, so that Spark does not repeat it for every element.
+    A match starts after the pieces and matches before it; these are added up by blocks first, then within a block.
+    """
+    kinds, sign_of = [k for k, *_ in KINDS], {k: sign for k, _, sign, *_ in KINDS}
+    pattern_of = {k: p for k, p, *_ in KINDS}
 
+    def matches(k):
+        found = F.regexp_extract_all("text", F.lit(pattern_of[k]), 0)
+        return F.when(F.contains("text", F.lit(sign_of[k])), found) if sign_of[k] else found
 
-def _proposals(text: Column, kind: str, pattern: str, sign: str) -> Column:
-    """Array of start, end, match of every leftmost match; null where the text lacks the sign."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
-    pieces = F.split(text, pattern, -1)
-    lengths = F.transform(matches, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))
-    spans = F.transform(_running_totals(lengths), lambda before, i: F.struct(
-        (before + F.length(F.get(pieces, i))).cast("long").alias("start"),
-        (before + F.get(lengths, i)).cast("long").alias("end"), F.get(matches, i).alias("match"),
+    def each(df, name, value):
+        return df.withColumns({f"{k}_{name}": value(k) for k in kinds})
+
+    df = each(texts, "matches", matches)
+    df = each(df, "pieces", lambda k: F.when(F.size(f"{k}_matches") > 0, F.split("text", pattern_of[k], -1)))
+    df = each(df, "lengths", lambda k: F.transform(f"{k}_matches", lambda m, i: F.length(F.get(f"{k}_pieces", i)) + F.length(m)))
+    df = each(df, "blocks", lambda k: F.transform(
+        F.sequence(F.lit(0), F.floor(F.size(f"{k}_lengths") / _BLOCK).cast("int")), lambda b: _total(F.slice(f"{k}_lengths", b * _BLOCK + 1, F.lit(_BLOCK)))
     ))
-    return F.when(F.contains(text, F.lit(sign)), spans) if sign else spans
+    df = each(df, "before", lambda k: F.transform(f"{k}_blocks", lambda _, b: _total(F.slice(f"{k}_blocks", F.lit(1), b))))
+
+    def spans(k):
+        def span(m, i):
+            before = F.get(f"{k}_before", F.floor(i / _BLOCK).cast("int")) + _total(F.slice(f"{k}_lengths", i - i % _BLOCK + 1, i % _BLOCK))
+            start = (before + F.length(F.get(f"{k}_pieces", i))).cast("long")
+            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("match"))
+
+        return F.transform(f"{k}_matches", span)
+
+    return df.select("id", "text", *[spans(k).alias(k) for k in kinds])
 
 
 def luhn(digits: Column) -> Column:
@@ -90,7 +107,7 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
-    proposed = texts.select("id", "text", *[_proposals(text, k, p, sign).alias(k) for k, p, sign, *_ in KINDS])
+    proposed = _propose(texts)
 
     def scored(number, kind, words, prior):
         def span(s):
