@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +14,12 @@ from larder.operators.encode import result_documents, result_lines
 from larder.operators.fulltext import lexeme_stats, postings, search_fts, search_fts_batch
 from larder.operators.fuzzy import search_fuzzy, search_fuzzy_batch, trigram_frequencies
 from larder.operators.hybrid import search_hybrid, search_hybrid_batch
+from larder.operators.textindex import search_fts_indexed, write_text_index
 from larder.operators.vectors import search_approximate, search_semantic, search_semantic_batch
 from larder.plans.registry import query
 from larder.plans.search import assistant_search, search
 from larder.plans.views import RULES, Views
+from larder.session import shared_folder
 
 # ---------------------------------------------------------------- SQL building blocks
 
@@ -132,6 +136,29 @@ def fts_phrase(v: Views) -> DataFrame:
     return out.select("id", "supplier_name", "supplier_code", "selling_uom", "rank")
 
 
+def stored_index(v: Views, rows: DataFrame) -> DataFrame:
+    """The text index of some rows, written to the shared folder and read back."""
+    path = f"{shared_folder(v.spark)}/text-index-{uuid.uuid4().hex}"
+    write_text_index(rows, path)
+    return v.spark.read.parquet(path)
+
+
+@query("fts_indexed", positions_sql("v_docs") + rank_sql(one_query((0, "of", False), (0, "the", False))) + """
+phrase AS (SELECT DISTINCT a.id FROM tok a JOIN tok b ON a.id = b.id AND b.pos = a.pos + 1
+  WHERE a.lexeme = 'of' AND b.lexeme = 'the'),
+best AS (SELECT h.rank, d.* FROM hit h JOIN phrase USING (id) JOIN v_docs d USING (id) ORDER BY h.rank DESC, d.id LIMIT 50)
+SELECT b.id, s.name AS supplier_name, supplier_code, selling_uom, rank
+FROM best b JOIN v_doc_suppliers s ON s.id = b.supplier_id""")
+def fts_indexed(v: Views) -> DataFrame:
+    out = search_fts_indexed(stored_index(v, v.docs()), v.docs(), v.doc_suppliers(), '"of the"')
+    return out.select("id", "supplier_name", "supplier_code", "selling_uom", "rank")
+
+
+@query("fts_indexed_or", single_fts_sql(HOT_PLATE, "price >= 905"))
+def fts_indexed_or(v: Views) -> DataFrame:
+    return search_fts_indexed(stored_index(v, v.products()), v.products(), v.suppliers(), "hot plate or bolt", price_min=905)
+
+
 def name_queries(v: Views) -> DataFrame:
     """One query per distinct product name, with a price ceiling on red things."""
     names = v.table("part").select("p_name").distinct()

@@ -30,11 +30,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
-def cut_lineage(df):
-    """Checkpoint an iterative frame to the shared folder of spark.checkpoint.dir; to an own one only where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark) -> str:
+    """The folder that spark.checkpoint.dir names and all executors share; an own one only where none is set."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df):
+    """Checkpoint an iterative frame to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -44,3 +44,24 @@ def test_vector_search_reads_narrow_rows(spark, tmp_path):
     vectors = next(line for line in scans if "embedding" in line.split("ReadSchema")[1])
     assert "description" not in vectors.split("ReadSchema")[1]
     assert "IsNotNull(embedding)" in vectors
+
+
+def test_index_search_reads_asked_buckets_and_no_texts(spark, tmp_path):
+    from larder.operators.fulltext import search_fts
+    from larder.operators.textindex import bucket_of, search_fts_indexed, write_text_index
+
+    rows = [(i, 1, f"c{i}", text, "u", "u", 1.0) for i, text in enumerate(
+        ["red wine of the house", "the house of red", "white wine", "wine wine red", "of the of the", ""] * 3)]
+    products = spark.createDataFrame(rows, "id long, supplier_id long, supplier_code string, description string, selling_uom string, pricing_uom string, price double")
+    suppliers = spark.createDataFrame([(1, "S")], "id long, name string")
+    write_text_index(products, str(tmp_path / "index"), buckets=8)
+    products.write.parquet(str(tmp_path / "products"))
+    index, stored = spark.read.parquet(str(tmp_path / "index")), spark.read.parquet(str(tmp_path / "products"))
+    assert {(r["lexeme"], r["bucket"]) for r in index.collect()} == {(w, bucket_of(w, 8)) for w in "red wine of the house white".split()}
+    for text in ("red wine", '"of the"', "wine -red", "house or white", "-red", "wine", '"of the" -house', "nothing"):
+        key = lambda df: [(r["id"], r["rank"]) for r in df.collect()]
+        assert key(search_fts_indexed(index, stored, suppliers, text, buckets=8)) == key(search_fts(stored, suppliers, text, long_texts=True)), text
+    plan = search_fts_indexed(index, stored, suppliers, "red wine", buckets=8)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "In(lexeme" in plan
+    scans = [part for part in plan.split("FileScan parquet ")[1:] if "supplier_code" in part.split("Batched")[0]]
+    assert len(scans) == 1  # texts are read once, by the join with the best rows
