@@ -31,8 +31,8 @@ def hashing_embedder(dim: int = 64) -> Embedder:
 def embed_missing(products: DataFrame, embedder: Embedder, batch: int = 100) -> DataFrame:
     """Fill NULL embeddings; adds ``embed_error`` where the embedder failed (the vector stays NULL).
 
-    Only (id, description) of the missing rows go to Python, in small calls; the table itself is
-    joined back on the id.
+    Only (id, description) of the missing rows go to Python, in small calls; these rows alone are joined
+    with their vectors, rows that have one pass by without a shuffle.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,7 +48,9 @@ def embed_missing(products: DataFrame, embedder: Embedder, batch: int = 100) ->
     id_type = products.schema["id"].dataType.simpleString()
     todo = products.where(F.col("embedding").isNull()).select("id", F.coalesce("description", F.lit("")).alias("description"))
     made = todo.mapInPandas(run, f"id {id_type}, _new array<float>, embed_error string")
-    return products.join(made, "id", "left").withColumn("embedding", F.coalesce("embedding", "_new")).drop("_new")
+    filled = products.where(F.col("embedding").isNull()).join(made, "id", "left").withColumn("embedding", F.col("_new")).drop("_new")
+    done = products.where(F.col("embedding").isNotNull()).withColumn("embed_error", F.lit(None).cast("string"))
+    return done.unionByName(filled)
 
 
 def embed_report(before: DataFrame, after: DataFrame) -> DataFrame:

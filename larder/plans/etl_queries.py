@@ -12,6 +12,7 @@ from larder.operators.maintenance import (
     customers_from_signups, embed_missing, embed_report, erase, erased_counts, hashing_embedder, invalidate_changed,
     text_hash, touch, violations,
 )
+from larder.plans.importing import import_products
 from larder.plans.registry import query
 from larder.plans.views import RULES, Views
 from larder.sources.price_lists import clean_rows, import_summary
@@ -88,13 +89,41 @@ def key_conflicts(v: Views) -> DataFrame:
     return loading.split_new_rows(load_rows(v), target_rows(v), KEY, "event_id").select("event_id", "status")
 
 
-@query("key_conflict_batches")
+@query("key_conflict_batches", LOAD + """,
+rows AS (SELECT l.*, event_id // 20 AS batch_no, l.price_list_id || '/' || l.supplier_id || '/' || l.supplier_code AS k FROM load l),
+held AS (SELECT batch_no, k, price_list_id, supplier_id, supplier_code, count(*) AS n FROM rows GROUP BY ALL),
+batches AS (SELECT batch_no, row_number() OVER (ORDER BY batch_no) AS turn, max(n) > 1 OR bool_or(t.supplier_id IS NOT NULL) AS bad,
+    list(k) FILTER (k IS NOT NULL) AS ks
+  FROM held h LEFT JOIN target t ON t.price_list_id = h.price_list_id AND t.supplier_id = h.supplier_id AND t.supplier_code = h.supplier_code
+  GROUP BY batch_no),
+verdicts AS (
+  WITH RECURSIVE played AS (
+    SELECT 0::BIGINT AS turn, -1::BIGINT AS batch_no, []::VARCHAR[] AS taken, false AS ok
+    UNION ALL
+    SELECT b.turn, b.batch_no, CASE WHEN b.bad OR list_has_any(p.taken, coalesce(b.ks, [])) THEN p.taken ELSE list_concat(p.taken, coalesce(b.ks, [])) END,
+      NOT (b.bad OR list_has_any(p.taken, coalesce(b.ks, [])))
+    FROM played p JOIN batches b ON b.turn = p.turn + 1)
+  SELECT batch_no, CASE WHEN ok THEN 'accepted' ELSE 'rejected' END AS status FROM played WHERE turn > 0)
+SELECT event_id, CAST(batch_no AS BIGINT) AS batch_no, status FROM rows JOIN verdicts USING (batch_no)""")
 def key_conflict_batches(v: Views) -> DataFrame:
-    """All-or-nothing batches; depends on the verdict of every earlier batch, so tests replay it."""
+    """All-or-nothing batches; each depends on the verdict of every earlier one."""
     out = loading.split_new_batches(load_rows(v), target_rows(v), KEY, "event_id", batch=20)
     return out.select("event_id", "batch_no", "status")
 
 
+@query("import_dry_run", RAW + """,
+load AS (SELECT *, left(description, 3) AS short FROM clean),
+target AS (SELECT DISTINCT supplier_id, supplier_code FROM clean WHERE line_no % 5 = 0)
+SELECT line_no, CASE WHEN t.supplier_id IS NOT NULL THEN 'exists_in_target'
+  WHEN line_no = min(line_no) OVER (PARTITION BY l.supplier_id, l.supplier_code) THEN 'accepted' ELSE 'duplicate_in_load' END AS status
+FROM load l LEFT JOIN target t ON t.supplier_id = l.supplier_id AND t.supplier_code = l.supplier_code""")
+def import_dry_run(v: Views) -> DataFrame:
+    """A whole load, planned against a target that holds every fifth row, with nothing written."""
+    load = clean_rows(raw_rows(v), v.suppliers(), "list-1")
+    run = import_products(load, load.where(F.col("line_no") % 5 == 0), v.suppliers())
+    return run.checked.select("line_no", "status")
+
+
 @query("supplier_resolve", """
 asked AS (SELECT c_custkey AS query_id, 'R#' || right(c_name, 9) AS supplier FROM customer
   UNION ALL SELECT -1 - c_custkey, CAST(c_nationkey AS VARCHAR) FROM customer),
@@ -167,6 +196,22 @@ def embed_all(v: Views) -> DataFrame:
     return embed_report(before, embed_missing(before, hashing_embedder()))
 
 
+@query("embed_vectors", """
+SELECT id, embedding IS NULL AS filled, 64 AS n_dims, CASE WHEN embedding IS NOT NULL THEN round(embedding[1]::DOUBLE, 6) END AS kept_first,
+  CASE WHEN embedding IS NULL AND trim(description) <> '' THEN 1.0 END::DOUBLE AS norm FROM v_docs""")
+def embed_vectors(v: Views) -> DataFrame:
+    """Old vectors stay as they are, new ones have the model's length and unit norm."""
+    before = v.docs(True)
+    old = before.select("id", F.col("embedding").isNull().alias("filled"))
+    after = embed_missing(before, hashing_embedder()).join(old, "id")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
+    return after.select(
+        "id", "filled", F.size("embedding").alias("n_dims"),
+        F.when(~F.col("filled"), F.round(F.col("embedding")[0].cast("double"), 6)).alias("kept_first"),
+        F.when(F.col("filled") & (F.trim("description") != ""), F.round(norm, 5)).alias("norm"),
+    )
+
+
 @query("reembed_changed", """
 SELECT id, supplier_id = 'src3' OR embedding IS NULL AS missing FROM v_docs""")
 def reembed_changed(v: Views) -> DataFrame:
@@ -196,6 +241,22 @@ def cascade_delete(v: Views) -> DataFrame:
     return erased_counts(before, erase(before, "users", gone))
 
 
+@query("cascade_supplier", """
+SELECT 'suppliers' AS "table", count(*) AS n_before, count(*) FILTER (id % 3 <> 0) AS n_after FROM v_suppliers
+UNION ALL SELECT 'products', count(*), count(*) FILTER (supplier_id % 3 <> 0) FROM v_products""")
+def cascade_supplier(v: Views) -> DataFrame:
+    before = {k: shop_tables(v)[k] for k in ("suppliers", "products")}
+    return erased_counts(before, erase(before, "suppliers", v.suppliers().where(F.col("id") % 3 == 0)))
+
+
+@query("cascade_price_list", """
+SELECT id, price_list_id FROM v_products WHERE price_list_id NOT LIKE 'PROMO%'""")
+def cascade_price_list(v: Views) -> DataFrame:
+    """The products that are left when some price lists go."""
+    gone = v.products().where(F.col("price_list_id").like("PROMO%")).select(F.col("price_list_id").alias("id"))
+    return erase(shop_tables(v), "price_lists", gone)["products"].select("id", "price_list_id")
+
+
 @query("integrity", """
 SELECT 'products' AS "table", 'not_null:price' AS rule, CAST(id AS VARCHAR) AS key FROM v_products WHERE price IS NULL
 UNION ALL SELECT 'products', 'unique:description', description FROM v_products GROUP BY description HAVING count(*) > 1

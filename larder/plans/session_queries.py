@@ -35,13 +35,13 @@ def chat_messages_shaped(v: Views) -> DataFrame:
 @query("chat_conversations", """
 k AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS seq FROM v_chat QUALIFY seq <= 3),
 m AS (SELECT session_id, seq, role, coalesce(content, '') AS content FROM k UNION ALL SELECT DISTINCT session_id, 4, 'user', 'and now?' FROM v_chat)
-SELECT session_id, string_agg(role || ':' || length(content), ',' ORDER BY seq) AS messages FROM m GROUP BY session_id""")
+SELECT session_id, string_agg(role || ':' || content, ',' ORDER BY seq) AS messages FROM m GROUP BY session_id""")
 def chat_conversations(v: Views) -> DataFrame:
     asked = v.chat().select("customer_id", "session_id").distinct().withColumn("content", F.lit("and now?"))
     out = chat.conversations(v.chat(), asked, 3)
     part = F.transform(
         "messages",
-        lambda m: F.concat(m["role"], F.lit(":"), F.length(F.coalesce(m["content"], F.lit(""))).cast("string")),
+        lambda m: F.concat(m["role"], F.lit(":"), F.coalesce(m["content"], F.lit(""))),
     )
     return out.select("session_id", F.array_join(part, ",").alias("messages"))
 
