@@ -29,10 +29,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A checkpoint of narrow rows, marked for broadcast only when it was counted and is within the limit."""
+def small_or_shuffled(df: DataFrame, weight: Column | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A checkpoint, marked for broadcast only when it was counted and is within the limit.
+
+    Rows of a few numbers count as one each; for rows with arrays, weight is the number of their elements.
+    """
     kept = durable(df)
-    return F.broadcast(kept) if kept.count() <= limit else kept
+    size = kept.count() if weight is None else kept.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(kept) if size <= limit else kept
 
 
 def unit_hash(*columns) -> Column:

@@ -119,7 +119,7 @@ def _leaks_of_size(docs: DataFrame, items: DataFrame, size: int, similarity: flo
     per_block = radius // BLOCKS
     windows = _windows(docs, items, size, similarity)
     # all windows of a text together, at most one per word and item size
-    grouped = small_or_shuffled(windows.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "n_words")).alias("windows")), 50_000)
+    grouped = small_or_shuffled(windows.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "n_words")).alias("windows")), F.size("windows"))
     prints = (
         docs.join(grouped.withColumnsRenamed({"id": "w_id", "text_key": "w_key"}), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key")))
         .select("id", "text_key", shingles_of("words", size).alias("shingles"), "windows")
@@ -130,14 +130,16 @@ def _leaks_of_size(docs: DataFrame, items: DataFrame, size: int, similarity: flo
     )
     wanted = items.select("item", "item_key", "n_words", shingles_of("words", size).alias("bag")).withColumn("fingerprint", F.expr(FINGERPRINT))
     known = small_or_shuffled(_variants(wanted, min(2, per_block), "item_flip").select(
-        "item", "item_key", "n_words", "block", "variant", "item_flip", F.col("bag").alias("item_bag"), F.col("fingerprint").alias("item_print")
+        "item_key", "n_words", "block", "variant", "item_flip", F.col("fingerprint").alias("item_print")
     ))
+    bags = small_or_shuffled(wanted.select("item", "item_key", F.col("bag").alias("item_bag")), F.size("item_bag"))
     # A pair meets once: in its first near block, whose two lowest differing bits the item flips and the window the others.
     both, window_flip = F.col("fingerprint").bitwiseXOR(F.col("item_print")), F.col("window_flip")
     pairs = (
         _variants(prints, max(0, per_block - 2), "window_flip").join(known, ["n_words", "block", "variant"])
         .where((window_flip == 0) | (F.col("item_flip") < window_flip.bitwiseAND(-window_flip)) & (F.bit_count("item_flip") == 2))
         .where((F.bit_count(both) <= radius) & (_first_near_block(both, per_block) == F.col("block")))
+        .join(bags, "item_key")
     )
     # as a generator the overlap is computed once, above the join
     return (

@@ -182,7 +182,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     kept = scan(docs, None, id_col, text_col, path_col).select("id", "text_key", "start", "end", "kind").distinct()
     spans = kept.groupBy(F.col("id").alias(own_id), F.col("text_key").alias(own_key)).agg(F.collect_list(F.struct("start", "end", "kind")).alias(own_spans))
     same = docs[id_col].eqNullSafe(F.col(own_id)) & (F.xxhash64(docs[text_col]) == F.col(own_key))
-    joined = docs.join(small_or_shuffled(spans, 100_000), same, "left")
+    joined = docs.join(small_or_shuffled(spans, F.size(own_spans)), same, "left")
     hit = F.col(own_spans).isNotNull()
     text: Column = F.when(hit, _blanked(F.when(hit, F.col(text_col)), F.col(own_spans))).otherwise(F.col(text_col))
     changed = joined.withColumn(text_col, text)
