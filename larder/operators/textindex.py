@@ -1,4 +1,4 @@
-"""A stored text index: postings by lexeme bucket, read only where a query asks.
+"""Stored indexes of texts: postings by lexeme or trigram bucket, read only where a query asks.
 
 The index is a Parquet table partitioned by a hash bucket of the lexeme and sorted by lexeme. A search names its lexemes, so
 the scan opens their buckets alone and row groups of other lexemes are skipped; matching and ranking use stored positions,
@@ -16,6 +16,7 @@ from larder.functions.websearch import WebQuery
 from larder.operators import batches as bt
 from larder.operators.filters import optional_filters
 from larder.operators.fulltext import parse, search_fts, with_tokens
+from larder.operators.fuzzy import THRESHOLD, search_fuzzy
 
 BUCKETS = 64
 
@@ -94,10 +95,46 @@ def search_fts_indexed(
     rank = bt.score(tx.rank_long_texts(F.col("spots"), F.size("spots"), F.lit(query.together)))
     ranked = hits.join(kept, "id").join(known, "supplier_id").select("id", "supplier_name", spots.alias("spots")).select("id", "supplier_name", rank.alias("rank"))
     best = ranked.orderBy(F.desc("rank"), F.asc("id")).limit(result_limit)
+    return _with_columns(best, products, "rank")
+
+
+def _with_columns(best: DataFrame, products: DataFrame, score: str) -> DataFrame:
+    """The wide columns of at most result_limit rows, in order."""
     wide = products.select("id", *bt.PRODUCT_COLUMNS)
-    # at most result_limit rows meet the wide table
-    return (
-        wide.join(F.broadcast(best), "id")
-        .select("id", "supplier_name", *bt.PRODUCT_COLUMNS, "rank")
-        .orderBy(F.desc("rank"), F.asc("id"))
-    )
+    found = wide.join(F.broadcast(best), "id").select("id", "supplier_name", *bt.PRODUCT_COLUMNS, score)
+    return found.orderBy(F.desc(score), F.asc("id"))
+
+
+def write_gram_index(products: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Write gram, id and how many trigrams the text has."""
+    codes = products.select("id", tx.trigram_codes(F.col("description")).alias("codes"))
+    opened = codes.select("id", F.size("codes").alias("n"), F.explode_outer("codes").alias("gram")).where(F.col("gram").isNotNull())
+    placed = opened.withColumn("bucket", F.pmod("gram", F.lit(buckets)))
+    placed.repartitionByRange("bucket", "gram", "id").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def search_fuzzy_indexed(
+    index: DataFrame,
+    products: DataFrame,
+    suppliers: DataFrame,
+    search_query: str,
+    similarity_threshold: float = THRESHOLD,
+    result_limit: int = 50,
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """``search_fuzzy`` from stored trigrams, for thresholds of 0 or more: shared trigrams are counted on narrow rows.
+
+    Texts whose number of trigrams rules the threshold out are left out by the scan.
+    """
+    grams = products.sparkSession.range(1).select(tx.trigram_codes(F.lit(search_query)).alias("g")).first()["g"]
+    if not grams or similarity_threshold < 0:
+        return search_fuzzy(products, suppliers, search_query, similarity_threshold, result_limit)
+    asked = index.where(F.col("bucket").isin(sorted({g % buckets for g in grams})) & F.col("gram").isin(grams))
+    asked = asked.where(F.col("n") >= int(similarity_threshold * len(grams)))
+    if similarity_threshold > 0:
+        asked = asked.where(F.col("n") <= int(len(grams) / similarity_threshold) + 1)
+    shared = asked.groupBy("id", "n").agg(F.count("*").alias("shared"))
+    near = shared.withColumn("similarity", F.col("shared") / (F.col("n") + len(grams) - F.col("shared"))).where(F.col("similarity") > similarity_threshold)
+    known = suppliers.select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier_name"))
+    named = near.join(products.select("id", "supplier_id"), "id").join(known, "supplier_id").select("id", "supplier_name", "similarity")
+    return _with_columns(named.orderBy(F.desc("similarity"), F.asc("id")).limit(result_limit), products, "similarity")

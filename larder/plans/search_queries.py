@@ -14,7 +14,7 @@ from larder.operators.encode import result_documents, result_lines
 from larder.operators.fulltext import lexeme_stats, postings, search_fts, search_fts_batch
 from larder.operators.fuzzy import search_fuzzy, search_fuzzy_batch, trigram_frequencies
 from larder.operators.hybrid import search_hybrid, search_hybrid_batch
-from larder.operators.textindex import search_fts_indexed, write_text_index
+from larder.operators.textindex import search_fts_indexed, search_fuzzy_indexed, write_gram_index, write_text_index
 from larder.operators.vectors import search_approximate, search_semantic, search_semantic_batch
 from larder.plans.registry import query
 from larder.plans.search import assistant_search, search
@@ -228,15 +228,25 @@ def grams_sql(text: str) -> str:
 SIMILARITY = "len(list_intersect(p.g, q.g)) / (len(p.g) + len(q.g) - len(list_intersect(p.g, q.g)))"
 
 
-@query("fuzzy_search", f"""
+FUZZY_SQL = f"""
 p AS (SELECT *, {grams_sql('description')} AS g FROM v_products),
 q AS (SELECT {grams_sql("'smal rnig econmy'")} AS g),
 best AS (SELECT p.*, {SIMILARITY} AS similarity FROM p, q WHERE {SIMILARITY} > 0.2 ORDER BY similarity DESC, p.id LIMIT 50)
-SELECT b.id, s.name AS supplier_name, {PRODUCT}, similarity FROM best b JOIN v_suppliers s ON s.id = b.supplier_id""")
+SELECT b.id, s.name AS supplier_name, {PRODUCT}, similarity FROM best b JOIN v_suppliers s ON s.id = b.supplier_id"""
+
+
+@query("fuzzy_search", FUZZY_SQL)
 def fuzzy_search(v: Views) -> DataFrame:
     return search_fuzzy(v.products(), v.suppliers(), "smal rnig econmy")
 
 
+@query("fuzzy_indexed", FUZZY_SQL)
+def fuzzy_indexed(v: Views) -> DataFrame:
+    path = f"{shared_folder(v.spark)}/gram-index-{uuid.uuid4().hex}"
+    write_gram_index(v.products(), path)
+    return search_fuzzy_indexed(v.spark.read.parquet(path), v.products(), v.suppliers(), "smal rnig econmy")
+
+
 FUZZY_BATCH = f"""
 p AS (SELECT *, {grams_sql('description')} AS g FROM v_products),
 q AS (SELECT p_name AS query_id, {grams_sql("replace(p_name, 'l', '')")} AS g FROM (SELECT DISTINCT p_name FROM part)),

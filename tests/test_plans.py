@@ -65,3 +65,22 @@ def test_index_search_reads_asked_buckets_and_no_texts(spark, tmp_path):
     assert "PartitionFilters: [bucket" in plan and "In(lexeme" in plan
     scans = [part for part in plan.split("FileScan parquet ")[1:] if "supplier_code" in part.split("Batched")[0]]
     assert len(scans) == 1  # texts are read once, by the join with the best rows
+
+
+def test_gram_index_equals_scan(spark, tmp_path):
+    from larder.operators.fuzzy import search_fuzzy
+    from larder.operators.textindex import search_fuzzy_indexed, write_gram_index
+
+    texts = ["red wine", "red whine", "rad wine", "white", "wine wine wine red", "", "r", None, "a much longer text about red wine and other things"]
+    rows = [(i, 1, f"c{i}", t, "u", "u", 1.0) for i, t in enumerate(texts)]
+    products = spark.createDataFrame(rows, "id long, supplier_id long, supplier_code string, description string, selling_uom string, pricing_uom string, price double")
+    suppliers = spark.createDataFrame([(1, "S")], "id long, name string")
+    write_gram_index(products, str(tmp_path / "grams"), buckets=8)
+    index = spark.read.parquet(str(tmp_path / "grams"))
+    for text in ("red wine", "wihte", "r", "", "zzz"):
+        for threshold in (0.0, 0.2, 0.5):
+            key = lambda df: [(r["id"], round(r["similarity"], 12)) for r in df.collect()]
+            assert key(search_fuzzy_indexed(index, products, suppliers, text, threshold, buckets=8)) == key(search_fuzzy(products, suppliers, text, threshold)), (text, threshold)
+    plan = search_fuzzy_indexed(index, products, suppliers, "red wine", 0.5, buckets=8)._jdf.queryExecution().executedPlan().toString()
+    scan = next(part for part in plan.split("FileScan parquet ")[1:] if "gram#" in part)
+    assert "bucket#" in scan.split("PartitionFilters: [")[1].split("PushedFilters")[0] and "DataFilters: [isnotnull(n#" in scan
