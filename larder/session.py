@@ -12,6 +12,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # top-k limits above the default of 1000 prune before the shuffle too
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
 }
 
 
@@ -44,10 +46,17 @@ def cut_lineage(df):
     return df.checkpoint()
 
 
+#: A table above this size has splits enough, or is too large to deal out anew.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df):
-    """Deal rows out evenly when a scan has fewer splits than the cluster has cores.
+    """Deal the rows of a small table out evenly when its scan has fewer splits than the cluster has cores.
 
-    Only the planned number of splits is read. Meant for small inputs ahead of costly row work; a table of many files is returned as it is.
+    One row group cannot be split, so costly row work on it would run in one task. Only planned numbers are read; a table
+    above SPREAD_BYTES is returned as it is, whatever the number of cores.
     """
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -11,7 +11,9 @@ def read_table(spark, path: str) -> DataFrame | None:
     """The rows of all finished micro-batches, None before the first."""
     try:
         return spark.read.option("basePath", path).parquet(f"{path}/batch_id=*")
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":  # a broken table is not an empty one
+            raise
         return None
 
 
