@@ -13,6 +13,7 @@ from larder.operators.filters import filters_of_row
 DIGITS, COSINE_SCALE = 10, 1e10
 MAX_BROADCAST_QUERIES = 20_000
 MAX_BROADCAST_BYTES = 16 << 20
+MAX_FAN_BYTES = 128 << 20
 MAX_BROADCAST_HITS = 1_000_000
 
 _DEFAULTS = {
@@ -41,23 +42,31 @@ class BatchSize:
     n: int
     text_bytes: int
     max_limit: int
+    fan_bytes: int = 0
 
     @property
     def small(self) -> bool:
         return self.n <= MAX_BROADCAST_QUERIES and self.text_bytes <= MAX_BROADCAST_BYTES
 
+    @property
+    def small_fan(self) -> bool:
+        """Whether rows per word or trigram that each carry their whole query are small enough to broadcast."""
+        return self.small and self.fan_bytes <= MAX_FAN_BYTES
+
     def small_hits(self, per_query: int) -> bool:
         return self.n * per_query <= MAX_BROADCAST_HITS
 
 
 def measure(queries: DataFrame, default_limit: int) -> BatchSize:
-    """One small aggregate over the query table: three numbers reach the driver."""
+    """One small aggregate over the query table: four numbers reach the driver."""
+    length = F.octet_length(F.coalesce("search_text", F.lit(""))).cast("long")
     row = queries.agg(
         F.count("*").alias("n"),
-        F.coalesce(F.sum(F.octet_length(F.coalesce("search_text", F.lit("")))), F.lit(0)).alias("b"),
+        F.coalesce(F.sum(length), F.lit(0)).alias("b"),
+        F.coalesce(F.sum(length * length * 8), F.lit(0)).alias("f"),
         F.max(F.coalesce("result_limit", F.lit(default_limit))).alias("k"),
     ).first()
-    return BatchSize(row["n"], row["b"], row["k"] if row["k"] is not None else default_limit)
+    return BatchSize(row["n"], row["b"], row["k"] if row["k"] is not None else default_limit, row["f"])
 
 
 def score(c: Column) -> Column:

@@ -146,7 +146,7 @@ def text_hits(
     ).withColumn("anchor", F.col("clause.anchor"))
     rows = with_tokens(products, config).select("id", "supplier_id", "price", "tokens")
     anchors = F.explode(F.array_union(F.col("tokens"), F.array(F.lit(EVERY_TEXT)))).alias("anchor")
-    if size.small:
+    if size.small_fan:
         met = rows.select("*", anchors).join(F.broadcast(asks), "anchor")
     else:
         keys = asks.select("anchor", "query_id", "clause_no")

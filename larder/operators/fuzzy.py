@@ -78,7 +78,7 @@ def fuzzy_hits(
     n_p, n_q = F.size("p_grams"), F.size("q_grams")
     # sizes too far apart cannot reach the threshold
     fits = (n_p >= threshold * n_q - 1e-9) & (n_q >= threshold * n_p - 1e-9)
-    if size.small:
+    if size.small_fan:
         met = opened.join(F.broadcast(asks), "gram").where(fits)
     else:
         keys = asks.select("query_id", "gram")
