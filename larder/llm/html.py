@@ -38,7 +38,8 @@ search searchbox toolbar pagination pager widget widgets skip outbrain taboola l
 disclaimer paywall""".split())
 COMMENTS = set("comment comments commentlist respond reply replies disqus discussion responses feedback reviews".split())
 PAGE_HEADS = {"header", "banner", "topbar"}
-EXCUSED = set("has with no without content article main".split())
+TITLE_OF = set("article entry post content story".split())
+EXCUSED = set("has with no without open closed".split())
 WANTED = set("article content main post entry story body text blog".split())
 
 _WORD = re.compile(r"[a-z0-9]+")
@@ -56,8 +57,12 @@ class Node:
         self.bonus, self.points, self.chars, self.linked, self.blocks = 0.0, 0.0, 0, 0, 0
         self.menu = self.kept = False
         found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-        named = " ".join(found.get(k, "") for k in ("class", "id", "role"))
-        words = set(_WORD.findall(_CAMEL.sub(" ", named).lower()))
+        names = [set(_WORD.findall(_CAMEL.sub(" ", n).lower())) for k in ("class", "id", "role") for n in found.get(k, "").split()]
+        marks = [n for n in names if not n & EXCUSED]
+        words = {w for n in marks for w in n}
+        bad = [n for n in marks if n & UNWANTED or not (parent is not None and parent.wanted) and n & PAGE_HEADS and not n & TITLE_OF]
+        # a layout name beside a plain name of the article, as in "main-content sidebar-right", marks the article
+        bad = [] if any(n & {"content", "article", "main"} for n in marks if n not in bad) else bad
         inside = parent is not None and parent.wanted
         self.comments = parent is not None and parent.comments
         self.wanted = inside
@@ -66,8 +71,7 @@ class Node:
             remarks = bool(words & COMMENTS)
             own = (
                 tag in BOILERPLATE or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
-                or remarks or bool(words & UNWANTED) and not words & EXCUSED
-                or not inside and (tag == "header" or bool(words & PAGE_HEADS) and not words & EXCUSED)
+                or remarks or bool(bad) or not inside and tag == "header"
             ) and tag not in ("html", "body")
             self.comments |= remarks and tag not in ("html", "body")
         above = parent is not None and parent.unwanted

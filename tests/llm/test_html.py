@@ -25,6 +25,10 @@ def test_article_alone():
     ("<div><h1>T</h1><div class=content><p>Some text, with a comma.</p></div></div>", "T\nSome text, with a comma."),
     ("<body><div class=menu><a href=1>a</a></div><p>1 < 2, so it goes.</p>", "1 < 2, so it goes."),
     ("<article><p>x</p><ul><li><a href=1>one</a><li><a href=2>two</a><li><a href=3>three</a></ul></article>", "x"),
+    ("<div class='main-content sidebar-right'><p>Text, here.</p></div><ul class=main-menu><li>Home, a, b, c, d, e</ul>", "Text, here."),
+    ("<div class=content><p>Text, of it.</p><div class=content-ad><p>Buy, buy, buy, buy.</p></div></div><div class=article-footer>f, g</div>", "Text, of it."),
+    ("<body class=comments-open><div class=post><div class=post-header><h2>T</h2></div><p>Text, it is.</p></div><div id=page-header>x, y</div>", "T\nText, it is."),
+    ("<article class='post comments-closed'><p>Text.</p></article><div role=alert>No, no, no, no.</div><p hidden>No, no.</p>", "Text."),
     ("<article><header><h1>Head</h1></header><p>Text.</p><div class='comments'><p>No.</p></div></article>", "Head\nText."),
 ])
 def test_pages(page, text):
