@@ -97,7 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
     aside = unit_hash("id", F.lit("calibration")) < 0.25
-    measured = durable(texts.select("label", aside.alias("aside"), "text").mapInPandas(measure, "label double, aside boolean, stats array<double>").coalesce(SUMS))
+    measured = durable(texts.select("label", aside.alias("aside"), "text").mapInPandas(measure, "label double, aside boolean, stats array<double>").repartition(SUMS))
     size, rng = len(statistics("")), np.random.default_rng(11)
     sums = measured.select(*[f(F.col("stats")[i]).alias(f"{f.__name__}{i}") for i in range(size) for f in (F.avg, F.stddev_pop)]).first()
     if not n or sums[0] is None:
