@@ -139,7 +139,7 @@ def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> RandomForestClas
     chance = F.when(F.col("label") == 1, min(1.0, train_rows / counts[1.0])).otherwise(min(1.0, train_rows / counts[0.0]))
     sample = labelled.where("label IN (0, 1)").where(unit_hash("value", "text_key", "start") < chance)
     weight = F.when(F.col("label") == 1, 1 / counts[1.0]).otherwise(1 / counts[0.0]) * sum(counts.values()) / 2
-    vectors = sample.select(array_to_vector("features").alias("features"), "label", weight.alias("weight")).coalesce(8)
+    vectors = sample.select(array_to_vector("features").alias("features"), "label", weight.alias("weight")).repartition(8)
     return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=3, weightCol="weight").fit(vectors)
 
 
