@@ -4,8 +4,9 @@ An item leaks where a window of as many words as the item reaches the given simi
 by how often they occur, sum of the smaller weights over the sum of the larger ones. Steps:
 
 1. Seeds. A window that is similar enough lacks at most a fifth of an item's shingles, so it holds one of any fifth and one
-   more; the rarest are taken. Windows of the item's size are laid where a seed puts them, moved by as many words as edits
-   could have moved them. No window that would pass is lost, and words far from any benchmark text cost one lookup.
+   more; the rarest are taken. Of all windows of the item's size that hold a seed, in whatever order their words stand, those
+   are laid that hold as many of the item's shingles as the similarity takes. No window that would pass is lost here, and
+   words far from any benchmark text cost one lookup.
 2. Fingerprints of the windows, 64 bits.
 3. Four blocks of 16 bits. Two fingerprints within the radius have a block within a quarter of it. Items emit every
    variant of a block within two bits, windows those within the rest; equal variants collide.
@@ -92,7 +93,7 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _windows(docs: DataFrame, items: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Windows that a rare shingle of an item points to: id, text_key, start, n_words."""
+    """Windows that hold enough shingles of an item: id, text_key, start, n_words, bag (the window's shingles)."""
     bags = items.select("item_key", "n_words", shingles_of("words", size).alias("bag"))
     places = bags.select("item_key", "n_words", F.size("bag").alias("n"), F.posexplode("bag").alias("place", "shingle"))
     seen_in = places.groupBy("shingle").agg(F.countDistinct("item_key").alias("seen_in"))
@@ -100,34 +101,47 @@ def _windows(docs: DataFrame, items: DataFrame, size: int, similarity: float) ->
         F.sort_array(F.collect_list(F.struct("seen_in", "place", "shingle"))).alias("ranked")
     )
     lacking = F.floor((1 - similarity) * F.col("n") + 1e-9).cast("int")
-    seeds = small_or_shuffled(ranked.select(
-        "n_words", F.floor(F.col("n") / 9).cast("int").alias("moved"), F.inline(F.slice("ranked", F.lit(1), lacking + 1))
-    ).groupBy("shingle", "n_words", "place").agg(F.max("moved").alias("moved")))
-    hits = (
-        docs.select("id", "text_key", F.size("words").alias("length"), F.posexplode(shingles_of("words", size)).alias("at", "shingle"))
-        .join(seeds, "shingle")
+    seeds = small_or_shuffled(ranked.select("item_key", "n_words", F.inline(F.slice("ranked", F.lit(1), lacking + 1))).select("shingle", "item_key", "n_words").distinct())
+    hits = docs.select("id", "text_key", F.posexplode(shingles_of("words", size)).alias("at", "shingle")).join(seeds, "shingle")
+    # the seeds of an item in a stretch of as many words; a window that holds one reaches no further than its own length from it
+    stretch = F.floor(F.col("at") / F.col("n_words")).alias("stretch")
+    near = hits.groupBy("id", "text_key", "item_key", "n_words", stretch).agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    grouped = small_or_shuffled(near.groupBy("id", "text_key").agg(F.collect_list(F.struct("item_key", "n_words", "low", "high")).alias("near")), F.size("near"))
+    span, first = F.col("n_words") - size, F.greatest(F.lit(0), F.col("low") - (F.col("n_words") - size))
+    known = small_or_shuffled(bags.select("item_key", F.col("bag").alias("item_bag")), F.size("item_bag"))
+    ranges = (
+        docs.join(grouped.withColumnsRenamed({"id": "w_id", "text_key": "w_key"}), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key")))
+        .select("id", "text_key", shingles_of("words", size).alias("shingles"), "near")
+        .select("id", "text_key", "shingles", F.inline("near"))
+        .select("id", "text_key", "item_key", "n_words", F.size("shingles").alias("total"), first.alias("first"),
+                F.slice("shingles", first + 1, F.col("high") - first + span + 1).alias("part"))
+        .join(known, "item_key")
     )
-    last = F.greatest(F.lit(0), F.col("length") - F.col("n_words"))
-    start = F.explode(F.sequence(F.col("at") - F.col("place") - F.col("moved"), F.col("at") - F.col("place") + F.col("moved")))
+    # overlap / (window + item - overlap) reaches the similarity from this overlap on
+    wanted = similarity * (F.least("total", F.size("item_bag")) + F.size("item_bag")) / (1 + similarity)
+    # an item's shingle that the range lacks is lacking in every window of it
+    enough = F.size(F.array_intersect("part", "item_bag")) >= F.size(F.array_distinct("item_bag")) - F.size("item_bag") + F.col("needed")
+    held = F.filter(F.sequence(F.lit(0), F.size("part") - 1), lambda i: F.array_contains("item_bag", F.get("part", i)))
+    found = ranges.withColumn("needed", F.ceil(wanted - 1e-9).cast("int")).where(enough).select("*", F.explode(F.array(held)).alias("held"))
+    last = F.greatest(F.col("first"), F.col("first") + F.size("part") - 1 - span)  # windows beyond the range hold no seed of it
+
+    def around(i: Column) -> Column:
+        """Starts of windows that hold the needed number of places from the i-th on."""
+        low = F.greatest(F.col("first"), F.col("first") + F.get("held", i + F.col("needed") - 1) - span)
+        high = F.least(last, F.col("first") + F.get("held", i))
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    starts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("held") - F.col("needed")), around)))
     return (
-        hits.select("id", "text_key", "n_words", last.alias("last"), start.alias("start"))
-        .select("id", "text_key", "n_words", F.least("last", F.greatest(F.lit(0), "start")).alias("start")).distinct()
+        found.where(F.size("held") >= F.col("needed")).select("id", "text_key", "n_words", "first", "part", F.explode(starts).alias("start"))
+        .select("id", "text_key", "start", "n_words", F.slice("part", F.col("start") - F.col("first") + 1, span + 1).alias("bag"))
+        .groupBy("id", "text_key", "start", "n_words").agg(F.first("bag").alias("bag"))
     )
 
 
 def _leaks_of_size(docs: DataFrame, items: DataFrame, size: int, similarity: float, radius: int) -> DataFrame:
     per_block = radius // BLOCKS
-    windows = _windows(docs, items, size, similarity)
-    # all windows of a text together, at most one per word and item size
-    grouped = small_or_shuffled(windows.groupBy("id", "text_key").agg(F.collect_list(F.struct("start", "n_words")).alias("windows")), F.size("windows"))
-    prints = (
-        docs.join(grouped.withColumnsRenamed({"id": "w_id", "text_key": "w_key"}), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key")))
-        .select("id", "text_key", shingles_of("words", size).alias("shingles"), "windows")
-        .select("id", "text_key", "shingles", F.inline("windows"))
-        .select("id", "text_key", "start", "n_words", F.slice("shingles", F.col("start") + 1, F.col("n_words") - (size - 1)).alias("bag"))
-        .where(F.size("bag") > 0)
-        .withColumn("fingerprint", F.expr(FINGERPRINT))
-    )
+    prints = _windows(docs, items, size, similarity).withColumn("fingerprint", F.expr(FINGERPRINT))
     wanted = items.select("item", "item_key", "n_words", shingles_of("words", size).alias("bag")).withColumn("fingerprint", F.expr(FINGERPRINT))
     known = small_or_shuffled(_variants(wanted, min(2, per_block), "item_flip").select(
         "item_key", "n_words", "block", "variant", "item_flip", F.col("fingerprint").alias("item_print")

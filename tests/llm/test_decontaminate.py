@@ -58,6 +58,24 @@ def test_planted_passages(spark, make_docs):
     assert sorted(r.doc_id for r in left.collect()) == sorted(d for d, _ in docs if d not in leaking and d is not None)
 
 
+def test_reordered_passages(spark, make_docs):
+    """Swapped halves, moved sentences and thirds in reverse order, within longer texts and near their ends."""
+    items = [(i, " ".join(passage(n))) for i, n in enumerate([60, 60, 75, 90, 120])]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        half, third = len(w) // 2, len(w) // 3
+        for k, moved in enumerate([w[half:] + w[:half], w[12:] + w[:12], w[:20] + w[40:] + w[20:40], w[2 * third:] + w[third:2 * third] + w[:third]]):
+            docs.append((100 * i + 10 * k, " ".join(passage(40) + moved + passage(50))))
+            docs.append((100 * i + 10 * k + 1, " ".join(moved + passage(3))))
+            docs.append((100 * i + 10 * k + 2, " ".join(passage(3) + moved[:-2])))
+            docs.append((100 * i + 10 * k + 3, " ".join(passage(70) + moved + passage(7) + moved[:half] + passage(300) + moved)))
+    got = {(r.id, r.item): r.similarity for r in find_leaks(make_docs(docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute(docs, items)
+    assert len(want) > 50 and set(want) == set(got)
+    assert all(abs(want[k] - v) < 1e-9 for k, v in got.items())
+
+
 def test_items_of_the_same_words_and_nothing_to_find(spark, make_docs):
     bench = spark.createDataFrame([(4, "a b c d e f g"), (2, "A, b c d e f g!")], "item_id long, text string")
     docs = make_docs([(1, "x a b c d e f g y"), (1, "x a b c d e f g y")])
