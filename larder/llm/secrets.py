@@ -28,8 +28,10 @@ PATTERNS = [
     ("slack_token", r"(?<![A-Za-z0-9])(?P<secret>xox[abprs]-[A-Za-z0-9-]{10,})"),
     ("google_key", r"(?<![A-Za-z0-9])(?P<secret>AIza[0-9A-Za-z_-]{35})(?![0-9A-Za-z_-])"),
     ("web_token", r"(?<![A-Za-z0-9])(?P<secret>eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
-    ("private_key", r"(?P<secret>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8192}(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?)"),
-    ("assigned", r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]{0,8}(?:=|:=|:)[ \t]{0,8}[\"']?(?P<secret>[^\s\"'<>,;]{6,512})"),
+    # all up to the END line; where none comes before the next marker, header lines and what looks like base64
+    ("private_key", r"(?P<secret>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+                    r"|(?:[ \t]*+\r?\n[ \t]*+[A-Z][A-Za-z0-9-]*+:[^\r\n]*+)*+(?:[A-Za-z0-9+/=\s]++|\\[nr])*+))"),
+    ("assigned", r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]{0,8}(?:=|:=|:)[ \t]{0,8}[\"']?(?P<secret>[^\s\"'<>,;]{6,}+)"),
     ("token", r"(?<![A-Za-z0-9_+/=-])(?P<secret>(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+)"),
 ]
 ISSUED = {"aws_key", "github_token", "slack_token", "google_key", "web_token", "private_key"}
@@ -93,7 +95,7 @@ def describe(text: str, start: int, end: int, path: str | None) -> list[float]:
         math.log(n), -sum(c / n * math.log2(c / n) for c in counts.values()), kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n,
         sum(c in "0123456789abcdefABCDEF" for c in value) / n, len(counts) / n, sum(a == b for a, b in zip(value, value[1:])) / n,
         *(pairs[a, b] / max(1, n - 1) for a in "uldo" for b in "uldo"),
-        covered(value[:4096]) if n > 4096 else covered(value), float(before.rstrip(" \t\"'")[-1:] in ("=", ":")), float(before[-1:] in ("'", '"')),
+        covered(value), float(before.rstrip(" \t\"'")[-1:] in ("=", ":")), float(before[-1:] in ("'", '"')),
         float(any(w in FOR for w in near)), float(any(w in AGAINST for w in near)), float(any(p in lowered for p in PLACEHOLDERS)),
         *(float(p in where) for p in PATHS),
     ]
