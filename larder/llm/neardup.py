@@ -123,6 +123,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
+def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One row per row of docs: id, text_key (hash of the text) and cluster, equal for the rows of a component, null ids included."""
+    return _grouped(docs, id_col, text_col, radius).select("id", "text_key", F.col("component").alias("cluster"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """docs with one row of each group, that of the smallest id; columns as they are.
 

@@ -2,7 +2,7 @@
 
 A text longer than a sequence is cut; pieces are dealt by a hash into groups of bounded size, and each group is packed on its
 own, the longest pieces first. A piece goes into the fullest open bin that still has room and holds neither a piece of its
-source nor of its duplicate cluster. Open bins are ordered by what is left in them; sources and clusters keep bitmaps of the bins
+source nor of its duplicate cluster, nor one with the same words. Open bins are ordered by what is left in them; sources and clusters keep bitmaps of the bins
 they are in; the search starts at the piece's length and goes on to the next larger rest until one is compatible.
 """
 
@@ -14,18 +14,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larder.llm.common import durable
+
 #: Words of a sequence; pieces of a packing group.
 CAPACITY, GROUP = 2048, 2048
 
 
-def pack(lengths: list[int], sources: list, clusters: list, capacity: int) -> list[int]:
-    """Bin of every piece. Ties: longer pieces first, then in the given order; of equal bins the older one."""
+def pack(lengths: list[int], sources: list, clusters: list, capacity: int, copies: list | None = None) -> list[int]:
+    """Bin of every piece; copies: a second kind of cluster. Ties: longer pieces first, then in the given order; of equal bins the older one."""
     by_rest: dict[int, int] = {}  # rest -> bitmap of bins with that rest
     rests = 0  # bitmap of rests that some bin has
     in_bins: dict[tuple, int] = {}  # source or cluster -> bitmap of bins
+    kinds = [("s", sources), ("c", clusters), *([("x", copies)] if copies is not None else [])]
     placed, bins = [0] * len(lengths), 0
     for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
-        need, marks = lengths[i], [(k, v) for k, v in (("s", sources[i]), ("c", clusters[i])) if v is not None]
+        need, marks = lengths[i], [(k, of[i]) for k, of in kinds if of[i] is not None]
         taken = 0
         for m in marks:
             taken |= in_bins.get(m, 0)
@@ -54,24 +57,34 @@ def pack(lengths: list[int], sources: list, clusters: list, capacity: int) -> li
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None, cluster: Column | None = None,
-                   id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", group_rows: int = GROUP) -> DataFrame:
+                   id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", group_rows: int = GROUP,
+                   clusters: DataFrame | None = None) -> DataFrame:
     """One row per piece: id, piece (from 0), start, n_words, bin_id, bin_words (words in the bin). Bins hold at most capacity words.
 
     length: words or tokens of a row (default: words between white space); cluster: equal for duplicates (default: a hash of
-    the words). Null sources conflict with nothing. Null and empty texts give one row with 0 words and no bin; repeated rows
+    the words). clusters: id, text_key (hash of the text) and cluster of near copies, which conflict too, besides those with
+    the same words; rows that it lacks are in none. Groups have about group_rows pieces. Null sources conflict with nothing. Null and empty texts give one row with 0 words and no bin; repeated rows
     are packed each and share no bin; null ids stay; an empty table gives an empty result; other columns are left out.
     """
     words = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), "")
-    rows = docs.select(
+    rows = durable(docs.select(
         F.col(id_col).alias("id"), F.xxhash64(source_col).alias("source_key"), F.col(source_col).isNull().alias("no_source"),
         (F.size(words) if length is None else length).cast("long").alias("length"),
         (F.xxhash64(F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", " "))) if cluster is None else F.xxhash64(cluster)).alias("cluster"),
-        F.monotonically_increasing_id().alias("row"),
-    )
-    groups = max(1, math.ceil(docs.count() / group_rows))
+        F.xxhash64(text_col).alias("text_key"), F.monotonically_increasing_id().alias("row"),
+    ))
+    n_pieces = F.ceil(F.col("length") / capacity)
+    groups = max(1, math.ceil((rows.where("length > 0").agg(F.sum(n_pieces)).first()[0] or 0) / group_rows))
     empty = rows.where("length IS NULL OR length <= 0").select("id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("long").alias("bin_words"))
-    pieces = rows.where("length > 0").select("*", F.explode(F.sequence(F.lit(0), F.ceil(F.col("length") / capacity).cast("int") - 1)).alias("piece")).select(
-        F.col("id").cast("string").alias("id"), "source_key", "no_source", "cluster", "row", "piece",
+    full = rows.where("length > 0")
+    if clusters is None:
+        full = full.withColumns({"near": F.lit(0).cast("long"), "no_near": F.lit(True)})
+    else:
+        known = clusters.where("cluster IS NOT NULL").select(F.col("id").alias("c_id"), F.col("text_key").alias("c_key"), F.xxhash64("cluster").alias("c_hash")).distinct()
+        full = full.join(known, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key")), "left")
+        full = full.withColumns({"near": F.coalesce("c_hash", F.lit(0).cast("long")), "no_near": F.col("c_hash").isNull()})
+    pieces = full.select("*", F.explode(F.sequence(F.lit(0), n_pieces.cast("int") - 1)).alias("piece")).select(
+        F.col("id").cast("string").alias("id"), "source_key", "no_source", "cluster", "near", "no_near", "row", "piece",
         (F.col("piece") * F.lit(capacity).cast("long")).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("length") - F.col("piece") * F.lit(capacity).cast("long")).alias("n_words"),
         F.pmod(F.xxhash64("row", "piece"), F.lit(groups)).alias("part"),
     )
@@ -79,7 +92,8 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, length: Column | N
     def run(group: pd.DataFrame) -> pd.DataFrame:
         g = group.sort_values(["row", "piece"], kind="stable")
         sources = [None if no else s for s, no in zip(g["source_key"], g["no_source"], strict=True)]
-        bins = pack(g["n_words"].tolist(), sources, g["cluster"].tolist(), capacity)
+        near = [None if no else c for c, no in zip(g["near"], g["no_near"], strict=True)]
+        bins = pack(g["n_words"].tolist(), sources, g["cluster"].tolist(), capacity, near)
         out = g[["id", "piece", "start", "n_words"]].assign(bin_id=[f"{g['part'].iloc[0]}-{b}" for b in bins])
         return out.assign(bin_words=out.groupby("bin_id")["n_words"].transform("sum"))
 

@@ -70,7 +70,8 @@ def op7_quality(spark, folder):
 
 @_query("op5_packing")
 def op5_packing(spark, folder):
-    return packing.pack_documents(_table(spark, folder, "documents"))
+    docs = _table(spark, folder, "documents")
+    return packing.pack_documents(docs, clusters=neardup.clusters(docs))
 
 
 @_query("op8_secrets")

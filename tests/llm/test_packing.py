@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from larder.llm.neardup import clusters
 from larder.llm.packing import pack, pack_documents
 
 
@@ -59,3 +60,29 @@ def test_hot_source_and_cluster(make_docs):
     for r in got:
         bins[r.bin_id].append(r.doc_id % 3)
     assert len(got) == 300 and all(b.count(0) <= 1 and b.count(1) <= 1 for b in bins.values())
+
+
+def test_query_keeps_near_copies_apart(make_docs, tmp_path):
+    """Near copies of different and null sources, one with a null id, meet in no sequence."""
+    from larder.llm.queries import QUERIES
+
+    base = [f"word{i}" for i in range(600)]
+    rows = [(i, " ".join(base[:500 + i] + [f"end{i}"]), f"s{i}" if i % 2 else None) for i in range(8)]
+    rows += [(100 + i, " ".join(f"t{i}x{j}" for j in range(300)), f"o{i}") for i in range(20)] + [(None, " ".join([*base[:509], "last"]), "n")]
+    docs = make_docs(rows, clashes=False)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    cluster = {r.id: r.cluster for r in clusters(docs).collect()}
+    near = {d for d in cluster if list(cluster.values()).count(cluster[d]) > 1}
+    assert len(near) >= 6 and not near & set(range(100, 120))
+    bins = defaultdict(list)
+    for r in QUERIES["op5_packing"](docs.sparkSession, str(tmp_path)).collect():
+        bins[r.bin_id].append(cluster[r.doc_id])
+    assert sum(map(len, bins.values())) == len(rows) and all(len(b) == len(set(b)) for b in bins.values())
+    assert max(map(len, bins.values())) > 1
+
+
+def test_groups_are_counted_from_pieces(make_docs):
+    docs = make_docs([(i, " ".join([f"w{i}"] * 5000), f"s{i}") for i in range(8)], clashes=False)
+    got = pack_documents(docs, capacity=50, group_rows=100).collect()
+    groups = Counter(r.bin_id.split("-")[0] for r in got)
+    assert len(got) == 800 and len(groups) > 4 and max(groups.values()) < 200
