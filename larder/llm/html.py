@@ -18,11 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Elements by what they mean for the text.
-RAW = set("script style title noscript template iframe svg canvas object video audio textarea select math noframes".split())
+RAW = set("script style title noscript iframe textarea noframes".split())
+#: Their text is never the article's; what stands in them is parsed, so that nesting counts; one without an end tag hides nothing.
+EMBEDDED = set("svg math object canvas select video audio template".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("""a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label map mark q ruby rb rp
 rt s samp small span strike strong sub sup time tt u var wbr""".split())
 BOILERPLATE = set("nav aside footer form button fieldset dialog menu head".split())
+MENUS = set("nav aside footer menu button head".split())
+#: Blocks that belong to an article at any length if they stand beside its text and hold no link.
+PROSE = set("p pre ul ol dl".split())
 CLOSES_PARAGRAPH = set("""address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure
 footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table td th tr ul""".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -50,7 +55,7 @@ _COMMAS = re.compile("[,،、，;；]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "unwanted", "comments", "wanted", "bonus", "points", "chars", "linked", "blocks", "menu", "kept")
+    __slots__ = ("tag", "parent", "unwanted", "comments", "wanted", "bonus", "points", "chars", "linked", "blocks", "menu", "kept", "hidden")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
         self.tag, self.parent = tag, parent
@@ -67,11 +72,12 @@ class Node:
         self.comments = parent is not None and parent.comments
         self.wanted = inside
         own = False
+        out_of_sight = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
+        self.hidden = parent is not None and parent.hidden or out_of_sight
         if tag not in INLINE or words & {"ad", "ads", "advert"}:
             remarks = bool(words & COMMENTS)
             own = (
-                tag in BOILERPLATE or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
-                or remarks or bool(bad) or not inside and tag == "header"
+                tag in BOILERPLATE or out_of_sight or remarks or bool(bad) or not inside and tag == "header"
             ) and tag not in ("html", "body")
             self.comments |= remarks and tag not in ("html", "body")
         above = parent is not None and parent.unwanted
@@ -109,13 +115,26 @@ class _Quotes:
 
 def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
     """Elements, parents first; text blocks in page order: the element that holds them, text, characters within links."""
+    nodes, blocks, unclosed = _parse(html, set())
+    if unclosed:  # once more without them, so that they hide nothing
+        nodes, blocks, more = _parse(html, unclosed)
+        if more:
+            nodes, blocks, _ = _parse(html, None)
+    return nodes, blocks
+
+
+def _parse(html: str, void: set[int] | None) -> tuple[list[Node], list[tuple[Node, str, int]], set[int]]:
+    """Elements, blocks, and places of embedded elements without an end tag; those at the places of void (None: all) are passed over."""
     root = Node("html", None, "")
     nodes, stack, open_tags, blocks = [root], [root], Counter(), []
     parts: list[str] = []
     linked, breaks, quotes, at, n = 0, 0, _Quotes(html), 0, len(html)
+    embedded, within = {}, 0  # embedded elements without an end tag so far, and how many are open
 
     def flush():
         nonlocal linked, breaks
+        if within:  # the paragraph around an embedded element goes on after it
+            return
         text = " ".join("".join(parts).split())
         if text:
             holder = next(x for x in reversed(stack) if x.tag not in INLINE or x is root)
@@ -124,7 +143,9 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         linked = breaks = 0
 
     def leave():
+        nonlocal within
         node = stack.pop()
+        within -= node.tag in EMBEDDED
         open_tags[node.tag] -= 1
         return node
 
@@ -134,14 +155,15 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
                 if node.tag in tags:
                     while leave() is not node:
                         pass
+                    embedded.pop(node, None)
                     return
-                if node.tag in bounds:
+                if node.tag in bounds or bounds and node.tag in EMBEDDED:
                     return
 
     while at < n:
         open_at = html.find("<", at)
         text = html[at:open_at if open_at >= 0 else n]
-        if text:
+        if text and not within:
             if text.strip():
                 breaks = 0
             if not (stack[-1].unwanted and stack[-1].tag in INLINE):
@@ -161,7 +183,8 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
                 end = html.find(">", open_at)
                 at = n if end < 0 else end + 1
             else:
-                parts.append("<")
+                if not within:
+                    parts.append("<")
                 at = open_at + 1
             continue
         tag = name[0].lower()
@@ -171,17 +194,32 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         at = end + 1
         if tag[0] == "/":
             tag = tag[1:]
-            if tag not in INLINE:
+            if tag not in INLINE and tag not in EMBEDDED:
                 flush()
             if tag not in ("html", "body"):
                 leave_until((tag,), CLOSES_PARAGRAPH | {"p"} if tag in INLINE else ())
             continue
-        if tag in RAW:
+        closed = html[end - 1] == "/" and (tag in ("svg", "math") or open_tags["svg"] > 0 or open_tags["math"] > 0)
+        if tag in RAW and not closed:
             close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(html, at)
             if not close:
                 break
             at = quotes.end(close.end()) + 1 or n
             continue
+        if tag in EMBEDDED:
+            if not closed and void is not None and open_at not in void:
+                node = Node(tag, stack[-1], "")
+                node.unwanted = True
+                nodes.append(node)
+                stack.append(node)
+                open_tags[tag] += 1
+                embedded[node] = open_at
+                within += 1
+            continue
+        if within and closed:
+            continue
+        if tag == "br" and within:
+            continue
         if tag == "br":
             parts.append(" ")
             breaks += 1
@@ -205,21 +243,31 @@ def parse(html: str) -> tuple[list[Node], list[tuple[Node, str, int]]]:
         if html[end - 1] != "/" or tag not in INLINE:
             stack.append(node)
             open_tags[tag] += 1
+    within = 0
     flush()
-    return nodes, blocks
+    return nodes, blocks, set(embedded.values())
 
 
 def _density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
+def _within_menu(node: Node | None) -> bool:
+    while node is not None:
+        if node.tag in MENUS:
+            return True
+        node = node.parent
+    return False
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks joined by line feeds; empty if there is none."""
     nodes, every = parse(html or "")
     blocks = [b for b in every if not b[0].unwanted]
     if not blocks:  # a page that is a form or a notice as a whole
         blocks = [b for b in every if b[0].tag not in BOILERPLATE and not b[0].comments]
-        blocks = blocks if sum(len(b[1]) for b in blocks) >= 200 else []
+        if sum(len(b[1]) for b in blocks) < 200:  # a short one without menus, and without what is not shown
+            blocks = [b for b in blocks if not b[0].hidden and not _within_menu(b[0]) and 2 * b[2] < len(b[1])]
     if not blocks:
         return ""
     for holder, text, linked in blocks:
@@ -246,7 +294,7 @@ def main_text(html: str | None) -> str:
             return True
         if x.tag in CONTAINERS:
             return score(x) >= least and (not whole or x.tag == best.tag)
-        return not whole and x.tag not in HEADINGS and _density(x) < 0.25 and x.chars > 80
+        return not whole and x.tag not in HEADINGS and _density(x) < 0.25 and (x.chars > 80 or not x.linked and x.tag in PROSE)
 
     for x in nodes:
         above = x.parent

@@ -35,6 +35,27 @@ def test_pages(page, text):
     assert main_text(page) == text
 
 
+LONG = "A long text, with commas, that goes on, and on, and on, so that it is, beyond doubt, the article of the page."
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>a <svg width=1 /> b</p><p>c</p></article>", "a b\nc"), ("<article><p>a</p><object data=x><p>b</p><p>c</p></article>", "a\nb\nc"),
+    ("<article><p>a</p><select name=x><p>b <b>c</b></p></article><p>d</p>", "a\nb c"),
+    ("<article><p>a<object><object>no</object>no</object> b</p></article>", "a b"), ("<article><p>a<svg><g><title/><text>no</text></g></svg> b</p><p>c</p></article>", "a b\nc"),
+    ("<article><p>a</p><canvas><p>b</p><select><option>no</select><p>c</p></article>", "a\nb\nc"), ("<article><p>a<video><p>no</p>no<br></video> b</p></article>", "a b"),
+    (f"<body><p>So it begins.</p><div><p>{LONG}</p></div><pre>x = 1</pre><ul><li>one<li>two</ul><p>End.</p><ul><li><a href=x>More</a></ul>", f"So it begins.\n{LONG}\nx = 1\none\ntwo\nEnd."),
+    ("<form><p>A short text, all in a form.</p></form>", "A short text, all in a form."), ("<div class=banner><p>Short.</p></div>", "Short."),
+    ("<nav><ul><li>Home<li>News</ul></nav>", ""), ("<form hidden><p>No.</p></form>", ""),
+])
+def test_nothing_of_the_article_is_dropped(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ["<svg>" * 50000, "<object><p>" * 30000 + "x", "<svg></p>" * 30000, "<select></div>" * 30000 + "</select>" * 30000])
+def test_embedded_elements_stay_linear(page):
+    main_text(page)
+
+
 @pytest.mark.parametrize("page", ["<" * 50000, "<b>" * 50000, "<div>" * 50000 + "x", "<!--" * 50000, '<a href="' * 50000, "<p>x</b>" * 50000])
 def test_bad_markup_stays_linear(page):
     main_text(page)
