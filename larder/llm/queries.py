@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontaminate, embeddings, html, langid, licences, neardup, packing, pii, pii_sql, quality, secrets
+from larder.llm import decontaminate, embeddings, html, langid, licences, merkle, neardup, packing, pii, pii_sql, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,8 @@ def op5_packing(spark, folder):
 def op8_secrets(spark, folder):
     found = secrets.scan(_table(spark, folder, "documents"))
     return found.selectExpr("id AS doc_id", "start", "`end`", "kind", "sha2(value, 256) AS value_sha256", "score")
+
+
+@_query("op12_merkle", merkle.oracle())
+def op12_merkle(spark, folder):
+    return merkle.manifest(_table(spark, folder, "documents"))
