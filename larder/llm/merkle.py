@@ -16,10 +16,10 @@ from zlib import crc32
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import durable, small_or_shuffled
+from larder.llm.common import durable, numbered, small_or_shuffled
 
 #: Nodes of a run; levels that one chunk spans; every how many-th id (by crc32) the check tampers with.
 FANOUT, CHUNK_LEVELS, TAMPERED = 16, 2, 5
@@ -97,19 +97,6 @@ def leaves(docs: DataFrame, id_col: str, source_col: str, fields: list[str], tex
     return narrow.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, source string, leaf string, tampered string")
 
 
-def _numbered(rows: DataFrame, *keys: str) -> DataFrame:
-    """rows with place, their number from 0 in the order of keys, counted over ranges that many tasks sort."""
-    spread = rows.withColumn("same", F.monotonically_increasing_id())  # equal rows can be split too
-    ordered = durable(spread.repartitionByRange(*keys, "same").sortWithinPartitions(*keys, "same").drop("same"))
-    at = ordered.withColumn("at", F.monotonically_increasing_id()).withColumns(
-        {"range": F.shiftright("at", 33), "within": F.col("at").bitwiseAND((1 << 33) - 1)}
-    )
-    counts = at.groupBy("range").agg(F.count("*").alias("n_range"))  # one row for each range
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = durable(counts.select("range", F.coalesce(F.sum("n_range").over(before), F.lit(0)).alias("first")))
-    return at.join(F.broadcast(starts), "range").withColumn("place", F.col("first") + F.col("within")).drop("at", "range", "within", "first")
-
-
 def _rise(group: pd.DataFrame) -> pd.DataFrame:
     nodes = group.sort_values("pos")
     tree, levels, pos = (int(nodes[c].iloc[0]) for c in ("tree", "levels", "pos"))
@@ -192,7 +179,7 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     """
     kind = docs.schema[id_col].dataType.simpleString()
     hashed = durable(leaves(docs, id_col, source_col, list(fields), text_col))
-    placed = durable(_numbered(hashed, "source", "id", "leaf"))
+    placed = durable(numbered(hashed, "source", "id", "leaf"))
     sources = durable(placed.groupBy("source").agg(F.min("place").alias("tree"), F.count("*").alias("n")))
     of_source = small_or_shuffled(sources.select(F.col("source").alias("named"), "tree", "n"))
     rows = placed.join(of_source, F.col("source").eqNullSafe(F.col("named"))).select(
@@ -200,7 +187,7 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     )
     rounds, subroots = _climb(durable(rows))
     n_sources = sources.count()
-    tops = durable(_numbered(subroots.select("tree", "digest"), "tree").withColumnRenamed("tree", "of"))
+    tops = durable(numbered(subroots.select("tree", "digest"), "tree").withColumnRenamed("tree", "of"))
     top_rounds, top = _climb(tops.select("of", F.lit(0).cast("long").alias("tree"), _levels(F.lit(n_sources)).alias("levels"), F.col("place").alias("pos"), "digest"))
     root = (top.first() or {"digest": ""})["digest"]
     start = top.select("tree", "pos", F.array().cast("array<string>").alias("path"), F.lit(None).cast("string").alias("subroot"))

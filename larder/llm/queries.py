@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontaminate, embeddings, html, langid, licences, merkle, neardup, packing, pii, pii_sql, quality, secrets
+from larder.llm import decontaminate, embeddings, html, langid, licences, merkle, neardup, packing, pii, pii_sql, quality, secrets, stock
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +84,8 @@ def op8_secrets(spark, folder):
 @_query("op12_merkle", merkle.oracle())
 def op12_merkle(spark, folder):
     return merkle.manifest(_table(spark, folder, "documents"))
+
+
+@_query("op13_token_packing")
+def op13_token_packing(spark, folder):
+    return stock.pack_tokens(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
