@@ -10,6 +10,10 @@ rounded down, and what is left of each class goes into patterns made from the pi
 
 from __future__ import annotations
 
+import json
+import os
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
@@ -17,6 +21,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,42 +34,77 @@ SEQUENCE, CLASS, END, CUT_PRICE = 4096, 8, 2, 1 / 32
 WORDS, GAP = 400_000, 1e-4
 #: Patterns that one pricing offers.
 AT_ONCE = 24
+_SIMPLE = re.compile("[!-~\u00c0-\u00ff]+").fullmatch  # no character that normalising joins with another
 _PIECES = "array<struct<start:bigint,length:bigint,ids_crc32:bigint,parts:array<bigint>>>"
 
 
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit integers, by a tokenizer that looks at one word at a time.
 
-    White space never joins what stands around it, so the ids of a text are those of its words in turn; texts with a special
-    token are encoded whole. The table of words is emptied when it is full.
+    White space never joins what stands around it, so the ids of a text are those of its words in turn, and those of a word of
+    printable Latin characters are those of the matches of the tokenizer's own pattern, each as the model reads it. Other words are encoded by
+    the tokenizer, and so are whole texts with a special token. Tables of words and matches are emptied when full.
+    A tokenizer of another kind is asked for whole texts.
     """
 
     def __init__(self, source: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer = Tokenizer.from_str(source)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        self.tokenizer, settings = Tokenizer.from_str(source), json.loads(source)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        kinds = [[part["type"] for part in (settings[k] or {}).get(f"{k.replace('_', '')}s", [])] for k in ("normalizer", "pre_tokenizer")]
+        self.by_words = kinds == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]]
+        if self.by_words:
+            split, level = settings["pre_tokenizer"]["pretokenizers"]
+            self.by_words = split["behavior"] == "Removed" and split["invert"] and not (level["add_prefix_space"] or level["use_regex"])
+            self.matches = regex.compile(split["pattern"]["Regex"])
+            self.level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.mark = os.path.commonprefix(self.special)
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _encode(self, text: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        if len(self.parts) >= WORDS:
+            self.parts.clear()
+        seen = part if part.isascii() else self.level.pre_tokenize_str(part)[0][0]
+        ids = self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(seen)]).tobytes()
+        return ids
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if _SIMPLE(text) is None or self.mark in word:
+            return self._encode(word)
+        lowered, known = text.lower(), self.parts
+        if lowered.isalpha():
+            return known.get(lowered) or self._part(lowered)
+        return b"".join([known.get(part) or self._part(part) for part in self.matches.findall(lowered)])
 
     def of(self, text: bytes) -> bytes:
-        if any(s in text for s in self.special):
-            return self._encode([text])[0]
-        words = text.split()  # at ASCII white space
-        new = list(set(words).difference(self.known))
-        if len(self.known) + len(new) > WORDS:
-            self.known, new = {}, list(set(words))
-        lowered = [low if w.isascii() and not any(s in low for s in self.special) else w for w in new for low in (w.lower(),)]
-        unknown = list(set(lowered).difference(self.known))
-        self.known.update(zip(unknown, self._encode(unknown), strict=True))
-        self.known.update([(w, self.known[low]) for w, low in zip(new, lowered, strict=True)])
-        return b"".join(map(self.known.__getitem__, words))
+        if not self.by_words or self.mark in text and any(s in text for s in self.special):
+            return self._encode(text)
+        words, known = text.split(), self.words  # at ASCII white space
+        new = set(words).difference(known)
+        if len(known) + len(new) > WORDS:
+            known.clear()
+            new = set(words)
+        for word in new:
+            known[word] = self._word(word)
+        return b"".join(map(known.__getitem__, words))
+
+
+_loaded: dict[str, Ids] = {}
 
 
-_loaded: dict[str, Ids] = {}  # one for each worker and tokenizer
+def ids_of(tokenizer: str, source: str) -> Ids:
+    """The tokenizer of this path, one for each Python worker, so that its tables serve all tasks that the worker runs."""
+    if tokenizer not in _loaded:
+        _loaded[tokenizer] = Ids(source)
+    return _loaded[tokenizer]
 
 
 def cut(ids: bytes, sequence: int = SEQUENCE) -> list[tuple]:
@@ -88,9 +128,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, seque
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _loaded:
-            _loaded[tokenizer] = Ids(source.value)
-        ids = _loaded[tokenizer]
+        ids = ids_of(tokenizer, source.value)
         for batch in batches:
             texts, counts, found = batch.column(1), [], []
             for row in range(batch.num_rows):
