@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.llm import decontaminate, embeddings, html, langid, licences, merkle, neardup, packing, pii, pii_sql, quality, secrets, stock
+from larder.llm import decontaminate, embeddings, html, langid, licences, merkle, neardup, packing, pii, pii_sql, quality, repair, secrets, stock
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,8 @@ def op12_merkle(spark, folder):
 @_query("op13_token_packing")
 def op13_token_packing(spark, folder):
     return stock.pack_tokens(_table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op11_conversation_repair")
+def op11_conversation_repair(spark, folder):
+    return repair.repair(_table(spark, folder, "conversations"))

@@ -16,6 +16,10 @@ COLUMNS = {
     "op7_quality": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op9_personal_data": {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint",
                           "base_sha256": "string", "spans": "string"},
+    "op11_conversation_repair": {"conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint", "truncated": "bigint",
+                                 "illegal": "bigint", "cost": "bigint", "audit": "string", "repaired_sha256": "string"},
+    "op13_token_packing": {"doc_id": "bigint", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "doc_tokens": "bigint",
+                           "sequence_id": "bigint", "offset": "bigint"},
     "op12_merkle": {"doc_id": "bigint", "leaf": "string", "subroot": "string", "root": "string", "proof_sha256": "string",
                     "folded_root": "string", "verified": "boolean"},
     "op10_embedding_duplicates": {"vec_id": "bigint", "n_links": "bigint", "component_id": "bigint", "kept": "boolean"},
