@@ -31,7 +31,7 @@ from larder.llm.common import durable, numbered
 #: Tokens of a sequence, tokens of a class, the id that ends a document, the price of a cut in sequences.
 SEQUENCE, CLASS, END, CUT_PRICE = 4096, 8, 2, 1 / 32
 #: Words that a worker keeps the ids of, and the gap to the best possible plan at which the program stops.
-WORDS, GAP = 400_000, 1e-4
+WORDS, GAP = 800_000, 1e-4
 #: Patterns that one pricing offers.
 AT_ONCE = 24
 _SIMPLE = re.compile("[!-~\u00c0-\u00ff]+").fullmatch  # no character that normalising joins with another
@@ -62,39 +62,45 @@ class Ids:
             self.matches = regex.compile(split["pattern"]["Regex"])
             self.level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.mark = os.path.commonprefix(self.special)
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.words = _Words(self._word)
+        self.parts = _Words(self._part)
 
     def _encode(self, text: bytes) -> bytes:
         return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
     def _part(self, part: str) -> bytes:
-        if len(self.parts) >= WORDS:
-            self.parts.clear()
         seen = part if part.isascii() else self.level.pre_tokenize_str(part)[0][0]
-        ids = self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(seen)]).tobytes()
-        return ids
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(seen)]).tobytes()
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
         if _SIMPLE(text) is None or self.mark in word:
             return self._encode(word)
-        lowered, known = text.lower(), self.parts
+        lowered = text.lower()
         if lowered.isalpha():
-            return known.get(lowered) or self._part(lowered)
-        return b"".join([known.get(part) or self._part(part) for part in self.matches.findall(lowered)])
+            return self.parts[lowered]
+        return b"".join([self.parts[part] for part in self.matches.findall(lowered)])
 
     def of(self, text: bytes) -> bytes:
         if not self.by_words or self.mark in text and any(s in text for s in self.special):
             return self._encode(text)
-        words, known = text.split(), self.words  # at ASCII white space
-        new = set(words).difference(known)
-        if len(known) + len(new) > WORDS:
-            known.clear()
-            new = set(words)
-        for word in new:
-            known[word] = self._word(word)
-        return b"".join(map(known.__getitem__, words))
+        if len(self.words) > WORDS:
+            self.words.clear()
+        if len(self.parts) > WORDS:
+            self.parts.clear()
+        return b"".join(map(self.words.__getitem__, text.split()))  # at ASCII white space
+
+
+class _Words(dict):
+    """A table that asks for the words it lacks."""
+
+    def __init__(self, ask):
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = self.ask(word)
+        return found
 
 
 _loaded: dict[str, Ids] = {}
