@@ -3,15 +3,15 @@
 Two fingerprints within the radius have a point halfway between them that differs from each in at most half the radius. If every
 fingerprint emits all such points (its ball), near ones meet in one; members of one ball centre are all within the radius of
 each other, so each is linked to the smallest of them and no pairs are listed. A ball of 64 bits and half radius 2
-has 2,081 points. To emit it only where it can matter, a first round hashes the balls of the two halves of the bits: near
-fingerprints are within half the radius on one half, which takes 33 points a half. A fingerprint that meets no other one
-there has no neighbour, and others go on from the points where they met. Equal fingerprints are one throughout.
+has 2,081 points. To emit it only where it can matter, a first round hashes small balls on 42 of the bits, three times with
+another part of the bits left out: 129 points, shuffled once. A fingerprint that meets no other one there has no
+neighbour, and others go on from the points where they met. Equal fingerprints are one throughout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,25 +22,29 @@ from larder.llm.common import array_of, durable, small_or_shuffled, spare
 from larder.llm.components import components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
+#: Bits of a part that is left out of a key, and how far fingerprints are turned to bring each part to the lowest bits.
+PART, TURNS = 22, (0, 21, 42)
 _UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
 _FOLD = bytes.maketrans(_UPPER, _LOWER)
 _AT_ONCE = 1 << 16
 
 
-def shingle_hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(_FOLD).split()  # bytes split at blank, tab, LF, VT, FF and CR only
+
+
+def shingle_hashes(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """XXH64 of every run of so many words, repeats included; of the whole sequence if it is shorter."""
     from xxhash import xxh64_intdigest
 
-    words = (text or "").encode().translate(_FOLD).split()  # bytes split at blank, tab, LF, VT, FF and CR only
     if not words:
         return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - size + 1)
-    return np.fromiter(
-        (xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[len(words) - n:].tolist(), strict=True)), np.uint64, n
-    )
+    runs = map(joined.__getitem__, map(slice, starts[:n].tolist(), ends[len(words) - n:].tolist()))
+    return np.fromiter(map(xxh64_intdigest, runs, repeat(SEED)), np.uint64, n)
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -52,18 +56,29 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_key (hash of the text) and fingerprint (a long with its bits) of every row; null and empty texts have zero."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: bool = False, **also: Column) -> DataFrame:
+    """id, text_key (hash of the text) and fingerprint (a long with its bits) of every row; null and empty texts have zero.
+
+    words: n_words and words_key (XXH64 of the words) too. also: further columns of docs to carry, by the name they get.
+    """
+    from xxhash import xxh64_intdigest
+
+    narrow = docs.select(F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), *[c.alias(n) for n, c in also.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.fromiter((fingerprint(shingle_hashes(t)) for t in batch.column(2).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(bits.view(np.int64))], names=["id", "text_key", "fingerprint"]
-            )
+            found = {"fingerprint": [], "n_words": [], "words_key": []} if words else {"fingerprint": []}
+            for text in batch.column(0):
+                split = words_of(text.as_py())
+                found["fingerprint"].append(fingerprint(shingle_hashes(split)))
+                if words:
+                    found["n_words"].append(len(split))
+                    found["words_key"].append(xxh64_intdigest(b" ".join(split), SEED))
+            added = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in found.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *added], names=[*batch.schema.names[1:], *found])
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, "id long, text_key long, fingerprint long")
+    kept = [f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema.fields[1:]]
+    return narrow.mapInArrow(run, ", ".join([*kept, "fingerprint long", *(["n_words long", "words_key long"] if words else [])]))
 
 
 def _masks(bits: int, most: int) -> Column:
@@ -71,42 +86,50 @@ def _masks(bits: int, most: int) -> Column:
     return array_of([sum(1 << b for b in chosen) for n in range(most + 1) for chosen in combinations(range(bits), n)], "long")
 
 
+def _turned(value: Column, by: int) -> Column:
+    """A long with its bits turned to the right."""
+    return F.shiftrightunsigned(value, by).bitwiseOR(F.shiftleft(value, 64 - by)) if by else value
+
+
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Different fingerprints -> a, b within the radius that connect all that are within it. radius: 2 or 4.
 
-    Near fingerprints have a point halfway that lies in both balls, differs by at most one bit from each on the half of the bits
-    where they are nearer, and there meets in the first round. So the second round adds flips of the other half only,
-    as many as the ball leaves, to points that met.
+    Every one of three parts of 22 bits is left out in turn, and the ball of radius 1 on the other 42 bits is emitted (43 points). Of at most
+    four differing bits two lie in one part, so near fingerprints are within two of each other beside it, and their point halfway has a
+    point there that both emit. The points that several fingerprints emit are completed by flips within the part, as many as the ball
+    leaves. Keys of 42 bits meet by chance in less than one of a hundred fingerprints up to a billion of them.
     """
     half = radius // 2
-    one_side = F.array(
-        F.struct(F.lit(0).alias("side"), F.col("fingerprint").bitwiseAND(F.lit(0xFFFFFFFF)).alias("bits")),
-        F.struct(F.lit(1).alias("side"), F.shiftrightunsigned("fingerprint", 32).alias("bits")),
-    )
-    near = (
-        prints.select("fingerprint", F.inline(one_side)).select("fingerprint", "side", "bits", F.explode(_masks(32, 1)).alias("flip"))
-        .select("fingerprint", "side", "flip", (F.col("bits").bitwiseXOR(F.col("flip")) * 2 + F.col("side")).alias("point"))
+    low = (1 << PART) - 1
+    flips = array_of([0] + [(1 << b) - (1 << 64 if b == 63 else 0) for b in range(PART, 64)], "long")
+    tasks = max(1, prints.count() // 8192)
+    spread = prints.select("fingerprint").repartition(tasks, "fingerprint")
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), _turned(F.col("fingerprint"), by).alias("turned")) for side, by in enumerate(TURNS)])
+    near = spread.select(F.inline(sides)).select("side", "turned", F.posexplode(flips).alias("flip", "mask")).select(
+        F.col("turned").bitwiseAND(F.lit(~low)).bitwiseXOR(F.col("mask")).bitwiseOR(F.col("side").cast("long")).alias("key"),
+        F.col("turned").bitwiseAND(F.lit(low)).bitwiseOR(F.shiftleft(F.col("flip").cast("long"), 32)).alias("own"),
     )
-    shared = durable(near.groupBy("point").agg(F.min("fingerprint").alias("lo"), F.max("fingerprint").alias("hi")).where("lo <> hi").select("point"))
-    met = near.join(shared, "point", "left_semi")
-    rest = F.when(F.col("flip") == 0, _masks(32, half)).otherwise(_masks(32, half - 1))
-    here = F.when(F.col("side") == 0, F.col("flip")).otherwise(F.shiftleft("flip", 32))
-    there = F.when(F.col("side") == 1, F.col("other")).otherwise(F.shiftleft("other", 32))
-    ball = met.select("fingerprint", "side", here.alias("here"), F.explode(rest).alias("other")).select(
-        "fingerprint", F.col("fingerprint").bitwiseXOR(F.col("here")).bitwiseXOR(there).alias("point")
-    )
+    met = near.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")  # a fingerprint has a key once
+    back = met.select(
+        F.col("key").bitwiseAND(F.lit(3)).alias("side"), F.shiftright("own", 32).cast("int").alias("flip"), F.col("own").bitwiseAND(F.lit(low)).alias("rest"),
+        F.col("key").bitwiseAND(F.lit(~low)).alias("point"),
+    )
+    within = F.when(F.col("flip") == 0, _masks(PART, half)).otherwise(_masks(PART, half - 1))
+    whole = back.select("side", F.col("point").bitwiseOR(F.col("rest")).alias("centre"), F.element_at(flips, F.col("flip") + 1).alias("mask"), F.explode(within).alias("inner"))
+    unturned = lambda value: F.coalesce(*[F.when(F.col("side") == side, _turned(value, (64 - by) % 64)) for side, by in enumerate(TURNS)])
+    ball = whole.select(unturned(F.col("centre").bitwiseXOR(F.col("mask"))).alias("fingerprint"), unturned(F.col("centre").bitwiseXOR(F.col("inner"))).alias("point"))
     # no more fingerprints than a ball has points meet in one point
     lowest = ball.select("fingerprint", F.min("fingerprint").over(Window.partitionBy("point")).alias("low"))
     return lowest.where("fingerprint <> low").select(F.col("low").alias("a"), F.col("fingerprint").alias("b")).distinct()
 
 
-def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
-    """id, text_key, fingerprint, component (its smallest fingerprint), component_id of every row."""
-    printed = durable(fingerprints(docs, id_col, text_col))
+def _grouped(docs: DataFrame, id_col: str, text_col: str, radius: int, words: bool = False, **also: Column) -> DataFrame:
+    """id, text_key, fingerprint, component (its smallest fingerprint), component_id of every row, and what fingerprints adds."""
+    printed = durable(fingerprints(docs, id_col, text_col, words, **also))
     classes = durable(printed.groupBy("fingerprint").agg(F.min("id").alias("low")))
     joined = components(links(classes.select("fingerprint"), radius)).withColumnRenamed("node", "fingerprint")
     of_class = durable(classes.join(joined, "fingerprint", "left").select("fingerprint", "low", F.coalesce("component", "fingerprint").alias("component")))
-    lowest = durable(of_class.groupBy("component").agg(F.min("low").alias("component_id")))
+    lowest = of_class.groupBy("component").agg(F.min("low").alias("component_id"))
     named = durable(of_class.join(lowest, "component").select("fingerprint", "component", "component_id"))
     return printed.join(named, "fingerprint")
 
@@ -123,9 +146,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row per row of docs: id, text_key (hash of the text) and cluster, equal for the rows of a component, null ids included."""
-    return _grouped(docs, id_col, text_col, radius).select("id", "text_key", F.col("component").alias("cluster"))
+def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: bool = False, **also: Column) -> DataFrame:
+    """One row per row of docs: id, text_key (hash of the text) and cluster, equal for the rows of a component.
+
+    Null ids, ties and repeated rows are rows like any other and share the cluster of their fingerprint; null and empty texts have that of zero. An
+    empty table gives an empty result; other columns are left out, whatever their names. words, also: as for fingerprints.
+    """
+    return _grouped(docs, id_col, text_col, radius, words, **also).withColumnRenamed("component", "cluster").drop("fingerprint", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

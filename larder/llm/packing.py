@@ -9,12 +9,14 @@ they are in; the search starts at the piece's length and goes on to the next lar
 from __future__ import annotations
 
 import math
+from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.common import durable
+from larder.llm import neardup
+from larder.llm.common import durable, numbered
 
 #: Words of a sequence; pieces of a packing group.
 CAPACITY, GROUP = 2048, 2048
@@ -56,47 +58,61 @@ def pack(lengths: list[int], sources: list, clusters: list, capacity: int, copie
     return placed
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None, cluster: Column | None = None,
-                   id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", group_rows: int = GROUP,
-                   clusters: DataFrame | None = None) -> DataFrame:
-    """One row per piece: id, piece (from 0), start, n_words, bin_id, bin_words (words in the bin). Bins hold at most capacity words.
-
-    length: words or tokens of a row (default: words between white space); cluster: equal for duplicates (default: a hash of
-    the words). clusters: id, text_key (hash of the text) and cluster of near copies, which conflict too, besides those with
-    the same words; rows that it lacks are in none. Groups have about group_rows pieces. Null sources conflict with nothing. Null and empty texts give one row with 0 words and no bin; repeated rows
-    are packed each and share no bin; null ids stay; an empty table gives an empty result; other columns are left out.
-    """
+def _rows(docs: DataFrame, length: Column | None, cluster: Column | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
     words = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), "")
-    rows = durable(docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(source_col).alias("source_key"), F.col(source_col).isNull().alias("no_source"),
-        (F.size(words) if length is None else length).cast("long").alias("length"),
-        (F.xxhash64(F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", " "))) if cluster is None else F.xxhash64(cluster)).alias("cluster"),
-        F.xxhash64(text_col).alias("text_key"), F.monotonically_increasing_id().alias("row"),
-    ))
+    folded = F.lower(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", " "))
+    return docs.select(
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.when(F.col(source_col).isNotNull(), F.xxhash64(source_col)).alias("source_key"),
+        (F.size(words) if length is None else length).cast("long").alias("length"), F.xxhash64(folded if cluster is None else cluster).alias("copies"),
+    )
+
+
+def pack_rows(rows: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP, id_col: str = "doc_id") -> DataFrame:
+    """rows (id, text_key, source_key, length, copies, near) as pieces in bins, see pack_documents; null keys conflict with nothing.
+
+    Rows are numbered by id and keys, so the same rows come to the same bins at any partitioning.
+    """
+    kind = rows.schema["id"].dataType
+    rows = durable(numbered(durable(rows), "id", "text_key", "source_key", "length", "copies", "near"))
     n_pieces = F.ceil(F.col("length") / capacity)
     groups = max(1, math.ceil((rows.where("length > 0").agg(F.sum(n_pieces)).first()[0] or 0) / group_rows))
     empty = rows.where("length IS NULL OR length <= 0").select("id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("long").alias("bin_words"))
-    full = rows.where("length > 0")
-    if clusters is None:
-        full = full.withColumns({"near": F.lit(0).cast("long"), "no_near": F.lit(True)})
-    else:
-        known = clusters.where("cluster IS NOT NULL").select(F.col("id").alias("c_id"), F.col("text_key").alias("c_key"), F.xxhash64("cluster").alias("c_hash")).distinct()
-        full = full.join(known, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key")), "left")
-        full = full.withColumns({"near": F.coalesce("c_hash", F.lit(0).cast("long")), "no_near": F.col("c_hash").isNull()})
-    pieces = full.select("*", F.explode(F.sequence(F.lit(0), n_pieces.cast("int") - 1)).alias("piece")).select(
-        F.col("id").cast("string").alias("id"), "source_key", "no_source", "cluster", "near", "no_near", "row", "piece",
-        (F.col("piece") * F.lit(capacity).cast("long")).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("length") - F.col("piece") * F.lit(capacity).cast("long")).alias("n_words"),
-        F.pmod(F.xxhash64("row", "piece"), F.lit(groups)).alias("part"),
+    start = F.col("piece") * F.lit(capacity).cast("long")
+    pieces = rows.where("length > 0").select("*", F.explode(F.sequence(F.lit(0), n_pieces.cast("int") - 1)).alias("piece")).select(
+        F.col("id").cast("string").alias("id"), "source_key", "copies", "near", "place", "piece", start.alias("start"),
+        F.least(F.lit(capacity).cast("long"), F.col("length") - start).alias("n_words"), F.pmod(F.xxhash64("place", "piece"), F.lit(groups)).alias("part"),
     )
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values(["row", "piece"], kind="stable")
-        sources = [None if no else s for s, no in zip(g["source_key"], g["no_source"], strict=True)]
-        near = [None if no else c for c, no in zip(g["near"], g["no_near"], strict=True)]
-        bins = pack(g["n_words"].tolist(), sources, g["cluster"].tolist(), capacity, near)
-        out = g[["id", "piece", "start", "n_words"]].assign(bin_id=[f"{g['part'].iloc[0]}-{b}" for b in bins])
-        return out.assign(bin_words=out.groupby("bin_id")["n_words"].transform("sum"))
+    def run(group: pa.Table) -> pa.Table:
+        g = group.sort_by([("place", "ascending"), ("piece", "ascending")])
+        of = {c: g.column(c).to_pylist() for c in ("part", "n_words", "source_key", "copies", "near")}
+        bins = pack(of["n_words"], of["source_key"], of["copies"], capacity, of["near"])
+        held = Counter()
+        for b, n in zip(bins, of["n_words"], strict=True):
+            held[b] += n
+        names = [f"{of['part'][0]}-{b}" for b in bins]
+        return g.select(["id", "piece", "start", "n_words"]).append_column("bin_id", [names]).append_column("bin_words", [[held[b] for b in bins]])
 
-    kind = docs.schema[id_col].dataType
-    packed = pieces.groupBy("part").applyInPandas(run, "id string, piece int, start long, n_words long, bin_id string, bin_words long")
+    packed = pieces.groupBy("part").applyInArrow(run, "id string, piece int, start long, n_words long, bin_id string, bin_words long")
     return packed.withColumn("id", F.col("id").cast(kind)).unionByName(empty).withColumnRenamed("id", id_col)
+
+
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None, cluster: Column | None = None,
+                   id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", group_rows: int = GROUP) -> DataFrame:
+    """One row per piece: id, piece (from 0), start, n_words, bin_id, bin_words (words in the bin). Bins hold at most capacity words.
+
+    length: words or tokens of a row (default: words between white space); cluster: equal for duplicates (default: a hash of
+    the words). Groups have about group_rows pieces. Null sources conflict with nothing. Null and empty texts give one row with 0 words and no
+    bin; repeated rows are packed each and share no bin; null ids stay; an empty table gives an empty result; other columns are left out.
+    """
+    rows = _rows(docs, length, cluster, id_col, text_col, source_col).withColumn("near", F.lit(None).cast("long"))
+    return pack_rows(rows, capacity, group_rows, id_col)
+
+
+def pack_apart(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+               group_rows: int = GROUP) -> DataFrame:
+    """As pack_documents by words, with near copies (the components of neardup) apart too. Each text is read once, for its words and its fingerprint."""
+    source = F.when(F.col(source_col).isNotNull(), F.xxhash64(source_col))
+    found = neardup.clusters(docs, id_col, text_col, words=True, source_key=source)
+    rows = found.select(F.col("id").cast(docs.schema[id_col].dataType).alias("id"), "text_key", "source_key", F.col("n_words").alias("length"), F.col("words_key").alias("copies"), F.col("cluster").alias("near"))
+    return pack_rows(rows, capacity, group_rows, id_col)

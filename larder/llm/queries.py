@@ -71,8 +71,7 @@ def op7_quality(spark, folder):
 
 @_query("op5_packing")
 def op5_packing(spark, folder):
-    docs = _table(spark, folder, "documents")
-    return packing.pack_documents(docs, clusters=neardup.clusters(docs))
+    return packing.pack_apart(_table(spark, folder, "documents"))
 
 
 @_query("op8_secrets")

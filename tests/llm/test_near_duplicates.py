@@ -8,6 +8,8 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from larder.llm import neardup
 from larder.llm.components import components
 
@@ -38,12 +40,12 @@ def slow_components(nodes, links):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aB é  \t\n\x0b\x1c\x85.", max_size=60))
 def test_fingerprint(text):
-    assert neardup.fingerprint(neardup.shingle_hashes(text)) == slow_print(text)
+    assert neardup.fingerprint(neardup.shingle_hashes(neardup.words_of(text))) == slow_print(text)
 
 
 def test_long_text():
     text = " ".join(str(i * i % 977) for i in range(100_000))
-    assert neardup.fingerprint(neardup.shingle_hashes(text)) == slow_print(text)
+    assert neardup.fingerprint(neardup.shingle_hashes(neardup.words_of(text))) == slow_print(text)
 
 
 @pytest.mark.parametrize("links", [
@@ -106,3 +108,13 @@ def test_odd_rows(make_docs):
     kept = sorted((r.doc_id or 0, r.text) for r in neardup.keep_one(docs).collect())
     assert kept == sorted([(4, ""), (7, "a b"), (0, "q r s"), (2, long.upper()), (9, "other words here now")])
     assert neardup.near_duplicates(docs.limit(0)).count() == 0 and neardup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_clusters_of_odd_rows(make_docs):
+    rows = [(5, None), (None, " "), (7, "a b"), (7, "A  b"), (None, "q r s"), (None, "q r s"), (8, "other words here")]
+    docs = make_docs(rows)
+    got = neardup.clusters(docs, words=True, source_key=F.xxhash64("source")).collect()
+    assert sorted(((r.id or 0), r.n_words) for r in got) == [(0, 0), (0, 3), (0, 3), (5, 0), (7, 2), (7, 2), (8, 3)]
+    by = {(r.id, r.n_words): (r.cluster, r.words_key) for r in got}
+    assert len({r.cluster for r in got}) == len(set(by.values())) == 4 and {r.source_key for r in got} != {None}
+    assert neardup.clusters(docs.limit(0)).count() == 0

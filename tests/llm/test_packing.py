@@ -86,3 +86,13 @@ def test_groups_are_counted_from_pieces(make_docs):
     got = pack_documents(docs, capacity=50, group_rows=100).collect()
     groups = Counter(r.bin_id.split("-")[0] for r in got)
     assert len(got) == 800 and len(groups) > 4 and max(groups.values()) < 200
+
+
+def test_bins_do_not_depend_on_partitions(make_docs):
+    from larder.llm.packing import pack_apart
+
+    rows = [(i % 150, " ".join(f"w{i % 90}x{j}" for j in range(i % 41)), f"s{i % 6}" if i % 5 else None) for i in range(400)]
+    docs = make_docs(rows)
+    for form in (lambda d: pack_documents(d, 100, group_rows=64), lambda d: pack_apart(d, 100, group_rows=64)):
+        few, many = ([tuple(map(str, r)) for r in form(docs.repartition(n)).collect()] for n in (2, 5))
+        assert sorted(few) == sorted(many) and len(few) >= 400
