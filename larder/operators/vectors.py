@@ -15,8 +15,12 @@ from larder.operators import batches as bt
 from larder.operators.filters import optional_filters, with_embedding
 
 THRESHOLD = 0.5
-BLOCK_QUERIES = 4096
+#: Queries of a block and products of a chunk at most; bytes of query vectors that are sent to every executor.
+BLOCK_QUERIES = 1024
 CHUNK_ROWS = 2048
+BROADCAST_BYTES = 32 << 20
+#: Rounding of sums of products of unit vectors.
+_SLACK = 1e-9
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -24,67 +28,105 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norms > 0, norms, 1.0)
 
 
-def _scorer(block: list[dict], query_type: pa.DataType, default_limit: int, threshold: float | None, prune: bool):
-    """Arrow task that keeps the best rows of its partition for every query of one block.
+def _packer(chunk_rows: int):
+    """Arrow task that packs products of one dimension into chunk rows: unit vectors as bytes, their centre and radius, ids and filter values."""
 
-    Without ``prune`` it passes on every row above the threshold, chunk by chunk.
-    """
-    unit = _unit(np.array([r["query_embedding"] for r in block], dtype=np.float64)).T
-    dim = unit.shape[0]
-    query_ids = pa.array([r["query_id"] for r in block], query_type)
-    keep = np.array([default_limit if r["result_limit"] is None else r["result_limit"] for r in block], dtype=int)
-    filtered = [
-        (q, r["supplier_filter"], r["price_min"], r["price_max"])
-        for q, r in enumerate(block)
-        if not (r["supplier_filter"] is None and r["price_min"] is None and r["price_max"] is None)
-    ]
-    any_filter = bool(filtered)
-
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                same = batch.filter(pa.array(dims == dim))
+                for start in range(0, same.num_rows, chunk_rows):
+                    part = same.slice(start, chunk_rows)
+                    flat = part.column("embedding").flatten().to_numpy(zero_copy_only=False)
+                    unit = _unit(flat.astype(np.float64).reshape(-1, dim))
+                    centre = unit.mean(0)
+                    radius = float(np.linalg.norm(unit - centre, axis=1).max())
+                    one = lambda name: pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(name))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([dim], pa.int32()), one("id"), one("supplier_id"), one("price"), pa.array([unit.tobytes()]), pa.array([centre.tobytes()]), pa.array([radius])],
+                        names=["dim", "ids", "suppliers", "prices", "vectors", "centre", "radius"],
+                    )
+
+    return run
+
+
+class _Block:
+    """The queries of one block, and the best rows for them that a task has seen."""
+
+    def __init__(self, asked: pa.StructArray, dim: int, default_limit: int, threshold: float | None):
+        self.query_ids, self.threshold = asked.field("query_id"), -np.inf if threshold is None else threshold
+        self.unit = _unit(asked.field("query_embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)).T
+        self.keep = pc.fill_null(asked.field("result_limit"), default_limit).to_numpy(zero_copy_only=False).astype(int)
+        values = zip(*(asked.field(c).to_pylist() for c in ("supplier_filter", "price_min", "price_max")), strict=True)
+        self.filtered = [(q, *v) for q, v in enumerate(values) if any(x is not None for x in v)]
+        self.kept, self.floor = None, np.full(len(self.keep), -np.inf)
+
+    def hits(self, chunk: dict) -> pd.DataFrame | None:
+        """Rows of a chunk above the threshold that may still be among the best of a query."""
+        # a row is within the chunk's radius of its centre, so no cosine is above that of the centre by more
+        bound = chunk["centre"] @ self.unit + chunk["radius"] + _SLACK
+        live = np.flatnonzero(~((bound <= self.threshold) | (bound < self.floor)))
+        if not len(live):
+            return None
+        cosines = chunk["vectors"] @ self.unit[:, live]
+        sims = np.floor(cosines * bt.COSINE_SCALE + 0.5) / bt.COSINE_SCALE
+        # a row tied with the current last place may still win on its id
+        ok = (sims >= self.floor[live]) & ((sims > self.threshold) | np.isneginf(self.threshold))
+        place = {q: k for k, q in enumerate(live.tolist())}
+        for q, wanted, low, high in self.filtered:
+            if (k := place.get(q)) is None:
+                continue
+            if wanted is not None:  # identifiers stay whole numbers beside NULL
+                supplier = chunk["suppliers"]
+                ok[:, k] &= pc.fill_null(pc.equal(supplier, pa.scalar(wanted, supplier.type)), False).to_numpy(zero_copy_only=False)
+            if low is not None:
+                ok[:, k] &= chunk["prices"] >= low
+            if high is not None:
+                ok[:, k] &= chunk["prices"] <= high
+        r, k = np.nonzero(ok)
+        return pd.DataFrame({"q": live[k], "id": chunk["ids"].iloc[r].to_numpy(), "similarity": sims[r, k]}) if len(r) else None
+
+    def take(self, new: pd.DataFrame) -> None:
+        rows = new if self.kept is None else pd.concat([self.kept, new], ignore_index=True)
         rows = rows.sort_values(["q", "similarity", "id"], ascending=[True, False, True], kind="stable")
-        return rows[rows.groupby("q").cumcount().to_numpy() < keep[rows["q"].to_numpy()]]
+        self.kept = rows[rows.groupby("q").cumcount().to_numpy() < self.keep[rows["q"].to_numpy()]]
+        last = self.kept.groupby("q")["similarity"].agg(["size", "min"])
+        full = last[last["size"].to_numpy() >= self.keep[last.index.to_numpy()]]
+        self.floor[full.index.to_numpy()] = full["min"].to_numpy()
 
-    def as_batch(found: pd.DataFrame) -> pa.RecordBatch:
-        ids = query_ids.take(pa.array(found["q"].to_numpy()))
+    def as_batch(self, found: pd.DataFrame) -> pa.RecordBatch:
+        ids = self.query_ids.take(pa.array(found["q"].to_numpy()))
         return pa.RecordBatch.from_arrays([ids, pa.array(found["id"]), pa.array(found["similarity"])], names=["query_id", "id", "similarity"])
 
+
+def _scorer(default_limit: int, threshold: float | None, prune: bool):
+    """Arrow task over rows of a chunk beside a block of queries; keeps the best rows of its partition for every query.
+
+    Without ``prune`` it passes on every row above the threshold, chunk by chunk.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, floor = None, np.full(len(keep), -np.inf)
+        blocks: dict[tuple, _Block] = {}
         for batch in batches:
-            for start in range(0, batch.num_rows, CHUNK_ROWS):
-                part = batch.slice(start, CHUNK_ROWS)
-                ids = part.column("id").to_pandas()
-                flat = part.column("embedding").flatten().to_numpy(zero_copy_only=False)
-                cosines = _unit(flat.astype(np.float64).reshape(-1, dim)) @ unit
-                sims = np.floor(cosines * bt.COSINE_SCALE + 0.5) / bt.COSINE_SCALE
-                # a row tied with the current last place may still win on its id
-                ok = sims >= floor
-                if threshold is not None:
-                    ok &= sims > threshold
-                if any_filter:
-                    # identifiers stay whole numbers beside NULL
-                    supplier = part.column("supplier_id")
-                    price = part.column("price").to_numpy(zero_copy_only=False).astype(np.float64)
-                    for q, wanted, low, high in filtered:
-                        if wanted is not None:
-                            ok[:, q] &= pc.fill_null(pc.equal(supplier, pa.scalar(wanted, supplier.type)), False).to_numpy(zero_copy_only=False)
-                        if low is not None:
-                            ok[:, q] &= price >= low
-                        if high is not None:
-                            ok[:, q] &= price <= high
-                r, q = np.nonzero(ok)
-                if not len(r):
-                    continue
-                new = pd.DataFrame({"q": q, "id": ids.iloc[r].to_numpy(), "similarity": sims[r, q]})
-                if not prune:
-                    yield as_batch(new)
-                    continue
-                kept = best(new if kept is None else pd.concat([kept, new], ignore_index=True))
-                last = kept.groupby("q")["similarity"].agg(["size", "min"])
-                full = last[last["size"].to_numpy() >= keep[last.index.to_numpy()]]
-                floor[full.index.to_numpy()] = full["min"].to_numpy()
-        if kept is not None:
-            yield as_batch(kept)
+            for i in range(batch.num_rows):
+                row = {c: batch.column(c)[i] for c in batch.schema.names}
+                dim, key = row["dim"].as_py(), (row["dim"].as_py(), row["block"].as_py())
+                if key not in blocks:
+                    blocks[key] = _Block(row["asked"].values, dim, default_limit, threshold)
+                block = blocks[key]
+                found = block.hits({
+                    "ids": row["ids"].values.to_pandas(), "suppliers": row["suppliers"].values,
+                    "prices": row["prices"].values.to_numpy(zero_copy_only=False).astype(np.float64),
+                    "vectors": np.frombuffer(row["vectors"].as_buffer()).reshape(-1, dim), "centre": np.frombuffer(row["centre"].as_buffer()), "radius": row["radius"].as_py(),
+                })
+                if found is not None and not prune:
+                    yield block.as_batch(found)
+                elif found is not None:
+                    block.take(found)
+        for block in blocks.values():
+            if block.kept is not None:
+                yield block.as_batch(block.kept)
 
     return run
 
@@ -99,10 +141,10 @@ def vector_hits(
 ) -> DataFrame:
     """(query_id, id, similarity, result_limit): candidates that hold every query's exact top-k.
 
-    Products are read once per block of queries and never shuffled: each task multiplies its Arrow
-    batches with the block's matrix and keeps the best k rows per query. A block holds at most about
-    BLOCK_QUERIES vectors, so what a task receives is bounded; more queries mean more blocks.
-    Rows of another dimension and zero vectors match nothing.
+    Queries are packed into blocks and products into chunks on the executors, and a join deals every chunk to the blocks of its
+    dimension, whatever the number of queries; products are scanned once. The vectors of a small query table go to every executor, so chunks stay
+    where they were read; a larger table is dealt by block number, each block beside some of the chunks. A chunk's centre and
+    radius tell which queries none of its rows can reach. Rows of another dimension and zero vectors match nothing.
     """
     asked = queries.where(F.col("query_embedding").isNotNull()).select(
         "query_id",
@@ -113,25 +155,27 @@ def vector_hits(
         "result_limit",
         F.size("query_embedding").alias("dim"),
     ).where(F.exists("query_embedding", lambda x: x != 0))
-    n_blocks = max(1, -(-2 * size.n // BLOCK_QUERIES)) if size.n > BLOCK_QUERIES else 1
+    spark, id_kind = products.sparkSession, products.schema["id"].dataType.simpleString()
+    n_blocks = -(-2 * size.n // BLOCK_QUERIES) if size.n > BLOCK_QUERIES else 1
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).cast("int").alias("block")
+    blocks = asked.groupBy("dim", block).agg(F.collect_list(F.struct(*[c for c in asked.columns if c != "dim"])).alias("asked"))  # a block's queries
     rows = with_embedding(products).select(
         "id", "embedding", "supplier_id", F.col("price").cast("double").alias("price"), F.size("embedding").alias("dim")
     ).where(F.exists("embedding", lambda x: x != 0))
-    schema = (
-        f"query_id {queries.schema['query_id'].dataType.simpleString()}, "
-        f"id {products.schema['id'].dataType.simpleString()}, similarity double"
+    supplier_kind = products.schema["supplier_id"].dataType.simpleString()
+    chunks = rows.mapInArrow(
+        _packer(CHUNK_ROWS), f"dim int, ids array<{id_kind}>, suppliers array<{supplier_kind}>, prices array<double>, vectors binary, centre binary, radius double"
     )
-    out = None
-    for b in range(n_blocks):
-        block = asked if n_blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        table = block.toArrow()
-        vectors, query_type = table.to_pylist(), table.schema.field("query_id").type
-        for dim in sorted({r["dim"] for r in vectors}):
-            task = _scorer([r for r in vectors if r["dim"] == dim], query_type, default_limit, threshold, prune)
-            found = rows.where(F.col("dim") == int(dim)).drop("dim").mapInArrow(task, schema)
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = rows.sparkSession.createDataFrame([], schema)
+    vector_bytes = (asked.agg(F.sum("dim")).first()[0] or 0) * 8
+    if vector_bytes <= BROADCAST_BYTES:
+        dealt = chunks.join(F.broadcast(blocks), "dim")
+    else:  # each block beside as many shares of the chunks as there are tasks for it
+        shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // n_blocks)
+        share = F.pmod(F.xxhash64("centre", "ids"), F.lit(shares)).cast("int").alias("share")
+        copies = chunks.select("*", share, F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+        dealt = copies.join(blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")).hint("shuffle_hash"), ["dim", "block", "share"]).drop("share")
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {id_kind}, similarity double"
+    out = dealt.mapInArrow(_scorer(default_limit, threshold, prune), schema)
     return out.join(queries.select("query_id", "result_limit"), "query_id")
 
 

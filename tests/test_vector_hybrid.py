@@ -35,9 +35,10 @@ def random_case(spark, n=500, q=30, dim=8, seed=3):
     return rows, asks, goods.repartition(5), queries
 
 
-@pytest.mark.parametrize("block", [4096, 8])
-def test_semantic_batch_equals_brute_force(spark, block, monkeypatch):
+@pytest.mark.parametrize("block, sent", [(4096, 1 << 20), (8, 1 << 20), (8, 0), (4096, 0)])
+def test_semantic_batch_equals_brute_force(spark, block, sent, monkeypatch):
     monkeypatch.setattr(vc, "BLOCK_QUERIES", block)
+    monkeypatch.setattr(vc, "BROADCAST_BYTES", sent)
     monkeypatch.setattr(vc, "CHUNK_ROWS", 64)
     rows, asks, goods, queries = random_case(spark)
     from larder.operators import batches as bt
@@ -60,6 +61,42 @@ def test_semantic_batch_equals_brute_force(spark, block, monkeypatch):
         assert [i for i, _ in got.get(qid, [])] == [i for i, _ in want]
 
 
+def test_one_product_scan_for_any_number_of_queries(spark, tmp_path):
+    from larder.operators import batches as bt
+
+    _, _, goods, queries = random_case(spark)
+    goods.write.parquet(f"{tmp_path}/goods")
+    stored = spark.read.parquet(f"{tmp_path}/goods")
+    for n in (1, 30, 100_000):
+        many = queries.limit(n) if n <= 30 else spark.range(n).select(F.col("id").alias("query_id"), F.array(*[F.rand(i) - 0.5 for i in range(8)]).alias("query_embedding"))
+        full = bt.complete(many)
+        plan = vc.semantic_top(stored, full, bt.measure(full, 5), 0.5, 5)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_chunks_out_of_reach_are_skipped():
+    """Clustered chunks: the bound leaves out most of them and loses no hit."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    centres = vc._unit(rng.normal(size=(20, 32)))
+    asked = pa.array([{"query_id": i, "query_embedding": c.tolist(), "result_limit": 3, "supplier_filter": None, "price_min": None, "price_max": None} for i, c in enumerate(centres)])
+    block, whole, live = vc._Block(asked, 32, 3, 0.5), [], 0
+    for k, c in enumerate(centres):
+        near = vc._unit(c + rng.normal(size=(50, 32)) * 0.05)
+        rows = {"id": list(range(k * 50, k * 50 + 50)), "embedding": near.tolist(), "supplier_id": ["s"] * 50, "price": [1.0] * 50, "dim": [32] * 50}
+        (chunk,) = vc._packer(64)([pa.RecordBatch.from_pydict(rows, pa.schema([("id", pa.int64()), ("embedding", pa.list_(pa.float64())), ("supplier_id", pa.string()), ("price", pa.float64()), ("dim", pa.int32())]))])
+        one = {"ids": chunk.column("ids")[0].values.to_pandas(), "suppliers": chunk.column("suppliers")[0].values, "prices": np.ones(50),
+               "vectors": np.frombuffer(chunk.column("vectors")[0].as_buffer()).reshape(-1, 32), "centre": np.frombuffer(chunk.column("centre")[0].as_buffer()), "radius": chunk.column("radius")[0].as_py()}
+        live += int((one["centre"] @ block.unit + one["radius"] > 0.5).sum())
+        found = block.hits(one)
+        if found is not None:
+            block.take(found)
+        whole += [(q, -round(float(s), 9), k * 50 + r) for r, sims in enumerate(near @ centres.T) for q, s in enumerate(sims) if s > 0.5]
+    want = [(q, i) for q in range(20) for _, _, i in sorted(w for w in whole if w[0] == q)[:3]]
+    assert list(zip(block.kept["q"].tolist(), block.kept["id"].tolist(), strict=True)) == want and live <= 200  # at least half of the chunks are skipped
+
+
 def test_cosine_column(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), ([1.0], [1.0, 1.0])], "a array<float>, b array<float>")
     got = [r[0] for r in df.select(cosine_similarity(F.col("a"), F.col("b"))).collect()]
