@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ADMIN = "admin"
+#: Helper columns beside a table's own, which may have a role or an owner too.
+_OWNER, _STORED, _ROLE = "_owner", "_stored_owner", "_writer_role"
 
 
 @dataclass(frozen=True)
@@ -44,7 +46,7 @@ def _owners(policy: Policy, tables: dict[str, DataFrame]) -> tuple[str, DataFram
     """(foreign key, owner table keyed by it) for a policy; None when the row names its user itself."""
     if policy.owner == "auth_user_id":
         return None
-    users = tables["customers"].select(F.col("id").alias("customer_id"), F.col("auth_user_id").alias("owner"))
+    users = tables["customers"].select(F.col("id").alias("customer_id"), F.col("auth_user_id").alias(_OWNER))
     if policy.owner == "customer":
         return "customer_id", users
     orders = tables["orders"].select(F.col("id").alias("order_id"), "customer_id")
@@ -52,12 +54,12 @@ def _owners(policy: Policy, tables: dict[str, DataFrame]) -> tuple[str, DataFram
 
 
 def with_owner(rows: DataFrame, policy: Policy, tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows plus ``owner``, the user they belong to (NULL when nobody)."""
+    """Rows plus ``_owner``, the user they belong to (NULL when nobody)."""
     if policy.owner == "nobody":
-        return rows.withColumn("owner", F.lit(None).cast("string"))
+        return rows.withColumn(_OWNER, F.lit(None).cast("string"))
     link = _owners(policy, tables)
     if link is None:
-        return rows.withColumn("owner", F.col("auth_user_id"))
+        return rows.withColumn(_OWNER, F.col("auth_user_id"))
     key, owners = link
     return rows.join(owners, key, "left")
 
@@ -85,9 +87,9 @@ def visible_rows(table: str, tables: dict[str, DataFrame], principals: DataFrame
     policy = POLICIES[table]
     if policy.read_all:
         raise ValueError(f"everyone may read all rows of {table}: use sees_all, visible_to or visible_counts")
-    users = principals.where(~F.col("role").eqNullSafe(ADMIN)).select(F.col("auth_user_id").alias("owner"))
+    users = principals.where(~F.col("role").eqNullSafe(ADMIN)).select(F.col("auth_user_id").alias(_OWNER))
     owned = with_owner(tables[table], policy, tables)
-    return owned.join(users, "owner").withColumnRenamed("owner", "principal")
+    return owned.join(users, _OWNER).withColumnRenamed(_OWNER, "principal")
 
 
 def sees_all(table: str, principals: DataFrame) -> DataFrame:
@@ -122,18 +124,18 @@ def write_check(
     row is found by ``key``. A row that is not stored cannot be updated or deleted by its owner.
     """
     policy = POLICIES[table]
-    roles = principals.select(F.col("auth_user_id").alias("principal"), "role")
+    roles = principals.select(F.col("auth_user_id").alias("principal"), F.col("role").alias(_ROLE))
     owned = with_owner(proposed, policy, tables)
     may_own = {"insert": policy.own_insert, "update": policy.own_update, "delete": policy.own_delete}[action]
     own = F.lit(may_own)
     if action != "delete":
-        own = own & F.coalesce(F.col("owner") == F.col("principal"), F.lit(False))
+        own = own & F.coalesce(F.col(_OWNER) == F.col("principal"), F.lit(False))
     if action != "insert" and may_own:
-        stored = with_owner(tables[table], policy, tables).select(key, F.col("owner").alias("stored_owner"))
+        stored = with_owner(tables[table], policy, tables).select(key, F.col(_OWNER).alias(_STORED))
         owned = owned.join(stored, key, "left")
-        own = own & F.coalesce(F.col("stored_owner") == F.col("principal"), F.lit(False))
+        own = own & F.coalesce(F.col(_STORED) == F.col("principal"), F.lit(False))
     joined = owned.join(roles, "principal", "left")
-    return joined.withColumn("allowed", F.col("role").eqNullSafe(ADMIN) | own).drop("owner", "stored_owner", "role")
+    return joined.withColumn("allowed", F.col(_ROLE).eqNullSafe(ADMIN) | own).drop(_OWNER, _STORED, _ROLE)
 
 
 def contracted_products(products: DataFrame, hotel_suppliers: DataFrame, hotels: DataFrame) -> DataFrame:

@@ -43,6 +43,7 @@ class BatchSize:
     text_bytes: int
     max_limit: int
     fan_bytes: int = 0
+    vector_bytes: int = 0
 
     @property
     def small(self) -> bool:
@@ -58,15 +59,16 @@ class BatchSize:
 
 
 def measure(queries: DataFrame, default_limit: int) -> BatchSize:
-    """One small aggregate over the query table: four numbers reach the driver."""
+    """One small aggregate over the query table: five numbers reach the driver."""
     length = F.octet_length(F.coalesce("search_text", F.lit(""))).cast("long")
     row = queries.agg(
         F.count("*").alias("n"),
         F.coalesce(F.sum(length), F.lit(0)).alias("b"),
         F.coalesce(F.sum(length * length * 8), F.lit(0)).alias("f"),
         F.max(F.coalesce("result_limit", F.lit(default_limit))).alias("k"),
+        F.coalesce(F.sum(F.when(F.col("query_embedding").isNotNull(), F.size("query_embedding").cast("long") * 8)), F.lit(0)).alias("v"),
     ).first()
-    return BatchSize(row["n"], row["b"], row["k"] if row["k"] is not None else default_limit, row["f"])
+    return BatchSize(row["n"], row["b"], row["k"] if row["k"] is not None else default_limit, row["f"], row["v"])
 
 
 def score(c: Column) -> Column:

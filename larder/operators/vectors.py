@@ -55,7 +55,7 @@ class _Block:
     """The queries of one block, and the best rows for them that a task has seen."""
 
     def __init__(self, asked: pa.StructArray, dim: int, default_limit: int, threshold: float | None):
-        self.query_ids, self.threshold = asked.field("query_id"), -np.inf if threshold is None else threshold
+        self.query_ids, self.limits, self.threshold = asked.field("query_id"), asked.field("result_limit"), -np.inf if threshold is None else threshold
         self.unit = _unit(asked.field("query_embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)).T
         self.keep = pc.fill_null(asked.field("result_limit"), default_limit).to_numpy(zero_copy_only=False).astype(int)
         values = zip(*(asked.field(c).to_pylist() for c in ("supplier_filter", "price_min", "price_max")), strict=True)
@@ -96,8 +96,9 @@ class _Block:
         self.floor[full.index.to_numpy()] = full["min"].to_numpy()
 
     def as_batch(self, found: pd.DataFrame) -> pa.RecordBatch:
-        ids = self.query_ids.take(pa.array(found["q"].to_numpy()))
-        return pa.RecordBatch.from_arrays([ids, pa.array(found["id"]), pa.array(found["similarity"])], names=["query_id", "id", "similarity"])
+        q = pa.array(found["q"].to_numpy())
+        columns = [self.query_ids.take(q), pa.array(found["id"]), pa.array(found["similarity"]), self.limits.take(q)]
+        return pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "similarity", "result_limit"])
 
 
 def _scorer(default_limit: int, threshold: float | None, prune: bool):
@@ -166,17 +167,15 @@ def vector_hits(
     chunks = rows.mapInArrow(
         _packer(CHUNK_ROWS), f"dim int, ids array<{id_kind}>, suppliers array<{supplier_kind}>, prices array<double>, vectors binary, centre binary, radius double"
     )
-    vector_bytes = (asked.agg(F.sum("dim")).first()[0] or 0) * 8
-    if vector_bytes <= BROADCAST_BYTES:
+    if size.vector_bytes <= BROADCAST_BYTES:
         dealt = chunks.join(F.broadcast(blocks), "dim")
     else:  # each block beside as many shares of the chunks as there are tasks for it
         shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // n_blocks)
         share = F.pmod(F.xxhash64("centre", "ids"), F.lit(shares)).cast("int").alias("share")
         copies = chunks.select("*", share, F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
         dealt = copies.join(blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share")).hint("shuffle_hash"), ["dim", "block", "share"]).drop("share")
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {id_kind}, similarity double"
-    out = dealt.mapInArrow(_scorer(default_limit, threshold, prune), schema)
-    return out.join(queries.select("query_id", "result_limit"), "query_id")
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {id_kind}, similarity double, result_limit {queries.schema['result_limit'].dataType.simpleString()}"
+    return dealt.mapInArrow(_scorer(default_limit, threshold, prune), schema)
 
 
 def semantic_top(products, queries, size, threshold, default_limit) -> DataFrame:

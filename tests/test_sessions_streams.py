@@ -239,3 +239,8 @@ def test_write_checks(spark):
     assert allowed("products", new.drop("customer_id"), "insert") == {"n3"}
     items = spark.createDataFrame([("x1", "o1", "u1"), ("x2", "o2", "u1")], "id string, order_id string, principal string")
     assert allowed("order_items", items, "insert") == {"x1"}
+    said = spark.createDataFrame([("m1", "c1", "user", "x", "u1"), ("m2", "c1", "admin", "x", "u2"), ("m3", "c2", "assistant", None, "boss"), ("m4", "c2", None, "u2", "u2")],
+                                 "id string, customer_id string, role string, owner string, principal string")
+    checked = access.write_check("chat_messages", said, tables, people, "insert")
+    assert set(checked.columns) == {*said.columns, "allowed"}
+    assert {(r["id"], r["role"], r["owner"]) for r in checked.where("allowed").collect()} == {("m1", "user", "x"), ("m3", "assistant", None), ("m4", None, "u2")}
