@@ -24,6 +24,8 @@ from larder.llm.components import components
 COSINE = 0.98
 #: Vectors that the centroids and codes are fitted on, coarse lists, subspaces, codes of a subspace, vectors of a block.
 TRAIN_ROWS, LISTS, SUBSPACES, CODES, BLOCK = 4096, 64, 8, 64, 1024
+#: Sampled vectors of a length that a quantiser is fitted on at least.
+FIT_ROWS = 32
 _SLACK = 1e-9
 
 
@@ -96,7 +98,7 @@ def _forest(linked: np.ndarray, queries: np.ndarray, others: np.ndarray) -> list
             return [(int(ids[i]), int(ids[j])) for i, j in enumerate(low) if i != j]
 
 
-def _compare(quantiser: Quantiser, cosine: float):
+def _compare(quantisers: dict[int, Quantiser], cosine: float):
     reach = np.sqrt(2 - 2 * cosine)
 
     def block(group: pd.DataFrame) -> pd.DataFrame:
@@ -107,7 +109,8 @@ def _compare(quantiser: Quantiser, cosine: float):
             x = np.frombuffer(b"".join(index["vector"])).reshape(len(index), -1)
             q = np.frombuffer(b"".join(asked["vector"])).reshape(len(asked), -1)
             codes = np.frombuffer(b"".join(index["codes"]), np.uint8).reshape(len(index), -1)
-            far = np.sqrt(quantiser.table_distances(q, codes, int(index["list"].iloc[0])))
+            which, quantiser = int(index["list"].iloc[0]), quantisers.get(x.shape[1])
+            far = np.zeros((len(q), len(x))) if quantiser is None else np.sqrt(quantiser.table_distances(q, codes, which))
             rows, places = np.nonzero(far <= reach + index["error"].to_numpy()[None] + 1e-6)
             linked = np.zeros(far.shape, bool)
             for i in range(0, len(rows), 1 << 16):
@@ -125,47 +128,48 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                  cosine: float = COSINE, train_rows: int = TRAIN_ROWS, block_rows: int = BLOCK) -> DataFrame:
     """One row per row of vectors: id, n_links (other vectors linked), component_id (smallest id reachable), kept (id is it).
 
-    Rows are compared if their labels are equal. Null labels, null ids, null or zero vectors, vectors with null or
-    non-finite components, and vectors of another length than most link with nothing. Repeated rows count one by one and link with each
-    other. An empty table gives an empty result; other columns are left out. The quantiser is fitted on about train_rows
-    vectors, chosen by a hash of the id; every vector is indexed and asked.
+    Rows are compared if their labels and the lengths of their vectors are equal. Null labels, null ids, null or zero vectors and vectors with null or
+    non-finite components link with nothing. Repeated rows count one by one and link with each
+    other. An empty table gives an empty result; other columns are left out. Quantisers are fitted on about train_rows
+    vectors, chosen by a hash of the id, one for each length that has FIT_ROWS of them at least; vectors of rarer lengths form one list each,
+    compared exactly. Every vector is indexed and asked.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
     good = rows.where("id IS NOT NULL AND label IS NOT NULL AND forall(vector, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('inf')) AND exists(vector, x -> x <> 0)")
-    length = good.select(F.mode(F.size("vector")).alias("n"), F.count("*").alias("rows")).first()
-    if not length["rows"]:
+    if good.isEmpty():
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    good = good.where(F.size("vector") == length["n"])
     classes = durable(good.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    chosen = classes.where(unit_hash("rep") < train_rows / classes.count()).select("vector").limit(2 * train_rows).toPandas()
-    if chosen.empty:
-        chosen = classes.select("vector").limit(1).toPandas()
-    quantiser = fit(np.array(chosen["vector"].tolist(), float))
-    shared = spark.sparkContext.broadcast(quantiser)
+    chosen = classes.where(unit_hash("rep") < train_rows / classes.count()).select("vector").limit(2 * train_rows).toPandas()["vector"]
+    quantisers = {int(n): fit(np.array(own.tolist(), float)) for n, own in chosen.groupby(chosen.map(len)) if len(own) >= FIT_ROWS}
+    shared = spark.sparkContext.broadcast(quantisers)
     reach = float(np.sqrt(2 - 2 * cosine))
 
     def encode(frames):
-        for f in frames:
-            v = unit(np.array(f["vector"].tolist(), float).reshape(len(f), -1))
-            own, codes, error, probes = shared.value.encode(v, reach)
-            yield f.drop(columns="vector").assign(
-                list=own, vector=[x.tobytes() for x in v], codes=[c.tobytes() for c in codes], error=error,
-                probes=[np.flatnonzero(p) for p in probes],
-            )
+        for frame in frames:
+            for size, f in frame.groupby(frame["vector"].map(len)):
+                v, quantiser = unit(np.array(f["vector"].tolist(), float).reshape(len(f), -1)), shared.value.get(int(size))
+                if quantiser is None:
+                    own, codes, error, probes = np.zeros(len(f), int), np.zeros((len(f), 0), np.uint8), np.full(len(f), np.inf), np.ones((len(f), 1), bool)
+                else:
+                    own, codes, error, probes = quantiser.encode(v, reach)
+                yield f.drop(columns="vector").assign(
+                    size=int(size), list=own, vector=[x.tobytes() for x in v], codes=[c.tobytes() for c in codes], error=error,
+                    probes=[np.flatnonzero(p) for p in probes],
+                )
 
     kind = classes.schema["label"].dataType.simpleString()
-    coded = durable(classes.mapInPandas(encode, f"label {kind}, rep long, n long, list int, vector binary, codes binary, error double, probes array<int>"))
-    sizes = durable(coded.groupBy("label", "list").count().select("label", "list", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks")))
-    asked = coded.select("label", F.explode("probes").alias("list"), "rep", "vector")
-    asked_sizes = durable(asked.groupBy("label", "list").count().select("label", "list", F.ceil(F.col("count") / block_rows).cast("int").alias("asked_blocks")))
-    both = durable(sizes.join(asked_sizes, ["label", "list"]))
+    coded = durable(classes.mapInPandas(encode, f"label {kind}, rep long, n long, size int, list int, vector binary, codes binary, error double, probes array<int>"))
+    sizes = durable(coded.groupBy("label", "size", "list").count().select("label", "size", "list", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks")))
+    asked = coded.select("label", "size", F.explode("probes").alias("list"), "rep", "vector")
+    asked_sizes = durable(asked.groupBy("label", "size", "list").count().select("label", "size", "list", F.ceil(F.col("count") / block_rows).cast("int").alias("asked_blocks")))
+    both = durable(sizes.join(asked_sizes, ["label", "size", "list"]))
     place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index = coded.join(both, ["label", "list"]).select("label", "list", place("blocks").alias("block"), every("asked_blocks").alias("asked_block"), F.lit(False).alias("asks"), "rep", "n", "vector", "codes", "error")
-    asks = asked.join(both, ["label", "list"]).select("label", "list", every("blocks").alias("block"), place("asked_blocks").alias("asked_block"), F.lit(True).alias("asks"), "rep", F.lit(0).cast("long").alias("n"), "vector", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"))
+    index = coded.join(both, ["label", "size", "list"]).select("label", "size", "list", place("blocks").alias("block"), every("asked_blocks").alias("asked_block"), F.lit(False).alias("asks"), "rep", "n", "vector", "codes", "error")
+    asks = asked.join(both, ["label", "size", "list"]).select("label", "size", "list", every("blocks").alias("block"), place("asked_blocks").alias("asked_block"), F.lit(True).alias("asks"), "rep", F.lit(0).cast("long").alias("n"), "vector", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"))
     compare = lambda group: _compare(shared.value, cosine)(group)
-    found = durable(index.union(asks).groupBy("label", "list", "block", "asked_block").applyInPandas(compare, "rep long, other long, links long"))
+    found = durable(index.union(asks).groupBy("label", "size", "list", "block", "asked_block").applyInPandas(compare, "rep long, other long, links long"))
     links = found.where("other IS NULL").groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
     named = durable(
@@ -187,7 +191,7 @@ WITH RECURSIVE v AS (
   WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
-          WHERE list_cosine_similarity(a.e, b.e) >= {cosine}),
+          WHERE CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= {cosine} ELSE false END),
 reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
 n AS (SELECT a, count(*) AS n FROM links GROUP BY a),
 c AS (SELECT a, min(b) AS low FROM reached GROUP BY a)

@@ -11,6 +11,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from larder.llm.common import share, spare, unit_hash
 FEATURE_BITS, LONGEST, ROWS_PER_LANGUAGE = 15, 3, 300
 UNDETERMINED = "und"
 _OTHER = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

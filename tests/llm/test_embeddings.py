@@ -40,9 +40,9 @@ def test_rows_without_partners(spark):
     rows = [(1, None, 1), (2, [0.0, 0.0], 1), (3, [1.0, 2.0], None), (None, [1.0, 2.0], 1)]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(spark.createDataFrame(rows, KIND)).collect()}
     assert got == {1: (0, 1, True), 2: (0, 2, True), 3: (0, 3, True), None: (0, None, False)}
-    odd = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [1.0], 1), (4, [1.0], 1), (5, [0.0, 1.0], 1)]  # another length links with nothing
+    odd = [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [1.0], 1), (4, [1.0], 1), (5, [0.0, 1.0], 1)]  # equal lengths are compared, whatever the others have
     got = {r.vec_id: r.n_links for r in embeddings.near_vectors(spark.createDataFrame(odd, KIND)).collect()}
-    assert got == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 0}
 
 
 def test_probes_and_tables_lose_nothing():
@@ -57,3 +57,16 @@ def test_probes_and_tables_lose_nothing():
     assert close.sum() > 300 and probes[np.arange(400), own][close].all()
     for i in np.flatnonzero(close):
         assert np.sqrt(model.table_distances(base[i:i + 1], codes[i:i + 1], own[i])[0, 0]) <= reach + error[i] + 1e-6
+
+
+def test_vectors_of_many_lengths(spark):
+    """Each length for itself, whether it has a quantiser or not; the SQL compares lengths that are equal."""
+    rng, rows = np.random.default_rng(9), []
+    for size, n in ((16, 150), (8, 100), (5, 30), (3, 6)):
+        centres = rng.normal(size=(4, size))
+        rows += [(len(rows) + i, (centres[i % 4] + rng.normal(size=size) * 0.12).astype(np.float32).tolist(), i % 2) for i in range(n)]
+    df = spark.createDataFrame(rows, KIND)
+    con = duckdb.connect()
+    con.register("embeddings", df.toArrow())
+    problem, n = compare(embeddings.near_vectors(df, block_rows=16), con, embeddings.oracle())
+    assert problem is None and n == len(rows)

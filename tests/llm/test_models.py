@@ -135,3 +135,10 @@ def test_forest_from_given_labels(make_docs):
     docs = make_docs([(i, f"password=ab{i:02d}kq token={i:02d}8f3a9c1d7e5b2a4f6c8d0e{i:02d}") for i in range(40)], clashes=False)
     labelled = secrets.findings(docs).withColumn("label", (F.length("value") > 10).cast("double"))
     assert {len(r.value) > 10 for r in secrets.scan(docs, labelled).collect()} == {True}
+
+
+def test_letters_of_a_text(make_docs):
+    """Only letters make a language: numbers in circles, Roman numerals, fractions and powers do not."""
+    rows = [(i, f"the text number {i} is here", "s") for i in range(30)] + [(100, "\u00b2\u00bd\u2460\u2167 _ 12!"), (101, "\u00aa"), (102, "\u65e5")]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(make_docs(rows)).collect()}
+    assert got[100] == ("und", 0.0) and got[101][0] == got[102][0] == "en"
