@@ -97,7 +97,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     Every one of three parts of 22 bits is left out in turn, and the ball of radius 1 on the other 42 bits is emitted (43 points). Of at most
     four differing bits two lie in one part, so near fingerprints are within two of each other beside it, and their point halfway has a
     point there that both emit. The points that several fingerprints emit are completed by flips within the part, as many as the ball
-    leaves. Keys of 42 bits meet by chance in less than one of a hundred fingerprints up to a billion of them.
+    leaves. Of a million fingerprints spread at random about one in a thousand meets another one by chance.
     """
     half = radius // 2
     low = (1 << PART) - 1
