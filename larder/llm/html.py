@@ -3,13 +3,15 @@
 One pass over the markup makes a light tree of elements and a list of text blocks in page order. Paragraphs pass points
 for length and commas to their ancestors, less to higher ones, discounted by link density; the best container is kept with
 those siblings that look like more of the same. Menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments are recognised by element, role and class and give neither points nor text.
+comments are recognised by element, role and class and give neither points nor text. A name of such words and layout words
+alone ("related-links", "cookie-notice") settles it; a name with other words as well ("related-work", "share-price") only
+lowers the score, and within the article its block goes only if it is also linked or a short line that is no sentence.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -42,7 +44,23 @@ overlay dialog share sharing social related recommended recommendations trending
 search searchbox toolbar pagination pager widget widgets skip outbrain taboola legal copyright complementary contentinfo
 disclaimer paywall""".split())
 COMMENTS = set("comment comments commentlist respond reply replies disqus discussion responses feedback reviews".split())
+#: Names that are no article's, whatever other words stand beside them.
+NEVER = set("""navbar sidebar masthead breadcrumb breadcrumbs adsense adbox advert adverts advertisement outbrain taboola pagination
+pager gdpr popup contentinfo complementary commentlist disqus""".split())
 PAGE_HEADS = {"header", "banner", "topbar"}
+# Words about layout, which say nothing of what a block holds; words of two letters and those with digits count as such.
+LAYOUT = set("""and area areas article articles author bar bars block blocks body bottom box boxes btn button buttons card cards
+carousel center close col column columns component container containers content count counter cta custom customer desktop
+drawer entries entry email feed field fixed floating follow foot footer for form from frame global google grid group head
+header heading holder home horizontal icon icons image info inline inner item items label large last latest law left line
+link links list listing lists main message messages meta middle mobile module modules more most new news outer page pages
+panel panels policy popular position post posts primary rail read reader readers recent region right row rows secondary
+section sections settings sign site sitewide slider slot small space stack sticky stories story strip tab tabs teaser teasers text
+the thread title toggle tool tools top unit user users vertical view views warning website with wrap wrapper wrappers you your zone
+""".split())
+#: What a doubtful name leaves of a container's score, how far below the best such a sibling may be, link density and
+#: length that drop such a block within the article.
+DOUBT, DOUBT_LEAST, DOUBT_LINKED, DOUBT_SHORT = 0.4, 0.4, 0.3, 60
 TITLE_OF = set("article entry post content story".split())
 EXCUSED = set("has with no without open closed".split())
 WANTED = set("article content main post entry story body text blog".split())
@@ -52,38 +70,54 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _ATTRIBUTE = re.compile(r"""([^\s=<>"'/]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _TAG_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
 _COMMAS = re.compile("[,،、，;；]")
+_SENTENCE = re.compile("[.!?…:;。！？][\"'”’»)]*$")
+
+
+def _settles(name: set[str], marks: set[str]) -> bool:
+    """True if a name that holds one of the marks holds nothing else but such words and words about layout."""
+    return bool(name & NEVER) or all(w in marks or w in UNWANTED or w in LAYOUT or len(w) < 3 or not w.isalpha() for w in name)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "unwanted", "comments", "wanted", "bonus", "points", "chars", "linked", "blocks", "menu", "kept", "hidden")
+    __slots__ = ("tag", "parent", "unwanted", "comments", "wanted", "bonus", "points", "chars", "linked", "blocks", "menu", "kept", "hidden",
+                 "doubtful", "weight", "sentences", "in_menu")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
         self.tag, self.parent = tag, parent
         self.bonus, self.points, self.chars, self.linked, self.blocks = 0.0, 0.0, 0, 0, 0
-        self.menu = self.kept = False
+        self.menu = self.kept = self.doubtful = False
+        self.sentences, self.weight = 0, 1.0 if parent is None else parent.weight
+        self.in_menu = parent is not None and parent.in_menu or tag in MENUS
         found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
-        names = [set(_WORD.findall(_CAMEL.sub(" ", n).lower())) for k in ("class", "id", "role") for n in found.get(k, "").split()]
+        named = [n for k in ("class", "id", "role") if k in found for n in found[k].split()]
+        names = [set(_WORD.findall(_CAMEL.sub(" ", n).lower())) for n in named]
         marks = [n for n in names if not n & EXCUSED]
         words = {w for n in marks for w in n}
-        bad = [n for n in marks if n & UNWANTED or not (parent is not None and parent.wanted) and n & PAGE_HEADS and not n & TITLE_OF]
+        inside = parent is not None and parent.wanted
+        heads = set() if inside else PAGE_HEADS
+        marked = [n for n in marks if n & (UNWANTED | NEVER) or n & heads and not n & TITLE_OF]
+        bad = [n for n in marked if _settles(n, heads)]
         # a layout name beside a plain name of the article, as in "main-content sidebar-right", marks the article
         bad = [] if any(n & {"content", "article", "main"} for n in marks if n not in bad) else bad
-        inside = parent is not None and parent.wanted
         self.comments = parent is not None and parent.comments
         self.wanted = inside
         own = False
         out_of_sight = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower()
         self.hidden = parent is not None and parent.hidden or out_of_sight
         if tag not in INLINE or words & {"ad", "ads", "advert"}:
-            remarks = bool(words & COMMENTS)
+            speaking = [n for n in marks if n & COMMENTS]
+            remarks = any(_settles(n, COMMENTS) for n in speaking)
+            self.doubtful = tag not in ("html", "body", "main", "article") and any(n not in bad for n in marked + speaking)
             own = (
                 tag in BOILERPLATE or out_of_sight or remarks or bool(bad) or not inside and tag == "header"
             ) and tag not in ("html", "body")
             self.comments |= remarks and tag not in ("html", "body")
         above = parent is not None and parent.unwanted
         if tag in ("main", "article") and not own and not self.comments:
-            above, self.wanted = False, True
+            above, self.wanted, self.weight = False, True, 1.0
         self.unwanted = above or own
+        if self.doubtful:
+            self.weight = DOUBT
         if not self.unwanted and (tag in ("main", "article") or words & WANTED):
             self.bonus = 25.0 if tag in ("main", "article") else 10.0
 
@@ -127,6 +161,8 @@ def _parse(html: str, void: set[int] | None) -> tuple[list[Node], list[tuple[Nod
     """Elements, blocks, and places of embedded elements without an end tag; those at the places of void (None: all) are passed over."""
     root = Node("html", None, "")
     nodes, stack, open_tags, blocks = [root], [root], Counter(), []
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack the open elements of a tag are
+    holders = [root]  # the open elements that are not inline
     parts: list[str] = []
     linked, breaks, quotes, at, n = 0, 0, _Quotes(html), 0, len(html)
     embedded, within = {}, 0  # embedded elements without an end tag so far, and how many are open
@@ -137,28 +173,32 @@ def _parse(html: str, void: set[int] | None) -> tuple[list[Node], list[tuple[Nod
             return
         text = " ".join("".join(parts).split())
         if text:
-            holder = next(x for x in reversed(stack) if x.tag not in INLINE or x is root)
-            blocks.append((holder, text, min(linked, len(text))))
+            blocks.append((holders[-1], text, min(linked, len(text))))
         parts.clear()
         linked = breaks = 0
 
-    def leave():
-        nonlocal within
-        node = stack.pop()
-        within -= node.tag in EMBEDDED
-        open_tags[node.tag] -= 1
-        return node
+    def enter(node):
+        nodes.append(node)
+        open_tags[node.tag] += 1
+        places[node.tag].append(len(stack))
+        stack.append(node)
+        if node.tag not in INLINE:
+            holders.append(node)
 
     def leave_until(tags, bounds=()):
-        if any(open_tags[t] > 0 for t in tags):
-            for node in reversed(stack[1:]):
-                if node.tag in tags:
-                    while leave() is not node:
-                        pass
-                    embedded.pop(node, None)
-                    return
-                if node.tag in bounds or bounds and node.tag in EMBEDDED:
-                    return
+        nonlocal within
+        innermost = lambda names: max((places[t][-1] for t in names if open_tags[t] > 0), default=0)
+        place = innermost(tags)
+        if not place or bounds and max(innermost(bounds), innermost(EMBEDDED) if within else 0) > place:
+            return
+        embedded.pop(stack[place], None)
+        while len(stack) > place:
+            node = stack.pop()
+            within -= node.tag in EMBEDDED
+            open_tags[node.tag] -= 1
+            places[node.tag].pop()
+            if node is holders[-1]:
+                holders.pop()
 
     while at < n:
         open_at = html.find("<", at)
@@ -210,9 +250,7 @@ def _parse(html: str, void: set[int] | None) -> tuple[list[Node], list[tuple[Nod
             if not closed and void is not None and open_at not in void:
                 node = Node(tag, stack[-1], "")
                 node.unwanted = True
-                nodes.append(node)
-                stack.append(node)
-                open_tags[tag] += 1
+                enter(node)
                 embedded[node] = open_at
                 within += 1
             continue
@@ -239,10 +277,10 @@ def _parse(html: str, void: set[int] | None) -> tuple[list[Node], list[tuple[Nod
         if tag == "a":
             leave_until(("a",), CLOSES_PARAGRAPH)
         node = Node(tag, stack[-1], html[name.end():end])
-        nodes.append(node)
         if html[end - 1] != "/" or tag not in INLINE:
-            stack.append(node)
-            open_tags[tag] += 1
+            enter(node)
+        else:
+            nodes.append(node)
     within = 0
     flush()
     return nodes, blocks, set(embedded.values())
@@ -252,14 +290,6 @@ def _density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
-def _within_menu(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in MENUS:
-            return True
-        node = node.parent
-    return False
-
-
 def main_text(html: str | None) -> str:
     """The article's blocks joined by line feeds; empty if there is none."""
     nodes, every = parse(html or "")
@@ -267,13 +297,14 @@ def main_text(html: str | None) -> str:
     if not blocks:  # a page that is a form or a notice as a whole
         blocks = [b for b in every if b[0].tag not in BOILERPLATE and not b[0].comments]
         if sum(len(b[1]) for b in blocks) < 200:  # a short one without menus, and without what is not shown
-            blocks = [b for b in blocks if not b[0].hidden and not _within_menu(b[0]) and 2 * b[2] < len(b[1])]
+            blocks = [b for b in blocks if not b[0].hidden and not b[0].in_menu and 2 * b[2] < len(b[1])]
     if not blocks:
         return ""
     for holder, text, linked in blocks:
         holder.chars += len(text)
         holder.linked += linked
         holder.blocks += 1
+        holder.sentences += bool(_SENTENCE.search(text, max(0, len(text) - 5)))
         if holder.tag not in HEADINGS:
             # the container of a paragraph is its parent; text that stands in a container itself counts for that one
             container = holder if holder.tag in CONTAINERS else holder.parent or holder
@@ -281,8 +312,9 @@ def main_text(html: str | None) -> str:
     for node in reversed(nodes[1:]):  # half of its points go on to the next higher one
         above = node.parent
         above.points += node.points / 2
-        above.chars, above.linked, above.blocks = above.chars + node.chars, above.linked + node.linked, above.blocks + node.blocks
-    score = lambda x: (x.points + x.bonus) * (1 - _density(x))
+        above.chars, above.linked = above.chars + node.chars, above.linked + node.linked
+        above.blocks, above.sentences = above.blocks + node.blocks, above.sentences + node.sentences
+    score = lambda x: (x.points + x.bonus) * (1 - _density(x)) * x.weight
     holds = [x for x in nodes if x.chars and x.tag not in INLINE | HEADINGS | {"p"}] or nodes[:1]
     best = max(holds, key=score)
     least, whole = max(3.0, 0.2 * score(best)), best.tag in ("article", "main")
@@ -292,13 +324,18 @@ def main_text(html: str | None) -> str:
             return False
         if x.tag == "h1":
             return True
+        if x.doubtful and score(x) < DOUBT_LEAST * score(best):
+            return False
         if x.tag in CONTAINERS:
             return score(x) >= least and (not whole or x.tag == best.tag)
         return not whole and x.tag not in HEADINGS and _density(x) < 0.25 and (x.chars > 80 or not x.linked and x.tag in PROSE)
 
+    def slight(x: Node) -> bool:
+        return x.doubtful and x is not best and (_density(x) > DOUBT_LINKED or x.chars < DOUBT_SHORT and not x.sentences)
+
     for x in nodes:
         above = x.parent
-        x.kept = x is best or above is not None and (above.kept or above is best.parent and sibling(x))
+        x.kept = x is best or above is not None and (above.kept or above is best.parent and sibling(x)) and not slight(x)
         x.menu = above is not None and above.menu or x.kept and x is not best and x.blocks >= 3 and x.tag != "p" and _density(x) > 0.8
     return "\n".join(text for holder, text, _ in blocks if holder.kept and not holder.menu)
 
@@ -307,7 +344,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per row of pages: id, url, text (main text, empty if none), n_chars (its code points).
 
     Null or empty html gives an empty text; null ids and addresses stay; repeated rows give repeated rows; an empty table an
-    empty result; other columns are left out. Of equally good containers the first in the page is taken. Time is linear in the page.
+    empty result; other columns are left out. Of equally good containers the first in the page is taken. Time is linear in the page, whatever its markup.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

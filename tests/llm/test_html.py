@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,6 +53,30 @@ def test_nothing_of_the_article_is_dropped(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    (f"<main><h1>T</h1><p>{LONG}</p><section class=related-work><h2>Related</h2><p>Others did, too.</p></section></main>", f"T\n{LONG}\nRelated\nOthers did, too."),
+    (f"<div class=post><h2>T</h2><div class=legal-guide><p>{LONG}</p><ul><li>one</ul></div></div><div class=related-links><p>{LONG}</p></div>", f"T\n{LONG}\none"),
+    ("<article><p>In.</p><div class=share-price><p>Shares rose 5 percent, to 20.</p></div><div class=share-buttons><p>Tweet this.</p></div></article>", "In.\nShares rose 5 percent, to 20."),
+    ("<article><p>In.</p><div class=notice-of-meeting><p>Meet at noon.</p></div><div class=cookie-notice><p>We use cookies.</p></div></article>", "In.\nMeet at noon."),
+    ("<article><p>In.</p><div class=promo-spring><p>Buy now</p></div><div id=related-reads><p><a href=x>Another, longer text to read.</a></p></div></article>", "In."),
+    (f"<div class=story><p>{LONG}</p></div><div class=promo-spring><p>Buy now, or later, or never.</p></div><div class='sidebar-x9 comment-list'><p>No, no, no.</p></div>", LONG),
+    (f"<div class=story><p>{LONG}</p></div><div id=reader-comments><p>{LONG}</p><p>{LONG}</p></div>", LONG),
+])
+def test_names_with_other_words_hide_no_article(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("part", ["<b>x<br><br>", "<div><p>x, y", "<a href=x>x<h2>", "<ul><li>x", "<table><tr><td>x", "<b><div>x", "<i><p>x</p>", "<nav><p>x", '<div class="related-work">x'])
+def test_time_grows_with_the_page(part):
+    """Eight times the page takes far less than sixty-four times as long."""
+    took = []
+    for n in (2500, 20000):
+        start = time.process_time()
+        main_text(part * n)
+        took.append(time.process_time() - start)
+    assert took[1] < 24 * took[0] + 0.5
+
+
 @pytest.mark.parametrize("page", ["<svg>" * 50000, "<object><p>" * 30000 + "x", "<svg></p>" * 30000, "<select></div>" * 30000 + "</select>" * 30000])
 def test_embedded_elements_stay_linear(page):
     main_text(page)
