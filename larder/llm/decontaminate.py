@@ -12,6 +12,9 @@ by how often they occur, sum of the smaller weights over the sum of the larger o
    variant of a block within two bits, windows those within the rest; equal variants collide.
 4. Colliding pairs within the radius are checked with the exact similarity.
 
+Items of few shingles go from step 1 straight to the exact check: a bit of such a fingerprint rests on few votes, and one lost
+shingle can turn more bits than the radius allows.
+
 DataFrame functions only. Items with fewer words than a shingle count as one shingle of all their words.
 """
 
@@ -26,8 +29,10 @@ from larder.llm.common import array_of, durable, small_or_shuffled, spare
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Differing bits of fingerprints that are still compared: two sets of similarity 0.8 differ in 10 of 64 on average, and
-#: in over 19 in about one of a thousand. Multiple of four, minus one.
+#: in over 19 in at most 1.5 of a thousand from 16 shingles on (simulated). Multiple of four, minus one.
 RADIUS, BLOCKS, BLOCK_BITS = 19, 4, 16
+#: Items of fewer shingles are checked without fingerprints: of 5 shingles 1.1 % of such pairs lie beyond the radius, of 15 0.2 %.
+EXACT_UNDER = 16
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -92,8 +97,22 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def item_classes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """Which id stands for each item in find_leaks: item, and its class, the smallest id of the items of the same words.
+
+    One row per different pair. Items without words are a class each on their own and never leak; null ids stay, and a class of
+    null ids alone is null. An empty table gives an empty result.
+    """
+    items = benchmark.select(F.col(id_col).alias("item"), words_of(F.col(text_col)).alias("words")).withColumn("words_key", F.xxhash64("words"))
+    least = items.where(F.size("words") > 0).groupBy("words").agg(F.min("item").alias("class"))
+    least = least.select(F.xxhash64("words").alias("class_key"), "class")
+    joined = items.join(least, F.col("words_key") == F.col("class_key"), "left")
+    return joined.select("item", F.when(F.size("words") > 0, F.col("class")).otherwise(F.col("item")).alias("class")).distinct()
+
+
 def _windows(docs: DataFrame, items: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Windows that hold enough shingles of an item: id, text_key, start, n_words, bag (the window's shingles)."""
+    """Windows that hold enough shingles of an item: id, text_key, start, n_words, bag (the window's shingles), and
+    item_key where the item has fewer than EXACT_UNDER shingles; otherwise null, and a window is one row whatever its items."""
     bags = items.select("item_key", "n_words", shingles_of("words", size).alias("bag"))
     places = bags.select("item_key", "n_words", F.size("bag").alias("n"), F.posexplode("bag").alias("place", "shingle"))
     seen_in = places.groupBy("shingle").agg(F.countDistinct("item_key").alias("seen_in"))
@@ -133,17 +152,21 @@ def _windows(docs: DataFrame, items: DataFrame, size: int, similarity: float) ->
 
     starts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("held") - F.col("needed")), around)))
     return (
-        found.where(F.size("held") >= F.col("needed")).select("id", "text_key", "n_words", "first", "part", F.explode(starts).alias("start"))
-        .select("id", "text_key", "start", "n_words", F.slice("part", F.col("start") - F.col("first") + 1, span + 1).alias("bag"))
-        .groupBy("id", "text_key", "start", "n_words").agg(F.first("bag").alias("bag"))
+        found.where(F.size("held") >= F.col("needed"))
+        .withColumn("item_key", F.when(F.size("item_bag") < EXACT_UNDER, F.col("item_key")))
+        .select("id", "text_key", "item_key", "n_words", "first", "part", F.explode(starts).alias("start"))
+        .select("id", "text_key", "item_key", "start", "n_words", F.slice("part", F.col("start") - F.col("first") + 1, span + 1).alias("bag"))
+        .groupBy("id", "text_key", "item_key", "start", "n_words").agg(F.first("bag").alias("bag"))
     )
 
 
 def _leaks_of_size(docs: DataFrame, items: DataFrame, size: int, similarity: float, radius: int) -> DataFrame:
-    per_block = radius // BLOCKS
-    prints = _windows(docs, items, size, similarity).withColumn("fingerprint", F.expr(FINGERPRINT))
+    per_block, few = radius // BLOCKS, EXACT_UNDER + size - 1  # words of the shortest item that takes fingerprints
+    shorter, longer = F.col("n_words") < few, F.col("n_words") >= few
+    windows = durable(_windows(docs, items, size, similarity))
+    prints = windows.where(longer).drop("item_key").withColumn("fingerprint", F.expr(FINGERPRINT))
     wanted = items.select("item", "item_key", "n_words", shingles_of("words", size).alias("bag")).withColumn("fingerprint", F.expr(FINGERPRINT))
-    known = small_or_shuffled(_variants(wanted, min(2, per_block), "item_flip").select(
+    known = small_or_shuffled(_variants(wanted.where(longer), min(2, per_block), "item_flip").select(
         "item_key", "n_words", "block", "variant", "item_flip", F.col("fingerprint").alias("item_print")
     ))
     bags = small_or_shuffled(wanted.select("item", "item_key", F.col("bag").alias("item_bag")), F.size("item_bag"))
@@ -153,6 +176,8 @@ def _leaks_of_size(docs: DataFrame, items: DataFrame, size: int, similarity: flo
         _variants(prints, max(0, per_block - 2), "window_flip").join(known, ["n_words", "block", "variant"])
         .where((window_flip == 0) | (F.col("item_flip") < window_flip.bitwiseAND(-window_flip)) & (F.bit_count("item_flip") == 2))
         .where((F.bit_count(both) <= radius) & (_first_near_block(both, per_block) == F.col("block")))
+        .select("id", "text_key", "start", "n_words", "bag", "item_key")
+        .union(windows.where(shorter).select("id", "text_key", "start", "n_words", "bag", "item_key"))
         .join(bags, "item_key")
     )
     # as a generator the overlap is computed once, above the join
@@ -175,7 +200,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """Pairs of text and item: id, text_key (hash of the text), item, n_words, similarity, start_word (first best window).
 
-    Items of the same words are one item with their smallest id; rows of docs with the same id and text are one text, null
+    Items of the same words are one item with their smallest id, see item_classes for the others; rows of docs with the same id and text are one text, null
     ids included. Null or empty texts and items match nothing; without items or texts the result is empty. Texts shorter
     than an item are one window. Of equally similar windows the first is given.
     """

@@ -28,9 +28,15 @@ def _query(name: str, oracle: str | None = None):
 
 @_query("op3_decontaminate")
 def op3_decontaminate(spark, folder):
-    """Every leak: the document, the item, its words, the similarity and the first word of the best window."""
-    found = decontaminate.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
-    return found.selectExpr("id AS doc_id", "item AS item_id", "n_words", "similarity", "start_word")
+    """Every leak: the document, the item, its words, the similarity and the first word of the best window.
+
+    Items of the same words leak together and are listed under their smallest id. Each other id of such a class has one row
+    besides, without a document, whose same_as is that smallest id; same_as is null in the rows of leaks."""
+    benchmark = _table(spark, folder, "benchmark")
+    found = decontaminate.find_leaks(_table(spark, folder, "documents"), benchmark)
+    leaks = found.selectExpr("id AS doc_id", "item AS item_id", "n_words", "similarity", "start_word", "CAST(NULL AS long) AS same_as")
+    others = decontaminate.item_classes(benchmark).where("item <> class").selectExpr("item AS item_id", "class AS same_as")
+    return leaks.unionByName(others, allowMissingColumns=True)
 
 
 @_query("op4_licences", licences.oracle())

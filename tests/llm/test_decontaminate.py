@@ -3,7 +3,7 @@
 import random
 from collections import Counter
 
-from larder.llm.decontaminate import drop_leaks, find_leaks
+from larder.llm.decontaminate import drop_leaks, find_leaks, item_classes
 
 RNG = random.Random(4)
 WORDS = [f"{a}{b}" for a in "bcdfgh" for b in ("ar", "el", "io", "un")]
@@ -84,6 +84,29 @@ def test_items_of_the_same_words_and_nothing_to_find(spark, make_docs):
     assert drop_leaks(docs, bench).count() == 0 and drop_leaks(docs, bench.limit(0)).count() == 2
 
 
+def test_short_items_lose_no_pair(spark, make_docs):
+    """Items of 5 to 21 words against their beginnings, ends, and themselves with a word more."""
+    items = [(1000 * n + k, " ".join(passage(n))) for n in range(5, 22) for k in range(40)]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        docs += [(10 * i, " ".join(w[:-1])), (10 * i + 1, " ".join(w[1:])), (10 * i + 2, " ".join(w[:-2]))]
+    near = lambda d, i: d[0] // 10 == i[0]
+    want = {k for d in docs for i in items[d[0] // 10000 * 40 - 200:] [:40] if near(d, i) for k in brute([d], [i])}
+    got = {(r.id, r.item) for r in find_leaks(make_docs(docs, False), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 700 and want <= got
+    texts, wanted = dict(docs), dict(items)
+    assert all(brute([(d, texts[d])], [(i, wanted[i])]) for d, i in got - want)
+
+
+def test_classes_of_items(spark):
+    rows = [(4, "a b c"), (2, "A, b c!"), (4, "a b c"), (None, "a b c"), (5, None), (6, ""), (None, "z"), (7, "c b a")]
+    bench = spark.createDataFrame(rows, "item_id long, text string").selectExpr("*", "'clash' AS class", "'clash' AS words")
+    got = {tuple(r) for r in item_classes(bench).collect()}
+    assert got == {(4, 2), (2, 2), (None, 2), (5, 5), (6, 6), (None, None), (7, 7)}
+    assert item_classes(bench.limit(0)).count() == 0
+
+
 def test_table_equals_brute_force(table):
     docs, bench = table("documents"), table("benchmark")
     got = {(r.id, r.item) for r in find_leaks(docs, bench).collect()}
