@@ -1,7 +1,7 @@
 """Secret scan: patterns propose candidates, a random forest removes the false ones.
 
 The forest sees the length of a candidate, transitions between kinds of characters, how much of it a dictionary covers, words
-of its path, and the words around it. It is trained from labelled findings; where none are at hand, findings that rules settle
+of its path, and the words around it. The dictionary holds common words and those that stand in most of the texts. The forest is trained from labelled findings; where none are at hand, findings that rules settle
 either way (formats of known issuers, placeholders, plain numbers) serve as labels, and the forest decides the others.
 """
 
@@ -27,10 +27,13 @@ PATTERNS = [
     ("github_token", r"(?<![A-Za-z0-9])(?P<secret>gh[pousr]_[A-Za-z0-9]{36,251})(?![A-Za-z0-9])"),
     ("slack_token", r"(?<![A-Za-z0-9])(?P<secret>xox[abprs]-[A-Za-z0-9-]{10,})"),
     ("google_key", r"(?<![A-Za-z0-9])(?P<secret>AIza[0-9A-Za-z_-]{35})(?![0-9A-Za-z_-])"),
-    ("web_token", r"(?<![A-Za-z0-9])(?P<secret>eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"),
-    # all up to the END line; where none comes before the next marker, header lines and what looks like base64
+    ("web_token", r"(?<![A-Za-z0-9_-])(?P<secret>eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)"),
+    # all up to the END line; where none comes before the next marker, header lines and runs of base64 of 16 or more that are no
+    # word (a digit, a sign, or capitals as no word has them), at last a padded shorter one
     ("private_key", r"(?P<secret>-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[^-]*+(?:-(?!----(?:BEGIN|END) )[^-]*+)*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
-                    r"|(?:[ \t]*+\r?\n[ \t]*+[A-Z][A-Za-z0-9-]*+:[^\r\n]*+)*+(?:[A-Za-z0-9+/=\s]++|\\[nr])*+))"),
+                    r"|(?:[ \t]*+\r?\n[ \t]*+(?:Proc-Type|DEK-Info|Key-Info|MIC-Info|Content-Domain|X-[A-Za-z0-9-]++):[^\r\n]*+)*+"
+                    r"(?:(?:(?:\s|\\[nr])*+(?=[A-Za-z]*+[0-9+/]|[a-z]++[A-Z]|[A-Z][a-z]*+[A-Z]++[a-z])[A-Za-z0-9+/]{16,}+={0,2}+)++"
+                    r"(?:(?:\s|\\[nr])++[A-Za-z0-9+/]{1,15}+={1,2}+)?(?:[ \t]*+\r?\n)?)?))"),
     ("assigned", r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)[\"']?[ \t]{0,8}(?:=|:=|:)[ \t]{0,8}[\"']?(?P<secret>[^\s\"'<>,;]{6,}+)"),
     ("token", r"(?<![A-Za-z0-9_+/=-])(?P<secret>(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{16,}+)"),
 ]
@@ -40,15 +43,17 @@ FOR = set("password passwd pwd secret token key apikey api auth credential crede
 AGAINST = set("commit sha sha1 sha256 md5 hash checksum digest revision uuid guid id isbn doi version order card build".split())
 PLACEHOLDERS = ("example", "sample", "dummy", "changeme", "placeholder", "yourkey", "your_", "xxxx", "todo", "redacted", "12345678", "abcdefgh")
 PATHS = ("test", "example", "doc", "lock", "min", "config", "env", "src")
-DICTIONARY = set("""the and for with from this that have not you are was but all can use your name user data file path test code
+DICTIONARY = frozenset("""the and for with from this that have not you are was but all can use your name user data file path test code
 line text word page site link image value field table index order group admin guest default master local remote server client
 service system public private change example sample dummy placeholder hello world password secret token key login account access
 black white green house water light night river stone horse dragon monkey summer winter spring autumn sunday monday love""".split())
+#: Words learned from the texts beside DICTIONARY: the most frequent ones by number of texts, within these lengths, in so many texts.
+LEARNED_WORDS, LEARNED_FROM, LEARNED_TO, LEARNED_TEXTS = 20_000, 4, 14, 3
 #: Code points before and after a candidate whose words are read; labelled findings that are trained on.
 NEARBY, TRAIN_ROWS, TREES, DEPTH, KEEP_FROM = 40, 4000, 40, 6, 0.5
 _COMPILED = [(k, re.compile(p)) for k, p in PATTERNS]
 _WORD = re.compile(r"[^\W\d_]+|\d+")
-_LONGEST = max(map(len, DICTIONARY))
+_LONGEST = max(LEARNED_TO, *map(len, DICTIONARY))
 
 
 def propose(text: str | None) -> list[tuple[int, int, str]]:
@@ -66,11 +71,23 @@ def propose(text: str | None) -> list[tuple[int, int, str]]:
     return taken
 
 
-def covered(value: str) -> float:
+def vocabulary(docs: DataFrame, text_col: str = "text", most: int = LEARNED_WORDS, in_texts: int = LEARNED_TEXTS) -> frozenset[str]:
+    """DICTIONARY and the words a-z that stand in most texts, equal ones in alphabetical order; null texts and empty tables add none.
+
+    All texts are counted; what comes to the driver is bounded by most.
+    """
+    long_enough = f"[^a-z]+|(?<![a-z])(?:[a-z]{{1,{LEARNED_FROM - 1}}}|[a-z]{{{LEARNED_TO + 1},}})(?![a-z])"
+    words = F.array_distinct(F.split(F.lower(F.coalesce(text_col, F.lit(""))), long_enough))
+    seen = docs.select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("texts"))
+    top = seen.where(F.col("texts") >= in_texts).orderBy(F.desc("texts"), "word").limit(most)
+    return DICTIONARY | {r.word for r in top.select("word").collect()}
+
+
+def covered(value: str, words: frozenset[str] = DICTIONARY) -> float:
     """Part of a candidate that words of the dictionary make up, taken greedily from the left."""
     lowered, at, hits = value.lower(), 0, 0
     while at < len(lowered):
-        size = next((n for n in range(min(_LONGEST, len(lowered) - at), 2, -1) if lowered[at:at + n] in DICTIONARY), 0)
+        size = next((n for n in range(min(_LONGEST, len(lowered) - at), 2, -1) if lowered[at:at + n] in words), 0)
         hits += size
         at += size or 1
     return hits / max(1, len(lowered))
@@ -84,7 +101,7 @@ FEATURES = ["length", "entropy", "digits", "upper", "lower", "hexadecimal", "dis
             "dictionary", "assigned", "quoted", "for", "against", "placeholder", *(f"path_{p}" for p in PATHS)]
 
 
-def describe(text: str, start: int, end: int, path: str | None) -> list[float]:
+def describe(text: str, start: int, end: int, path: str | None, words: frozenset[str] = DICTIONARY) -> list[float]:
     value, n = text[start:end], end - start
     kinds = [_kind_of(c) for c in value]
     counts, pairs = Counter(value), Counter(zip(kinds, kinds[1:]))
@@ -95,7 +112,7 @@ def describe(text: str, start: int, end: int, path: str | None) -> list[float]:
         math.log(n), -sum(c / n * math.log2(c / n) for c in counts.values()), kinds.count("d") / n, kinds.count("u") / n, kinds.count("l") / n,
         sum(c in "0123456789abcdefABCDEF" for c in value) / n, len(counts) / n, sum(a == b for a, b in zip(value, value[1:])) / n,
         *(pairs[a, b] / max(1, n - 1) for a in "uldo" for b in "uldo"),
-        covered(value), float(before.rstrip(" \t\"'")[-1:] in ("=", ":")), float(before[-1:] in ("'", '"')),
+        covered(value, words), float(before.rstrip(" \t\"'")[-1:] in ("=", ":")), float(before[-1:] in ("'", '"')),
         float(any(w in FOR for w in near)), float(any(w in AGAINST for w in near)), float(any(p in lowered for p in PLACEHOLDERS)),
         *(float(p in where) for p in PATHS),
     ]
@@ -113,13 +130,15 @@ def settled(kind: str, value: str, described: list[float]) -> float | None:
 
 def findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """Every candidate: id, text_key (hash of the text), start, end (code points), kind, value, features, label (null: not settled)."""
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary(docs, text_col))  # at most LEARNED_WORDS words
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = known.value
         for f in frames:
             out = []
             for place, (text, path) in enumerate(zip(f["text"], f["path"], strict=True)):
                 for start, end, kind in propose(text):
-                    features = describe(text, start, end, path)
+                    features = describe(text, start, end, path, words)
                     out.append((place, start, end, kind, text[start:end], features, settled(kind, text[start:end], features)))
             found = pd.DataFrame(out, columns=["place", "start", "end", "kind", "value", "features", "label"]).astype({"label": "Float64"})
             at = found["place"].to_numpy(int)
@@ -179,7 +198,10 @@ def _blanked(texts: pd.Series, spans: pd.Series) -> pd.Series:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", length_col: str | None = "n_chars") -> DataFrame:
-    """docs with every kept finding replaced by its kind in brackets; length_col, if given, follows. Columns and rows as they are."""
+    """docs with every kept finding replaced by its kind in brackets; length_col, if given, follows. Columns and rows as they are.
+
+    Null and empty texts and null ids stay; rows of the same id and text are changed alike; an empty table gives an empty result.
+    """
     own_id, own_key, own_spans = spare(docs, "_id", "_key", "_spans")
     kept = scan(docs, None, id_col, text_col, path_col).select("id", "text_key", "start", "end", "kind").distinct()
     spans = kept.groupBy(F.col("id").alias(own_id), F.col("text_key").alias(own_key)).agg(F.collect_list(F.struct("start", "end", "kind")).alias(own_spans))
