@@ -74,12 +74,20 @@ def propose(text: str | None) -> list[tuple[int, int, str]]:
 def vocabulary(docs: DataFrame, text_col: str = "text", most: int = LEARNED_WORDS, in_texts: int = LEARNED_TEXTS) -> frozenset[str]:
     """DICTIONARY and the words a-z that stand in most texts, equal ones in alphabetical order; null texts and empty tables add none.
 
-    All texts are counted; what comes to the driver is bounded by most.
+    All texts are counted. The counts' powers of two say first which words can be among the most frequent, so that what
+    is sorted and comes to the driver does not grow with the number of tasks.
     """
     long_enough = f"[^a-z]+|(?<![a-z])(?:[a-z]{{1,{LEARNED_FROM - 1}}}|[a-z]{{{LEARNED_TO + 1},}})(?![a-z])"
     words = F.array_distinct(F.split(F.lower(F.coalesce(text_col, F.lit(""))), long_enough))
     seen = docs.select(F.explode(words).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("texts"))
-    top = seen.where(F.col("texts") >= in_texts).orderBy(F.desc("texts"), "word").limit(most)
+    seen = durable(seen.where(F.col("texts") >= in_texts))
+    power = F.floor(F.log2("texts")).cast("int")
+    least, held = 0, 0
+    for level, n in sorted(seen.groupBy(power.alias("power")).count().collect(), reverse=True):  # 64 rows at most
+        least, held = 2**level, held + n
+        if held >= most:
+            break
+    top = seen.where(F.col("texts") >= least).orderBy(F.desc("texts"), "word").limit(most)
     return DICTIONARY | {r.word for r in top.select("word").collect()}
 
 
