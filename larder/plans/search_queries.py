@@ -15,6 +15,7 @@ from larder.operators.fulltext import lexeme_stats, postings, search_fts, search
 from larder.operators.fuzzy import search_fuzzy, search_fuzzy_batch, trigram_frequencies
 from larder.operators.hybrid import search_hybrid, search_hybrid_batch
 from larder.operators.textindex import search_fts_indexed, search_fuzzy_indexed, write_gram_index, write_text_index
+from larder.operators.vectorlists import candidates, read_vector_index, search_lists, write_vector_index
 from larder.operators.vectors import search_approximate, search_semantic, search_semantic_batch
 from larder.plans.registry import query
 from larder.plans.search import assistant_search, search
@@ -345,6 +346,45 @@ def semantic_approximate(v: Views) -> DataFrame:
     return search_approximate(v.products(True), label_vectors(v), 0.1, 20)
 
 
+EVERY_50TH = """
+ask AS (SELECT id AS query_id, embedding AS vec FROM v_products WHERE embedding IS NOT NULL AND id % 50 = 0),"""
+
+
+def stored_lists(v: Views) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The inverted lists of all products, written to the shared folder and read back, and every 50th product as a query."""
+    path = f"{shared_folder(v.spark)}/vector-index-{uuid.uuid4().hex}"
+    write_vector_index(v.products(True), path)
+    asks = v.products(True).where("embedding IS NOT NULL AND id % 50 = 0")
+    return *read_vector_index(v.spark, path), asks.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+
+
+@query("semantic_lists", EVERY_50TH + near_sql(0.1, 10) + """
+SELECT (SELECT count(*) FROM ask) AS n_queries, count(*) AS n_exact, CAST(0 AS BIGINT) AS n_wrong, true AS recall_reached, true AS few_compared FROM near""")
+def semantic_lists(v: Views) -> DataFrame:
+    """The stored lists against the exact search: wrong similarities, recall at 10 of 0.9, under a tenth of the vectors compared in full."""
+    rows, centres, asks = stored_lists(v)
+    exact = search_semantic_batch(v.products(True), v.suppliers(), asks, 0.1, 10).select("query_id", "id", F.col("similarity").alias("true_similarity"))
+    both = exact.join(search_lists(rows, centres, asks, 0.1, 10), ["query_id", "id"], "left")
+    facts = both.agg(
+        F.count("*").alias("n_exact"),
+        F.count(F.when(F.abs(F.col("similarity") - F.col("true_similarity")) > 2e-10, 1)).alias("n_wrong"),
+        (F.count("similarity") >= 0.9 * F.count("*")).alias("recall_reached"),
+    )
+    full = bt.complete(asks, "bigint")
+    compared = candidates(rows, centres, full, 0.1, 10, bt.measure(full, 10)).agg(F.count("*").alias("compared"))
+    sizes = asks.agg(F.count("*").alias("n_queries")).join(rows.agg(F.count("*").alias("n_rows"))).join(compared)  # one row each
+    few = (F.col("compared") < 0.1 * F.col("n_queries") * F.col("n_rows")).alias("few_compared")
+    return facts.join(sizes.select("n_queries", few)).select("n_queries", "n_exact", "n_wrong", "recall_reached", "few_compared")
+
+
+@query("semantic_lists_all", EVERY_50TH + near_sql(0.1, 10, "price <= 950") + """
+SELECT query_id, id, rank_no, sim AS similarity FROM near""")
+def semantic_lists_all(v: Views) -> DataFrame:
+    """All lists opened: byte codes with their bounds give the exact result, the price filter inside the scan."""
+    rows, centres, asks = stored_lists(v)
+    return search_lists(rows.where("price <= 950"), centres, asks, 0.1, 10, probes=1 << 20)
+
+
 # ---------------------------------------------------------------- hybrid
 
 
