@@ -22,6 +22,7 @@ from larder.functions.vectors import cosine_similarity
 from larder.operators import batches as bt
 from larder.operators.filters import with_embedding
 from larder.operators.vectors import BLOCK_QUERIES, BROADCAST_BYTES, CHUNK_ROWS, THRESHOLD, semantic_top
+from larder.session import cut_lineage
 
 #: Lists at most, rows that centres are learned from, vectors that measure the probes, neighbours of each, wanted share of them.
 MAX_LISTS = 2048
@@ -206,8 +207,9 @@ def write_vector_index(products: DataFrame, path: str, recall: float = RECALL, r
     asks.write.mode("overwrite").parquet(f"{path}/asked")
     asks = spark.read.parquet(f"{path}/asked")
     true = semantic_top(stored, asks, bt.measure(asks, MEASURE_TOP + 1), None, MEASURE_TOP + 1).where("query_id <> id")
+    true = cut_lineage(true.select("query_id", "id"))  # MEASURE_ROWS * MEASURE_TOP rows a dimension
     places = _list_orders(asks, centres.withColumn("probes", F.col("lists")))
-    met = true.select("query_id", "id").join(stored.select("id", "dim", "list"), "id").join(places, ["query_id", "dim", "list"])
+    met = true.join(stored.select("id", "dim", "list"), "id").join(places, ["query_id", "dim", "list"])
     wanted = met.groupBy("dim").agg(F.expr(f"percentile_disc({float(recall)}) WITHIN GROUP (ORDER BY place)").alias("p"))
     index = sizes.drop("lists").join(centres.select("dim", "lists"), "dim").join(wanted, "dim", "left").select(
         "dim", "n", "lists", (F.coalesce("p", F.lit(0)) + 1).cast("int").alias("probes"), *[F.lit(None).cast(k).alias(c) for c, k in kinds.items()]

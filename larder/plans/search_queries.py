@@ -20,7 +20,7 @@ from larder.operators.vectors import search_approximate, search_semantic, search
 from larder.plans.registry import query
 from larder.plans.search import assistant_search, search
 from larder.plans.views import RULES, Views
-from larder.session import shared_folder
+from larder.session import cut_lineage, shared_folder
 
 # ---------------------------------------------------------------- SQL building blocks
 
@@ -364,14 +364,15 @@ def semantic_lists(v: Views) -> DataFrame:
     """The stored lists against the exact search: wrong similarities, recall at 10 of 0.9, under a tenth of the vectors compared in full."""
     rows, centres, asks = stored_lists(v)
     exact = search_semantic_batch(v.products(True), v.suppliers(), asks, 0.1, 10).select("query_id", "id", F.col("similarity").alias("true_similarity"))
-    both = exact.join(search_lists(rows, centres, asks, 0.1, 10), ["query_id", "id"], "left")
-    facts = both.agg(
+    # each search is its own plan: together they are too much for a small driver
+    exact, found = cut_lineage(exact), cut_lineage(search_lists(rows, centres, asks, 0.1, 10))
+    facts = exact.join(found, ["query_id", "id"], "left").agg(
         F.count("*").alias("n_exact"),
         F.count(F.when(F.abs(F.col("similarity") - F.col("true_similarity")) > 2e-10, 1)).alias("n_wrong"),
         (F.count("similarity") >= 0.9 * F.count("*")).alias("recall_reached"),
     )
     full = bt.complete(asks, "bigint")
-    compared = candidates(rows, centres, full, 0.1, 10, bt.measure(full, 10)).agg(F.count("*").alias("compared"))
+    compared = cut_lineage(candidates(rows, centres, full, 0.1, 10, bt.measure(full, 10)).agg(F.count("*").alias("compared")))
     sizes = asks.agg(F.count("*").alias("n_queries")).join(rows.agg(F.count("*").alias("n_rows"))).join(compared)  # one row each
     few = (F.col("compared") < 0.1 * F.col("n_queries") * F.col("n_rows")).alias("few_compared")
     return facts.join(sizes.select("n_queries", few)).select("n_queries", "n_exact", "n_wrong", "recall_reached", "few_compared")
