@@ -15,7 +15,7 @@ from larder.functions import text as tx
 from larder.functions.websearch import WebQuery
 from larder.operators import batches as bt
 from larder.operators.filters import optional_filters
-from larder.operators.fulltext import parse, search_fts, with_tokens
+from larder.operators.fulltext import parse, parse_queries, search_fts, text_hits, with_tokens
 from larder.operators.fuzzy import THRESHOLD, search_fuzzy
 
 BUCKETS = 64
@@ -105,6 +105,61 @@ def _with_columns(best: DataFrame, products: DataFrame, score: str) -> DataFrame
     return found.orderBy(F.desc(score), F.asc("id"))
 
 
+def _positions(at: Column, lexeme: Column) -> Column:
+    return F.coalesce(at[lexeme], F.array().cast("array<int>"))
+
+
+def _matched(parsed: str, at: str) -> Column:
+    """A parsed query of a query table against the positions (lexeme to list) of one text."""
+
+    def phrase(p):
+        found = _positions(F.col(at), p[0]["lexeme"])
+        return F.exists(found, lambda i: F.forall(p, lambda t: F.array_contains(_positions(F.col(at), t["lexeme"]), i + t["offset"])))
+
+    return F.exists(f"{parsed}.clauses", lambda c: F.forall(c["required"], phrase) & ~F.exists(c["excluded"], phrase))
+
+
+def search_fts_indexed_batch(
+    index: DataFrame,
+    products: DataFrame,
+    suppliers: DataFrame,
+    queries: DataFrame,
+    result_limit: int = 50,
+    config: str = "simple",
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """``search_fts_batch`` from the stored index; the same rows and ranks, product texts only for the final rows.
+
+    (query, lexeme) rows meet the postings; buckets that no query asks for are pruned at run time. Postings of a query's lexemes meet by
+    (query, id), a key that one text bounds. Queries with a clause that only excludes match texts that no posting names and take the scan.
+    """
+    queries = bt.complete(queries, bt.id_type(suppliers).simpleString())
+    size = bt.measure(queries, result_limit)
+    asks = parse_queries(queries, config)
+    excludes = F.exists("parsed.clauses", lambda c: F.size(c["required"]) == 0)
+    named = asks.where(~excludes).select("query_id", "result_limit", "supplier_filter", "price_min", "price_max", "parsed")
+    terms = named.select("query_id", F.explode("parsed.lexemes").alias("lexeme")).where(F.col("lexeme") != "")
+    terms = terms.withColumn("bucket", F.pmod(F.xxhash64("lexeme"), F.lit(buckets)).cast(index.schema["bucket"].dataType))
+    met = index.join(F.broadcast(terms) if size.small else terms, ["bucket", "lexeme"])
+    located = met.groupBy("query_id", "id").agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "at"))).alias("at"))
+    found = located.join(F.broadcast(named) if size.small else named, "query_id")
+    hits = bt.keep_rows(found, _matched("parsed", "at"))
+    kept = hits.join(products.select("id", "supplier_id", "price"), "id").where(bt.query_filter())
+
+    def limited(w):  # the limits of a stored text vector
+        spots = F.transform(_positions(F.col("at"), w), lambda i: F.least(i + 1, F.lit(tx.MAX_POSITION)))
+        return F.slice(F.array_distinct(spots), 1, tx.MAX_POSITIONS)
+
+    spots = kept.select("query_id", "id", "result_limit", F.col("parsed.together").alias("together"), F.transform("parsed.lexemes", limited).alias("spots"))
+    rank = bt.score(tx.rank_long_texts(F.col("spots"), F.size("spots"), F.col("together")))
+    ranked = spots.select("query_id", "id", rank.alias("fts_rank"), "result_limit")
+    scanned = asks.where(excludes).drop("parsed")
+    if not scanned.isEmpty():
+        ranked = ranked.unionByName(text_hits(products, scanned, size, config, True))
+    best = bt.top_k(ranked, [F.desc("fts_rank"), F.asc("id")], size, result_limit).select("query_id", "id", "rank_no", F.col("fts_rank").alias("rank"))
+    return bt.attach(best, products, suppliers, bt.PRODUCT_COLUMNS, size.small_hits(size.max_limit))
+
+
 def write_gram_index(products: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Write gram, id and how many trigrams the text has."""
     codes = products.select("id", tx.trigram_codes(F.col("description")).alias("codes"))
@@ -138,3 +193,32 @@ def search_fuzzy_indexed(
     known = suppliers.select(F.col("id").alias("supplier_id"), F.col("name").alias("supplier_name"))
     named = near.join(products.select("id", "supplier_id"), "id").join(known, "supplier_id").select("id", "supplier_name", "similarity")
     return _with_columns(named.orderBy(F.desc("similarity"), F.asc("id")).limit(result_limit), products, "similarity")
+
+
+def search_fuzzy_indexed_batch(
+    index: DataFrame,
+    products: DataFrame,
+    suppliers: DataFrame,
+    queries: DataFrame,
+    similarity_threshold: float = THRESHOLD,
+    result_limit: int = 50,
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """``search_fuzzy_batch`` from stored trigrams: shared trigrams are counted on (query, id) rows, merged before the shuffle.
+
+    Buckets that no query asks for are pruned at run time; texts whose number of trigrams rules the threshold out never reach the count.
+    """
+    if similarity_threshold < 0:
+        raise ValueError("similarity_threshold must not be negative for a table of queries")
+    queries = bt.complete(queries)
+    size = bt.measure(queries, result_limit)
+    asks = queries.select("query_id", "result_limit", tx.trigram_codes(F.col("search_text")).alias("grams"))
+    grams = asks.select("query_id", "result_limit", F.size("grams").alias("asked"), F.explode("grams").alias("gram")).where(F.col("gram") > 0)
+    grams = grams.withColumn("bucket", F.pmod("gram", F.lit(buckets)).cast(index.schema["bucket"].dataType))
+    t = F.lit(float(similarity_threshold))
+    fits = (F.col("n") >= t * F.col("asked") - 1e-9) & (F.col("asked") >= t * F.col("n") - 1e-9)
+    met = index.join(F.broadcast(grams) if size.small_fan else grams, ["bucket", "gram"]).where(fits)
+    shared = met.groupBy("query_id", "id", "n", "asked", "result_limit").agg(F.count("*").alias("shared"))
+    near = shared.withColumn("similarity", F.col("shared") / (F.col("n") + F.col("asked") - F.col("shared"))).where(F.col("similarity") > t)
+    best = bt.top_k(near, [F.desc("similarity"), F.asc("id")], size, result_limit).select("query_id", "id", "rank_no", "similarity")
+    return bt.attach(best, products, suppliers, bt.PRODUCT_COLUMNS, size.small_hits(size.max_limit))

@@ -14,7 +14,14 @@ from larder.operators.encode import result_documents, result_lines
 from larder.operators.fulltext import lexeme_stats, postings, search_fts, search_fts_batch
 from larder.operators.fuzzy import search_fuzzy, search_fuzzy_batch, trigram_frequencies
 from larder.operators.hybrid import search_hybrid, search_hybrid_batch
-from larder.operators.textindex import search_fts_indexed, search_fuzzy_indexed, write_gram_index, write_text_index
+from larder.operators.textindex import (
+    search_fts_indexed,
+    search_fts_indexed_batch,
+    search_fuzzy_indexed,
+    search_fuzzy_indexed_batch,
+    write_gram_index,
+    write_text_index,
+)
 from larder.operators.vectorlists import candidates, read_vector_index, search_lists, write_vector_index
 from larder.operators.vectors import search_approximate, search_semantic, search_semantic_batch
 from larder.plans.registry import query
@@ -177,16 +184,24 @@ ask AS (SELECT DISTINCT p_name AS query_id, CASE WHEN p_name LIKE 'red%' THEN 10
 NAME_TERMS = "SELECT query_id, 0 AS clause, unnest(string_split(query_id, ' ')) AS lexeme, false AS excluded FROM ask"
 
 
-@query("fts_batch", NAME_QUERIES + positions_sql("v_products") + rank_sql(NAME_TERMS) + f"""
+FTS_BATCH = NAME_QUERIES + positions_sql("v_products") + rank_sql(NAME_TERMS) + f"""
 best AS (SELECT h.query_id, h.rank, p.*, row_number() OVER (PARTITION BY h.query_id ORDER BY h.rank DESC, p.id) AS rank_no,
     result_limit
   FROM hit h JOIN ask USING (query_id) JOIN v_products p USING (id) WHERE price_max IS NULL OR price <= price_max
   QUALIFY rank_no <= result_limit)
-SELECT query_id, b.id, rank_no, s.name AS supplier_name, {PRODUCT}, rank FROM best b JOIN v_suppliers s ON s.id = b.supplier_id""")
+SELECT query_id, b.id, rank_no, s.name AS supplier_name, {PRODUCT}, rank FROM best b JOIN v_suppliers s ON s.id = b.supplier_id"""
+
+
+@query("fts_batch", FTS_BATCH)
 def fts_batch(v: Views) -> DataFrame:
     return search_fts_batch(v.products(), v.suppliers(), name_queries(v))
 
 
+@query("fts_batch_indexed", FTS_BATCH)
+def fts_batch_indexed(v: Views) -> DataFrame:
+    return search_fts_indexed_batch(stored_index(v, v.products()), v.products(), v.suppliers(), name_queries(v))
+
+
 DOC_QUERIES = [
     (1, "the of and"),
     (2, "der -und or les"),
@@ -198,16 +213,26 @@ DOC_TERMS = """SELECT * FROM (VALUES (1, 0, 'the', false), (1, 0, 'of', false),
   (4, 0, 'el', false), (4, 0, 'que', false), (4, 0, 'the', true)) t(query_id, clause, lexeme, excluded)"""
 
 
-@query("fts_docs_batch", positions_sql("v_docs") + rank_sql(DOC_TERMS) + """
+DOCS_BATCH = positions_sql("v_docs") + rank_sql(DOC_TERMS) + """
 best AS (SELECT query_id, id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, id) AS rank_no FROM hit
   QUALIFY rank_no <= 100)
-SELECT query_id, b.id, rank_no, rank, d.supplier_code FROM best b JOIN v_docs d ON d.id = b.id""")
+SELECT query_id, b.id, rank_no, rank, d.supplier_code FROM best b JOIN v_docs d ON d.id = b.id"""
+
+
+@query("fts_docs_batch", DOCS_BATCH)
 def fts_docs_batch(v: Views) -> DataFrame:
     asks = v.spark.createDataFrame(DOC_QUERIES, "query_id int, search_text string")
     out = search_fts_batch(v.docs(), v.doc_suppliers(), asks, result_limit=100, long_texts=True)
     return out.select("query_id", "id", "rank_no", "rank", "supplier_code")
 
 
+@query("fts_docs_batch_indexed", DOCS_BATCH)
+def fts_docs_batch_indexed(v: Views) -> DataFrame:
+    asks = v.spark.createDataFrame(DOC_QUERIES, "query_id int, search_text string")
+    out = search_fts_indexed_batch(stored_index(v, v.docs()), v.docs(), v.doc_suppliers(), asks, result_limit=100)
+    return out.select("query_id", "id", "rank_no", "rank", "supplier_code")
+
+
 @query("fts_italian")
 def fts_italian(v: Views) -> DataFrame:
     """Stemmed search; SQL has no stemmer for it, so tests check it on fixtures."""
@@ -258,16 +283,26 @@ SELECT query_id, b.id, rank_no, s.name AS supplier_name, {PRODUCT}, similarity
 FROM best b JOIN v_suppliers s ON s.id = b.supplier_id"""
 
 
-@query("fuzzy_batch", FUZZY_BATCH)
-def fuzzy_batch(v: Views) -> DataFrame:
-    asks = v.table("part").select("p_name").distinct().select(
+def misspelt_names(v: Views) -> DataFrame:
+    return v.table("part").select("p_name").distinct().select(
         F.col("p_name").alias("query_id"), F.replace("p_name", F.lit("l"), F.lit("")).alias("search_text")
     )
+
+
+@query("fuzzy_batch", FUZZY_BATCH)
+def fuzzy_batch(v: Views) -> DataFrame:
     return search_fuzzy_batch(
-        v.products(), v.suppliers(), asks, result_limit=10, frequencies=trigram_frequencies(v.products())
+        v.products(), v.suppliers(), misspelt_names(v), result_limit=10, frequencies=trigram_frequencies(v.products())
     )
 
 
+@query("fuzzy_batch_indexed", FUZZY_BATCH)
+def fuzzy_batch_indexed(v: Views) -> DataFrame:
+    path = f"{shared_folder(v.spark)}/gram-index-{uuid.uuid4().hex}"
+    write_gram_index(v.products(), path)
+    return search_fuzzy_indexed_batch(v.spark.read.parquet(path), v.products(), v.suppliers(), misspelt_names(v), result_limit=10)
+
+
 # ---------------------------------------------------------------- vectors
 
 

@@ -84,3 +84,30 @@ def test_gram_index_equals_scan(spark, tmp_path):
     plan = search_fuzzy_indexed(index, products, suppliers, "red wine", 0.5, buckets=8)._jdf.queryExecution().executedPlan().toString()
     scan = next(part for part in plan.split("FileScan parquet ")[1:] if "gram#" in part)
     assert "bucket#" in scan.split("PartitionFilters: [")[1].split("PushedFilters")[0] and "DataFilters: [isnotnull(n#" in scan
+
+
+def test_batch_on_the_index_equals_scan_and_opens_asked_buckets(spark, tmp_path):
+    from larder.operators.fulltext import search_fts_batch
+    from larder.operators.fuzzy import search_fuzzy_batch
+    from larder.operators.textindex import search_fts_indexed_batch, search_fuzzy_indexed_batch, write_gram_index, write_text_index
+
+    texts = ["red wine of the house", "the house of red", "white wine", "wine wine red", "of the of the", "", None, "house wine"]
+    rows = [(i, i % 2 + 1, f"c{i}", text, "u", "u", float(i)) for i, text in enumerate(texts * 3)]
+    products = spark.createDataFrame(rows, "id long, supplier_id long, supplier_code string, description string, selling_uom string, pricing_uom string, price double")
+    suppliers = spark.createDataFrame([(1, "S"), (2, "T")], "id long, name string")
+    asked = ["red wine", '"of the"', "wine -red", "house or white", "-red", "wine", '"of the" -house', "nothing", "", None, "wihte wnie", "the the"]
+    asks = [(n, t, float(9 + n) if n % 3 == 0 else None, 1 if n % 4 == 1 else None, n % 5 + 1) for n, t in enumerate(asked)]
+    queries = spark.createDataFrame(asks, "query_id int, search_text string, price_max double, supplier_filter long, result_limit int")
+    write_text_index(products, str(tmp_path / "index"), buckets=8)
+    write_gram_index(products, str(tmp_path / "grams"), buckets=8)
+    index, grams = spark.read.parquet(str(tmp_path / "index")), spark.read.parquet(str(tmp_path / "grams"))
+    key = lambda df, score: sorted((r["query_id"], r["rank_no"], r["id"], r["description"], round(r[score], 12)) for r in df.collect())
+    found = search_fts_indexed_batch(index, products, suppliers, queries, buckets=8)
+    assert key(found, "rank") == key(search_fts_batch(products, suppliers, queries, long_texts=True), "rank")
+    for threshold in (0.0, 0.3):
+        near = search_fuzzy_indexed_batch(grams, products, suppliers, queries, threshold, buckets=8)
+        assert key(near, "similarity") == key(search_fuzzy_batch(products, suppliers, queries, threshold), "similarity")
+    for plan in (found, near):
+        assert "dynamicpruning" in plan._jdf.queryExecution().executedPlan().toString().lower()
+    empty = search_fts_indexed_batch(index, products, suppliers, queries.limit(0), buckets=8)
+    assert empty.collect() == []
