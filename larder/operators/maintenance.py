@@ -14,14 +14,23 @@ Embedder = Callable[[list[str]], np.ndarray]
 
 
 def hashing_embedder(dim: int = 64) -> Embedder:
-    """Deterministic stand-in for a remote model: signed word hashes as a unit vector."""
+    """Deterministic stand-in for a remote model: signed word hashes as a unit vector.
+
+    Words of opposite sign can meet in one place and cancel. A text that is left without any component
+    counts as one word; the zero vector stands for an empty or blank text only.
+    """
+
+    def add(row: np.ndarray, word: str) -> None:
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        row[h % dim] += 1.0 if (h >> 32) & 1 else -1.0
 
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim), dtype=np.float32)
         for row, text in zip(out, texts):
             for word in text.lower().split():
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-                row[h % dim] += 1.0 if (h >> 32) & 1 else -1.0
+                add(row, word)
+            if text.strip(" ") and not row.any():
+                add(row, text.lower())
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms > 0, norms, 1.0)
 

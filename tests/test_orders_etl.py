@@ -1,6 +1,7 @@
 import json
 from decimal import Decimal
 
+import numpy as np
 import pytest
 from frames import products, suppliers
 from pyspark.sql import functions as F
@@ -188,6 +189,22 @@ def test_embedding_backfill(spark):
     assert tuple(report) == (0, 1, 1)
 
 
+def test_hashed_texts_are_unit_vectors(spark):
+    """Words whose signs cancel still give a unit vector; only a blank text gives zeros."""
+    from larder.plans.etl_queries import embed_vectors
+
+    texts = ["w14 w22", "W14 w22 w14 w22", "w14", "\n", "", "  "]  # w14 and w22 meet in one place with opposite signs
+    norms = np.linalg.norm(mt.hashing_embedder()(texts), axis=1)
+    assert norms.tolist() == pytest.approx([1, 1, 1, 1, 0, 0])
+
+    class Rows:
+        def docs(self, embedding):
+            return spark.createDataFrame([(1, "w14 w22", None), (2, "", None), (3, "x", [0.5] * 64)], "id int, description string, embedding array<float>")
+
+    got = {r["id"]: (r["n_dims"], r["kept_first"], r["norm"]) for r in embed_vectors(Rows()).collect()}
+    assert got == {1: (64, None, 1.0), 2: (64, None, None), 3: (64, 0.5, None)}
+
+
 def test_touch_and_status(spark):
     old = spark.createDataFrame([("1", "a", 0), ("2", "b", 0), ("3", "c", 0)], "id string, v string, updated_at int")
     new = spark.createDataFrame([("1", "a"), ("2", "x")], "id string, v string")
