@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions import text as tx
+from larder.functions.postings import posting_batches
 from larder.functions.websearch import PARSED, WebQuery, read_query
 from larder.operators import batches as bt
 from larder.operators.filters import optional_filters
@@ -20,20 +21,19 @@ def with_tokens(products: DataFrame, config: str = "simple") -> DataFrame:
     return products.withColumn("tokens", tx.tokens(F.col("description"), config))
 
 
-def postings(products: DataFrame, config: str = "simple") -> DataFrame:
-    """The inverted index in long form: one row per (lexeme, id) with its positions.
+def located(products: DataFrame, config: str = "simple", limits: bool = False) -> DataFrame:
+    """lexeme, id and positions of every lexeme of every text; see ``posting_batches`` for ``limits``.
 
-    A (lexeme, id) group is one product text, so the lists stay small, and all its rows sit in one
-    input partition, so the map side already merges them before the shuffle.
+    ``id`` is the key of the table, so a (lexeme, id) group is one product text and is found where the text is read:
+    no word is shuffled.
     """
-    return (
-        with_tokens(products, config)
-        .select("id", F.posexplode("tokens").alias("i", "lexeme"))
-        .where(F.col("lexeme") != "")
-        .groupBy("lexeme", "id")
-        .agg(F.collect_list(F.least(F.col("i") + 1, F.lit(tx.MAX_POSITION))).alias("at"))
-        .select("lexeme", "id", F.slice(F.array_distinct(F.array_sort("at")), 1, tx.MAX_POSITIONS).alias("positions"))
-    )
+    id_type = products.schema["id"].dataType.simpleString()
+    return with_tokens(products, config).select("id", "tokens").mapInArrow(posting_batches(limits), f"lexeme string, id {id_type}, at array<int>")
+
+
+def postings(products: DataFrame, config: str = "simple") -> DataFrame:
+    """The inverted index in long form: one row per (lexeme, id) with its positions, without a shuffle."""
+    return located(products, config, limits=True).withColumnRenamed("at", "positions")
 
 
 def lexeme_stats(products: DataFrame, config: str = "simple") -> DataFrame:

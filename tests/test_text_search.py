@@ -1,7 +1,9 @@
+import pyarrow as pa
 import pytest
 from frames import ids, products, suppliers, texts
 from pyspark.sql import functions as F
 
+from larder.functions import postings as po
 from larder.functions import text as tx
 from larder.functions.italian import stem
 from larder.functions.websearch import read_query
@@ -117,6 +119,31 @@ def test_postings_cap_positions(spark):
     assert got[("w", "u")] == list(range(1, 257))
 
 
+def test_postings_move_no_words(spark):
+    """Postings come from the task that reads the text; only what a caller groups afterwards is shuffled."""
+    rows = texts(spark, [("t", "a b a"), ("u", "b")])
+    for found in (ft.postings(rows), ft.located(rows)):
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limits", [False, True])
+@pytest.mark.parametrize("part", [1, 7, 1 << 18])
+def test_posting_batches_of_odd_rows(limits, part, monkeypatch):
+    """Against plain loops: NULL lists, NULL and blank words, empty lists, a sliced batch, parts of any size, long texts."""
+    monkeypatch.setattr(po, "PART_WORDS", part)
+    lists = [["x"], None, [], ["b", "a", "", "a", None, "b"], ["", ""], [f"w{i % 3}" for i in range(40)], ["h"] * 300, ["z", *["y"] * 20000, "z"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.string()))], names=["id", "tokens"]).slice(1)
+    want = {}
+    for i, words in enumerate(lists):
+        for at, w in enumerate(words or []):
+            if i and w:
+                want.setdefault((w, i), []).append(at)
+    if limits:
+        want = {k: list(dict.fromkeys(min(p + 1, tx.MAX_POSITION) for p in at))[: tx.MAX_POSITIONS] for k, at in want.items()}
+    got = [r for b in po.posting_batches(limits)([batch]) for r in b.to_pylist()]
+    assert {(r["lexeme"], r["id"]): r["at"] for r in got} == want and len(got) == len(want)
+
+
 def test_hot_lexeme_is_whole(spark):
     """A word in every text still ranks every text, also with more hits than the limit."""
     rows = texts(spark, [(f"{i:04d}", "hot bolt" if i % 3 else "hot") for i in range(900)])
