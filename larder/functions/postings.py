@@ -8,25 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from larder.functions.text import MAX_POSITION, MAX_POSITIONS
-
-#: Words handled at once: a batch of long texts is taken in parts, so memory does not follow their length.
-PART_WORDS = 1 << 18
-
-
-def parts(lists: pa.Array) -> Iterator[tuple[int, int]]:
-    """Start and length of runs of rows that hold PART_WORDS words at most, or one row."""
-    ends = np.cumsum(word_counts(lists))
-    start = 0
-    while start < len(ends):
-        before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + PART_WORDS, "right")))
-        yield start, stop - start
-        start = stop
-
-
-def word_counts(lists: pa.Array) -> np.ndarray:
-    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+from larder.functions.text import MAX_POSITION, MAX_POSITIONS, parts, word_counts
 
 
 def _postings(ids: pa.Array, lists: pa.Array, limits: bool) -> pa.RecordBatch:

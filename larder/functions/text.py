@@ -11,10 +11,12 @@ URLs are split into their parts and not also kept whole.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -58,14 +60,42 @@ def tokens(text: Column, config: str = "simple") -> Column:
         raise ValueError(f"unknown text configuration {config!r}; use one of {CONFIGS}")
     stops = italian_stop_words(SparkSession.getActiveSession())
 
-    @F.pandas_udf("array<string>")
-    def italian(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for words in batches:
-            yield words.map(lambda ws: [italian_lexeme(w, stops) for w in ws])
+    @F.arrow_udf("array<string>")
+    def italian(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            for start, length in parts(lists):
+                yield lexeme_lists(lists.slice(start, length), lambda w: italian_lexeme(w, stops))
 
     return italian(split_words(text))
 
 
+#: Words handled at once in Python: a batch of long texts is taken in parts, so memory does not follow their length.
+PART_WORDS = 1 << 18
+
+
+def parts(lists: pa.Array) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of rows that hold PART_WORDS words at most, or one row."""
+    ends = np.cumsum(word_counts(lists))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PART_WORDS, "right")))
+        yield start, stop - start
+        start = stop
+
+
+def word_counts(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def lexeme_lists(lists: pa.Array, lexeme: Callable[[str], str]) -> pa.Array:
+    """Lists of words as lists of lexemes; only the distinct words become Python strings, the rest stays in Arrow."""
+    ends = pa.array(np.append(0, np.cumsum(word_counts(lists))), pa.int32())
+    words = lists.flatten().dictionary_encode()
+    lexemes = pa.array([lexeme(w) for w in words.dictionary.to_pylist()], pa.string())
+    return pa.ListArray.from_arrays(ends, lexemes.take(words.indices), mask=lists.is_null())
+
+
 def analyse(text: str, config: str, stops: frozenset[str]) -> list[str]:
     """The same lexemes for one query text (queries only; product texts go through ``tokens``)."""
     words = [w for w in re.split(r"[\W_]+", text.lower()) if w]

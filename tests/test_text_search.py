@@ -59,6 +59,17 @@ def test_stop_words_keep_positions(spark):
     assert ids(only_stops) == []
 
 
+def test_stemming_keeps_words_in_arrow(spark):
+    """Each distinct word of a part is stemmed once, lists keep their lengths, and a batch is taken in parts."""
+    lists = pa.array([["x"], None, [], ["vini", "di", "vini"], ["rossi"] * 5], pa.list_(pa.string())).slice(1)
+    asked = []
+    got = tx.lexeme_lists(lists, lambda w: asked.append(w) or ("" if w == "di" else stem(w)))
+    assert got.to_pylist() == [None, [], ["vin", "", "vin"], ["ross"] * 5]
+    assert asked == ["vini", "di", "rossi"]
+    dealt = [list(part) for part in tx.parts(pa.array([["a"] * tx.PART_WORDS, [], ["b"], ["c"] * tx.PART_WORDS * 2]))]
+    assert dealt == [[0, 2], [2, 1], [3, 1]]
+
+
 def test_italian_search_matches_inflections(spark):
     rows = texts(spark, [("t", "bottiglie di vino rosso"), ("u", "CL75 bottiglia vini rossi")])
     assert sorted(ids(ft.search_fts(rows, suppliers(spark), "vini rossi bottiglia", config="italian"))) == ["t", "u"]
@@ -130,7 +141,7 @@ def test_postings_move_no_words(spark):
 @pytest.mark.parametrize("part", [1, 7, 1 << 18])
 def test_posting_batches_of_odd_rows(limits, part, monkeypatch):
     """Against plain loops: NULL lists, NULL and blank words, empty lists, a sliced batch, parts of any size, long texts."""
-    monkeypatch.setattr(po, "PART_WORDS", part)
+    monkeypatch.setattr(tx, "PART_WORDS", part)
     lists = [["x"], None, [], ["b", "a", "", "a", None, "b"], ["", ""], [f"w{i % 3}" for i in range(40)], ["h"] * 300, ["z", *["y"] * 20000, "z"]]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(lists, pa.list_(pa.string()))], names=["id", "tokens"]).slice(1)
     want = {}
